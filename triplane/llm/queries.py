@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, read_table
-from . import formatcopies, quantiles, toplist
+from . import formatcopies, mixing, packing, quantiles, sharedspans, tokens, toplist
 from .sparqlform import record_form
 
 # ---------------------------------------------------------------- 2: best candidates of every mention
@@ -83,13 +83,64 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return formatcopies.copy_counts(formatcopies.equal_runs(_items(spark, d), "form", "row_id")).withColumnRenamed("keep", "row_id")
 
 
+# ---------------------------------------------------------------- 7: documents packed into containers
+def _capacities(spark: SparkSession, d: str) -> dict[int, int]:
+    """The specs, a table of settings."""
+    return {r["spec_id"]: r["capacity_tokens"] for r in read_table(spark, d, "pack_spec").orderBy("spec_id").collect()}
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    docs = tokens.with_tokens(read_table(spark, d, "documents").select("doc_id", "text"), "text")
+    return packing.pack(docs, "doc_id", "tokens", _capacities(spark, d))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_containers(spark, d), _capacities(spark, d))
+
+
+# ---------------------------------------------------------------- 8: sources mixed to target shares
+def _mixed_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their size, primary language and, as topic, the class of the model they are on."""
+    docs = read_table(spark, d, "documents").select("doc_id", "source", F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,3})(?:[-_].*)?$", 1).alias("lang"), F.upper(F.trim("item")).alias("code"), "text")
+    model = read_table(spark, d, "vehicle_model").groupBy(F.upper(F.trim("model_code")).alias("code")).agg(F.min("model_class").alias("topic"))
+    sized = tokens.with_tokens(docs, "text")
+    return sized.join(model, "code", "left").select("doc_id", "source", "lang", "topic", "tokens")
+
+
+def p8_draws(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(materialize(_mixed_docs(spark, d), "sized"), read_table(spark, d, "mix_target"), "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_draws(spark, d), read_table(spark, d, "mix_target"))
+
+
+# ---------------------------------------------------------------- 9: long exact spans in several documents
+SPAN = 150
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sharedspans.shared_spans(read_table(spark, d, "documents"), "doc_id", "text", SPAN)
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    return sharedspans.shared_share(docs, sharedspans.shared_spans(docs, "doc_id", "text", SPAN), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
-    "p4_percentiles": p4_percentiles,
     "p4_percentiles_by_day": p4_percentiles_by_day,
+    "p4_percentiles": p4_percentiles,
     "p4_percentiles_by_month": p4_percentiles_by_month,
     "p4_day_sketch": p4_day_sketch,
     "p6_found": p6_found,
     "p6_items": p6_items,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_draws": p8_draws,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_shared": p9_shared,
 }
 SQL = {"p2_found": P2_SQL}
