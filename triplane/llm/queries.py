@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, read_table
-from . import formatcopies, mixing, packing, quantiles, sharedspans, tokens, toplist
+from . import canonical, formatcopies, mixing, packing, quantiles, sharedspans, tokens, toplist
 from .sparqlform import record_form
 
 # ---------------------------------------------------------------- 2: best candidates of every mention
@@ -48,20 +50,70 @@ def p4_day_sketch(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.sketch(_times(spark, d), ["day", "arm", "metric"], "ms", ERROR)
 
 
+def _read(sketches: DataFrame, by: list[str]) -> DataFrame:
+    got = quantiles.percentiles(sketches, by, POINTS, ERROR)
+    return got.select(*by, "n", *[F.round(f"p{q}", 6).alias(f"p{q}") for q in POINTS])
+
+
 def p4_percentiles_by_day(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(p4_day_sketch(spark, d), ["day", "arm", "metric"], POINTS, ERROR)
+    return _read(p4_day_sketch(spark, d), ["day", "arm", "metric"])
 
 
 def p4_percentiles_by_month(spark: SparkSession, d: str) -> DataFrame:
     by = ["month", "arm", "metric"]
     days = p4_day_sketch(spark, d).withColumn("month", F.date_format("day", "yyyy-MM"))
-    return quantiles.percentiles(quantiles.merge(days, by), by, POINTS, ERROR)
+    return _read(quantiles.merge(days, by), by)
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """All days put together."""
     by = ["arm", "metric"]
-    return quantiles.percentiles(quantiles.merge(p4_day_sketch(spark, d), by), by, POINTS, ERROR)
+    return _read(quantiles.merge(p4_day_sketch(spark, d), by), by)
+
+
+_GAMMA = (1 + ERROR) / (1 - ERROR)
+_P4_SKETCH = f"""WITH once AS (SELECT run_id, arg_min(struct_pack(arm := arm, latency_ms := latency_ms, stages := stages, started_at := started_at), loaded_at) AS r
+    FROM eval_run WHERE run_id IS NOT NULL GROUP BY run_id),
+  t AS (SELECT r.started_at::DATE AS day, r.arm AS arm, 'latency_ms' AS metric, r.latency_ms AS ms FROM once
+    UNION ALL SELECT r.started_at::DATE, r.arm, 'stages/' || e.key, e.value FROM (SELECT r, unnest(map_entries(r.stages)) AS e FROM once)),
+  sketch AS (SELECT day, arm, metric, CASE WHEN ms <= 1e-9 THEN 0 ELSE ceil(ln(ms) / {math.log(_GAMMA)!r})::BIGINT + {1 << 20} END AS bucket, count(*) AS n
+    FROM t WHERE ms >= 0 AND NOT isnan(ms) AND NOT isinf(ms) GROUP BY 1, 2, 3, 4)"""
+
+
+def _p4_sql(day: str | None) -> str:
+    by = f"{day}, arm, metric" if day else "arm, metric"
+    months = ", s AS (SELECT *, strftime(day, '%Y-%m') AS month FROM sketch)"
+    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE round(pow({_GAMMA!r}, {b} - {1 << 20}) * {2 / (1 + _GAMMA)!r}, 6) END"
+    points = ", ".join(value(f"min(bucket) FILTER (upto >= greatest(1, ceil(total * {q} / 100.0)))") + f" AS p{q}" for q in POINTS)
+    return f"""{_P4_SKETCH}{months}, m AS (SELECT {by}, bucket, sum(n)::BIGINT AS n FROM s GROUP BY {by}, bucket),
+      u AS (SELECT *, sum(n) OVER (PARTITION BY {by}) AS total, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto FROM m)
+    SELECT {by}, max(total)::BIGINT AS n, {points} FROM u GROUP BY {by}"""
+
+
+P4_SQL = {
+    "p4_day_sketch": f"{_P4_SKETCH} SELECT day, arm, metric, bucket, n FROM sketch",
+    "p4_percentiles": _p4_sql(None),
+    "p4_percentiles_by_day": _p4_sql("day"),
+    "p4_percentiles_by_month": _p4_sql("month"),
+}
+
+# ---------------------------------------------------------------- 5: mention texts mapped to entities
+def _meant(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mentions with text, each once, and what each text means."""
+    mentions = read_table(spark, d, "mention").select("mention_id", "text").where("mention_id IS NOT NULL AND text IS NOT NULL").distinct()
+    names = canonical.reference_names(read_table(spark, d, "entity"), "iri", [F.array("label"), F.col("labels")], "popularity")
+    return mentions, canonical.closest(mentions, "text", materialize(names, "names"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    mentions, meant = _meant(spark, d)
+    return mentions.join(meant, "text").select("mention_id", F.coalesce("key", F.lit("none")).alias("iri")).distinct()
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that mean no entity, with the number of mentions."""
+    mentions, meant = _meant(spark, d)
+    return mentions.join(meant.where("key IS NULL"), "text").groupBy("text").agg(F.count(F.lit(1)).alias("mentions"))
 
 
 # ---------------------------------------------------------------- 6: items that differ in form only
@@ -134,6 +186,8 @@ QUERIES = {
     "p4_percentiles": p4_percentiles,
     "p4_percentiles_by_month": p4_percentiles_by_month,
     "p4_day_sketch": p4_day_sketch,
+    "p5_found": p5_found,
+    "p5_unmatched": p5_unmatched,
     "p6_found": p6_found,
     "p6_items": p6_items,
     "p7_containers": p7_containers,
@@ -143,4 +197,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_shared": p9_shared,
 }
-SQL = {"p2_found": P2_SQL}
+SQL = {"p2_found": P2_SQL, **P4_SQL}

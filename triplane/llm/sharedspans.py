@@ -64,8 +64,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def compact_windows(chars: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The compact windows of texts laid end to end: first start, number of starts, offset and hash of the least token.
+def compact_windows(chars: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The compact windows of texts laid end to end: first start, number of starts, and hash of the least token.
 
     A stretch is ``length`` characters of one text; its signature is the least of its tokens' hashes, the leftmost on
     ties. Following stretches that owe their signature to the same token form one window. These are the nodes of the
@@ -75,7 +75,7 @@ def compact_windows(chars: np.ndarray, owner: np.ndarray, length: int) -> tuple[
     none = np.zeros(0, np.int64)
     width = length - TOKEN + 1
     if len(chars) < length:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64)
     hashes = token_hashes(chars, TOKEN)
     place = np.arange(len(hashes), dtype=np.uint64)
     # High bits of the hash, then the place: the least is the leftmost among equals. Both keep their order when the
@@ -83,13 +83,13 @@ def compact_windows(chars: np.ndarray, owner: np.ndarray, length: int) -> tuple[
     least = (sliding_least((hashes & ~np.uint64(0xFFFFFF)) | place, width) & np.uint64(0xFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(owner[: len(least)] == owner[length - 1 : length - 1 + len(least)])
     if not len(starts):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64)
     token = least[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (token[1:] != token[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
     first, count = starts[at], np.diff(np.append(at, len(starts)))
-    return first, count, token[at] - first, hashes[token[at]]
+    return first, count, hashes[token[at]]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list]]:
@@ -120,7 +120,7 @@ def _chars(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-_WINDOWS = "doc long, first long, starts int, offset int, anchor long, c1 long, c2 long"
+_WINDOWS = "doc long, first long, starts int, anchor long, c1 long, c2 long"
 
 
 def _int64(x: int) -> int:
@@ -145,7 +145,7 @@ def windows_of(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame:
                 sizes = np.array([len(t) for _, _, t in part])
                 begin = np.cumsum(sizes) - sizes
                 owner = np.repeat(np.arange(len(part)), sizes)
-                first, count, offset, anchor = compact_windows(chars, owner, length)
+                first, count, anchor = compact_windows(chars, owner, length)
                 if not len(first):
                     continue
                 raw = memoryview(chars).cast("B")
@@ -153,14 +153,14 @@ def windows_of(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame:
                 own = owner[first]
                 doc_ids = np.array([i for i, _, _ in part], np.int64)[own]
                 moved = np.array([at for _, at, _ in part], np.int64)[own]
-                columns = [doc_ids, first - begin[own] + moved, count, offset, anchor.view(np.int64), content[:, 0], content[:, 1]]
+                columns = [doc_ids, first - begin[own] + moved, count, anchor.view(np.int64), content[:, 0], content[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND length(text) >= %d" % length).mapInArrow(run, schema)
 
 
 def _stretches(docs: DataFrame, wanted: DataFrame, doc: str, text: str, length: int) -> DataFrame:
-    """``s1, s2, doc, cls, first``: a 128-bit hash of each stretch in the wanted windows."""
+    """``s1, s2, lo, hi, doc, at``: a 128-bit hash of each stretch in the wanted windows, with the window's class."""
     schema = StructType.fromDDL("s1 long, s2 long, lo long, hi long, doc long, at long")
     arrow = to_arrow_schema(schema)
 
@@ -203,8 +203,8 @@ def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame
     characters (chance of one false match among 10^15 stretches below 10^-8).
     """
     w = materialize(windows_of(docs, doc, text, length), "windows")
-    cls = ["anchor", "c1", "c2", "offset", "starts"]
-    classes = materialize(w.groupBy(*cls).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("rep")), "classes")
+    cls = ["c1", "c2"]  # equal characters choose the same anchor and hold as many starts
+    classes = materialize(w.groupBy(*cls).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("rep"), F.min("anchor").alias("anchor"), F.min("starts").alias("starts")), "classes")
     anchors = classes.groupBy("anchor").agg(F.min("lo").alias("alo"), F.max("hi").alias("ahi"), F.count(F.lit(1)).alias("n")).where("n > 1 AND alo < ahi").select("anchor")
     wanted = classes.join(anchors, "anchor", "left_semi").select("rep.doc", "rep.first", "starts", "lo", "hi")
     st = materialize(_stretches(docs, wanted, doc, text, length), "stretches")
