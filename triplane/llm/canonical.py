@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
-from ..runtime import materialize
+from ..runtime import materialize, shuffle_partitions
 
 #: Words around a name that are no part of it. Fixed values, a parameter of :func:`name_form`.
 FILLERS = frozenset({"a", "an", "the", "our", "my", "new", "please", "again", "model"})
@@ -18,6 +18,8 @@ FILLERS = frozenset({"a", "an", "the", "our", "my", "new", "please", "again", "m
 NEAR = 0.4
 #: Copies of the reference's prefixes over which a token's values are spread.
 SALTS = 16
+#: Values whose prefixes one task compares.
+ROWS_A_TASK = 4000
 #: Signs a token is made of: space, a-z, 0-9, and 64 classes of all other letters; so there are at most 101^2 tokens.
 _SIGNS = {c: i for i, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
 _BASE = 101
@@ -114,12 +116,16 @@ def similar(left: DataFrame, right: DataFrame, near: float = NEAR) -> DataFrame:
         of = order.value
         return tokens.map(lambda ts: sorted(of[t] for t in ts))
 
+    # Comparing costs far more than reading, so the tasks are set by rows, not by the few bytes that hold them.
+    spark = left.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark), sets[0].count() // ROWS_A_TASK)
+
     def prefixes(df: DataFrame, side: str, salt: Column) -> DataFrame:
         n = F.size("t")
         head = n - F.ceil(n * near - eps).cast("int") + 1
         return df.select("form", ranked("t").alias("t")).select(F.col("form").alias(side), F.col("t").alias(f"{side}_t"), n.alias(f"{side}_n"), F.posexplode(F.slice("t", 1, head)).alias(f"{side}_at", "token"), salt.alias("salt"))
 
-    x = prefixes(sets[0], "x", F.pmod(F.xxhash64("form"), F.lit(SALTS)).cast("int"))
+    x = prefixes(sets[0].repartition(tasks, "form"), "x", F.pmod(F.xxhash64("form"), F.lit(SALTS)).cast("int"))
     y = prefixes(sets[1], "y", F.array(*[F.lit(i) for i in range(SALTS)])).withColumn("salt", F.explode("salt"))
     lengths = (F.col("y_n") >= F.col("x_n") * near - eps) & (F.col("x_n") >= F.col("y_n") * near - eps)
     rest = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
