@@ -194,7 +194,7 @@ def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame
 
     1. Windows with the same characters and the same anchor form a class; only the number of texts is kept, as the
        least and greatest id, added up map-side. A class of two or more texts is shared as a whole.
-    2. An anchor whose classes come from two or more texts joins windows that agree in part, at the edges of copied
+    2. An anchor whose classes come from two or more texts, one of them from one text only, joins windows that agree in part, at the edges of copied
        passages. One representative of each such class gives the hash of each of its stretches; a stretch whose
        classes hold two or more texts is shared. This is the interval join, by content instead of by pairs.
     3. The verdict on a class goes back to all its windows.
@@ -205,7 +205,7 @@ def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame
     w = materialize(windows_of(docs, doc, text, length), "windows")
     cls = ["c1", "c2"]  # equal characters choose the same anchor and hold as many starts
     classes = materialize(w.groupBy(*cls).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("rep"), F.min("anchor").alias("anchor"), F.min("starts").alias("starts")), "classes")
-    anchors = classes.groupBy("anchor").agg(F.min("lo").alias("alo"), F.max("hi").alias("ahi"), F.count(F.lit(1)).alias("n")).where("n > 1 AND alo < ahi").select("anchor")
+    anchors = classes.groupBy("anchor").agg(F.min("lo").alias("alo"), F.max("hi").alias("ahi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") == F.col("hi")).alias("single")).where("n > 1 AND single > 0 AND alo < ahi").select("anchor")
     wanted = classes.join(anchors, "anchor", "left_semi").select("rep.doc", "rep.first", "starts", "lo", "hi")
     st = materialize(_stretches(docs, wanted, doc, text, length), "stretches")
     both = st.groupBy("s1", "s2").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi")).where("slo < shi").select("s1", "s2")
