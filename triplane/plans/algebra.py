@@ -284,8 +284,8 @@ class Compiler:
                 if side.info[x].maybe_null:
                     same = same | F.col(x).isNull()
             on.append(same)
-        both = Rel(a.df, {**a.info, **right.info})
         if condition is not None:
+            both = Rel(a.df.crossJoin(right.df), {**a.info, **right.info})  # for its schema; never run
             on.append(condition(both, tag, shared))
         on_all = reduce(lambda x, y: x & y, on) if on else None
         df = a.df.join(right.df, on_all, how) if on else a.df.crossJoin(right.df) if how == "inner" else a.df.join(right.df, F.lit(True), how)
