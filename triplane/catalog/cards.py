@@ -1,0 +1,261 @@
+"""Schema cards: what the ontology, the shapes and the data say of classes and properties."""
+
+from __future__ import annotations
+
+import json
+from collections import defaultdict
+from dataclasses import asdict, dataclass, field
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.terms import local_name
+from ..functions.text import split_camel
+from ..sources.store import TYPE
+from ..sources.turtle import RDF, XSD
+from . import statistics as st
+
+RDFS, OWL, SKOS, SHACL = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2004/02/skos/core#", "http://www.w3.org/ns/shacl#"
+# Predicates whose objects name a node, in order of trust.
+LABELS = [RDFS + "label", SKOS + "altLabel", "http://schema.org/name"]
+
+
+@dataclass
+class ClassCard:
+    iri: str
+    label: str
+    comment: str = ""
+    parents: list[str] = field(default_factory=list)
+    aliases: list[str] = field(default_factory=list)
+    module: str | None = None
+    instances: int = 0
+
+
+@dataclass
+class PropertyCard:
+    iri: str
+    label: str
+    comment: str = ""
+    kind: str = "literal"  # literal or object
+    domains: list[str] = field(default_factory=list)
+    ranges: list[str] = field(default_factory=list)
+    datatype: str | None = None
+    module: str | None = None
+    usage: dict[str, int] = field(default_factory=dict)
+    min_count: int | None = None
+    max_count: int | None = None
+    scheme: str | None = None
+    joins_with: list[str] = field(default_factory=list)
+    aliases: list[str] = field(default_factory=list)
+    samples: list[str] = field(default_factory=list)
+
+    @property
+    def uses(self) -> int:
+        return sum(self.usage.values())
+
+
+@dataclass
+class JoinLink:
+    """Two properties of different modules whose values identify the same things."""
+
+    a: str
+    b: str
+    overlap: int = 0
+
+
+@dataclass
+class Catalog:
+    classes: dict[str, ClassCard] = field(default_factory=dict)
+    properties: dict[str, PropertyCard] = field(default_factory=dict)
+    modules: dict[str, dict] = field(default_factory=dict)
+    joins: list[JoinLink] = field(default_factory=list)
+
+    def label(self, iri: str) -> str:
+        card = self.classes.get(iri) or self.properties.get(iri)
+        return card.label if card else split_camel(local_name(iri))
+
+    def ancestors(self, cls: str) -> list[str]:
+        """The classes above, nearest first; cycles end."""
+        seen, todo = [], [cls]
+        while todo:
+            for up in self.classes[todo[0]].parents if todo[0] in self.classes else []:
+                if up not in seen and up != cls:
+                    seen.append(up)
+                    todo.append(up)
+            todo.pop(0)
+        return seen
+
+    def descendants(self, cls: str) -> list[str]:
+        below: dict[str, list[str]] = defaultdict(list)
+        for c in self.classes.values():
+            for up in c.parents:
+                below[up].append(c.iri)
+        seen, todo = [], [cls]
+        while todo:
+            for down in below[todo.pop(0)]:
+                if down not in seen and down != cls:
+                    seen.append(down)
+                    todo.append(down)
+        return seen
+
+    def closure(self, cls: str) -> tuple[str, ...]:
+        return (cls, *self.descendants(cls))
+
+    def is_a(self, cls: str, other: str) -> bool:
+        return cls == other or other in self.ancestors(cls)
+
+    def instance_count(self, cls: str) -> int:
+        return sum(self.classes[c].instances for c in self.closure(cls) if c in self.classes)
+
+    def properties_of(self, cls: str) -> list[PropertyCard]:
+        """Those of the class and of all above it, the most used first."""
+        mine = {cls, *self.ancestors(cls)}
+        return sorted((p for p in self.properties.values() if mine & set(p.domains)), key=lambda p: (-p.uses, p.iri))
+
+    def incoming(self, cls: str) -> list[PropertyCard]:
+        mine = {cls, *self.ancestors(cls)}
+        return sorted((p for p in self.properties.values() if p.kind == "object" and mine & set(p.ranges)), key=lambda p: (-p.uses, p.iri))
+
+    def module_for(self, prop: str, subject: str | None) -> str | None:
+        """The module a property is read from for subjects of a class: the class's own where it is used there."""
+        card = self.properties[prop]
+        home = self.classes[subject].module if subject in self.classes else None
+        return home if home in card.usage else card.module
+
+    def prune(self) -> None:
+        """Drop classes without instances at or below them, and properties without uses."""
+        kept = {c for c in self.classes if self.instance_count(c)}
+        self.classes = {c: k for c, k in self.classes.items() if c in kept}
+        self.properties = {p: k for p, k in self.properties.items() if k.uses}
+
+    def save(self, path: str | Path) -> None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(json.dumps(asdict(self), indent=1, ensure_ascii=False))
+
+    @classmethod
+    def load(cls, path: str | Path) -> Catalog:
+        d = json.loads(Path(path).read_text())
+        return cls({k: ClassCard(**v) for k, v in d["classes"].items()}, {k: PropertyCard(**v) for k, v in d["properties"].items()}, d["modules"], [JoinLink(**j) for j in d["joins"]])
+
+
+def _by_subject(quads: DataFrame | None) -> dict[str, dict[str, list[str]]]:
+    """An ontology or shapes graph on the driver: such graphs are written by hand."""
+    out: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
+    for r in [] if quads is None else quads.where(F.coalesce("o_lang", F.lit("en")).startswith("en")).select("s", "p", "o").distinct().orderBy("s", "p", "o").collect():
+        out[r["s"]][r["p"]].append(r["o"])
+    return out
+
+
+def build_catalog(data: DataFrame, ontology: DataFrame | None = None, shapes: DataFrame | None = None, type_predicate: str = TYPE, prune: bool = False) -> Catalog:
+    """Cards from what is said, shapes before ontology before data; where the data shows what isn't said, data count.
+
+    The data are read by a few aggregations whose results are as large as the schema. Predicates that name nodes get
+    no card.
+    """
+    cat, skip = Catalog(), {*LABELS, RDFS + "comment", type_predicate}
+    onto = _by_subject(ontology)
+    first = lambda s, p, default="": next(iter(onto[s][p]), default) if s in onto else default
+    for s, said in onto.items():
+        kinds = set(said[RDF + "type"])
+        names = said[RDFS + "label"]
+        if kinds & {OWL + "Class", RDFS + "Class"}:
+            cat.classes[s] = ClassCard(s, names[0] if names else split_camel(local_name(s)), first(s, RDFS + "comment"), said[RDFS + "subClassOf"], names[1:] + said[SKOS + "altLabel"])
+        elif kinds & {OWL + "ObjectProperty", OWL + "DatatypeProperty", RDF + "Property"}:
+            ranges = said[RDFS + "range"]
+            literal = OWL + "DatatypeProperty" in kinds or any(_is_datatype(r) for r in ranges)
+            cat.properties[s] = PropertyCard(s, names[0] if names else split_camel(local_name(s)), first(s, RDFS + "comment"), "literal" if literal else "object", said[RDFS + "domain"], [r for r in ranges if not _is_datatype(r)], next((r for r in ranges if _is_datatype(r)), None), aliases=names[1:] + said[SKOS + "altLabel"])
+            for p, values in said.items():
+                if local_name(p) == "identifierScheme":
+                    cat.properties[s].scheme = values[0]
+                elif local_name(p) == "joinsWith":
+                    cat.properties[s].joins_with += values
+    _apply_shapes(cat, _by_subject(shapes))
+    _observe(cat, data, skip)
+    for card in [*cat.classes.values(), *cat.properties.values()]:
+        name = split_camel(local_name(card.iri)).lower()
+        if name != card.label.lower() and name not in card.aliases:
+            card.aliases.append(name)
+    if prune:
+        cat.prune()
+    _assign_modules(cat)
+    _find_joins(cat, data)
+    for r in data.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("p") != type_predicate).alias("n")).orderBy("g").collect():
+        tops = [c.iri for c in sorted(cat.classes.values(), key=lambda c: -c.instances) if c.module == r["g"]]
+        linked = sorted({cat.properties[x].module for j in cat.joins for x, y in ((j.a, j.b), (j.b, j.a)) if cat.properties[y].module == r["g"]} - {r["g"], None})
+        cat.modules[r["g"]] = {"triples": r["n"], "with_types": r["all"], "classes": tops, "linked": linked}
+    return cat
+
+
+def _is_datatype(iri: str) -> bool:
+    return iri.startswith(XSD) or iri in (RDFS + "Literal", RDF + "langString") or "/datatype/" in iri
+
+
+def _apply_shapes(cat: Catalog, shapes: dict[str, dict[str, list[str]]]) -> None:
+    for said in list(shapes.values()):
+        for target in said[SHACL + "targetClass"]:
+            for node in said[SHACL + "property"]:
+                rule = shapes[node]
+                for path in rule[SHACL + "path"]:
+                    card = cat.properties.setdefault(path, PropertyCard(path, split_camel(local_name(path))))
+                    if target not in card.domains:
+                        card.domains.append(target)
+                    if rule[SHACL + "datatype"]:
+                        card.kind, card.datatype = "literal", rule[SHACL + "datatype"][0]
+                    if rule[SHACL + "class"]:
+                        card.kind, card.ranges = "object", list(dict.fromkeys([*rule[SHACL + "class"], *card.ranges]))
+                    for key, name in (("minCount", "min_count"), ("maxCount", "max_count")):
+                        if rule[SHACL + key]:
+                            setattr(card, name, int(rule[SHACL + key][0]))
+
+
+def _observe(cat: Catalog, data: DataFrame, skip: set[str]) -> None:
+    for r in st.class_counts(data).collect():
+        card = cat.classes.setdefault(r["class"], ClassCard(r["class"], split_camel(local_name(r["class"]))))
+        card.instances += r["instances"]
+        card.module = card.module or r["g"]
+    for r in st.predicate_counts(data).orderBy("g", "p").collect():
+        if r["p"] in skip:
+            continue
+        card = cat.properties.setdefault(r["p"], PropertyCard(r["p"], split_camel(local_name(r["p"]))))
+        card.usage[r["g"]] = r["n"]
+        card.kind = "literal" if r["literals"] > r["objects"] else "object"
+        if card.kind == "literal" and r["datatype"]:
+            card.datatype = card.datatype or r["datatype"]
+    for card in cat.properties.values():
+        card.module = min(card.usage, key=lambda g: (-card.usage[g], g), default=None)
+    for r in st.observed_domains(data).orderBy(F.desc("share"), "class").collect():
+        card = cat.properties.get(r["p"])
+        if card and not any(cat.is_a(r["class"], d) for d in card.domains):
+            card.domains.append(r["class"])
+    for r in st.observed_ranges(data).orderBy(F.desc("n"), "class").collect():
+        card = cat.properties.get(r["p"])
+        # most specific classes first; one above another that is there already adds nothing
+        if card and card.kind == "object" and not any(cat.is_a(r["class"], d) or cat.is_a(d, r["class"]) for d in card.ranges):
+            card.ranges.append(r["class"])
+    for r in st.sample_values(data).orderBy("p", "at").collect():
+        if r["p"] in cat.properties:
+            cat.properties[r["p"]].samples.append(r["sample"])
+
+
+def _assign_modules(cat: Catalog) -> None:
+    """Classes without instances get the module of most of those below, else of the properties that mention them."""
+    for c in cat.classes.values():
+        if c.module is None:
+            below = [cat.classes[d] for d in cat.descendants(c.iri) if d in cat.classes and cat.classes[d].module]
+            near = [p.module for p in cat.properties.values() if c.iri in p.domains + p.ranges and p.module]
+            c.module = max(below, key=lambda d: d.instances).module if below else near[0] if near else next(iter(sorted({d.module for d in cat.classes.values() if d.module})), None)
+
+
+def _find_joins(cat: Catalog, data: DataFrame) -> None:
+    """Properties of different modules that share an identifier scheme or say that they join."""
+    pairs = set()
+    for p in cat.properties.values():
+        for q in cat.properties.values():
+            stated = q.iri in p.joins_with or p.iri in q.joins_with
+            if p.iri < q.iri and (stated or p.scheme and p.scheme == q.scheme) and p.module != q.module and p.uses and q.uses:
+                pairs.add((p.iri, q.iri))
+    for a, b in sorted(pairs):
+        overlap = st.shared_values(data, a, b).first()["shared"]
+        if overlap:
+            cat.joins.append(JoinLink(a, b, overlap))
