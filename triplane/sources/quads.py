@@ -38,7 +38,12 @@ def read_nquads(spark: SparkSession, path: str | list[str], graph: str | None =
     A line's own graph wins over ``graph``. Empty lines and comments are left out; other lines that can't be read are
     left out too, or fail the job with ``strict``. IRIs are taken as they are.
     """
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    return parse_lines(spark.read.text(path), graph, strict)
+
+
+def parse_lines(lines: DataFrame, graph: str | None = None, strict: bool = False) -> DataFrame:
+    """Lines of N-Triples or N-Quads, in column ``value``, as quads."""
+    lines = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
     part = lambda i: F.nullif(F.regexp_extract("value", _LINE, i), F.lit(""))
     if strict:
         lines = lines.where(F.col("value").rlike(_LINE) | F.raise_error(F.concat(F.lit("unreadable line: "), F.col("value"))).cast("boolean"))
