@@ -127,7 +127,7 @@ def eval_by_tag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_seconds(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.stage_means(_runs(spark, d), ["arm"]).withColumn("seconds", F.round("seconds", 6))
+    return metrics.stage_means(_runs(spark, d), ["arm"]).withColumn("seconds", F.round("seconds", 9))
 
 
 def failure_attribution(spark: SparkSession, d: str) -> DataFrame:
@@ -190,6 +190,6 @@ SQL.update(
         "eval_calibration": f"""WITH {_RUNS}, g AS (SELECT arm, unnest(gates) AS g FROM runs), v AS (SELECT arm, g.confidence AS c, g.passed::INT AS ok FROM g WHERE g.confidence IS NOT NULL AND NOT isnan(g.confidence) AND g.passed IS NOT NULL),
           b AS (SELECT arm, greatest(0, least(floor(c * 5), 4)) AS bin, count(*) AS n, avg(c) AS conf, avg(ok) AS acc FROM v GROUP BY 1, 2) SELECT arm, round(sum(n * abs(conf - acc)) / sum(n), 6) AS ece, sum(n)::BIGINT AS n FROM b GROUP BY 1""",
         "eval_by_tag": f"WITH {_RUNS}, t AS (SELECT unnest(list_distinct(tags)) AS tag, correct::INT AS ok FROM runs) SELECT tag, count(*) AS n, round(avg(ok), 6) AS accuracy FROM t GROUP BY 1",
-        "stage_seconds": f"WITH {_RUNS}, s AS (SELECT arm, unnest(map_entries(stages)) AS e FROM runs) SELECT arm, e.key AS stage, round(avg(e.value) / 1000, 6) AS seconds, count(*) AS n FROM s WHERE e.value IS NOT NULL AND NOT isnan(e.value) GROUP BY 1, 2",
+        "stage_seconds": f"WITH {_RUNS}, s AS (SELECT arm, unnest(map_entries(stages)) AS e FROM runs) SELECT arm, e.key AS stage, round(avg(e.value) / 1000, 9) AS seconds, count(*) AS n FROM s WHERE e.value IS NOT NULL AND NOT isnan(e.value) GROUP BY 1, 2",
     }
 )
