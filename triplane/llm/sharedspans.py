@@ -160,8 +160,8 @@ def windows_of(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame:
 
 
 def _stretches(docs: DataFrame, wanted: DataFrame, doc: str, text: str, length: int) -> DataFrame:
-    """``s1, s2, lo, hi, doc, at``: a 128-bit hash of each stretch in the wanted windows, with the window's class."""
-    schema = StructType.fromDDL("s1 long, s2 long, lo long, hi long, doc long, at long")
+    """``s1, s2, lo, hi, doc, first, place``: a 128-bit hash of each stretch in the wanted windows, with its place there."""
+    schema = StructType.fromDDL("s1 long, s2 long, lo long, hi long, doc long, first long, place int")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +170,9 @@ def _stretches(docs: DataFrame, wanted: DataFrame, doc: str, text: str, length:
             for d, t, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = memoryview(t.encode("utf-32-le", "surrogatepass"))
                 for w in windows:
-                    for at in range(w["first"], w["first"] + w["starts"]):
-                        out.append((*_halves(raw[4 * at : 4 * (at + length)]), w["lo"], w["hi"], d, at))
+                    for place in range(w["starts"]):
+                        at = 4 * (w["first"] + place)
+                        out.append((*_halves(raw[at : at + 4 * length]), w["lo"], w["hi"], d, w["first"], place))
                 if len(out) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
                     out = []
@@ -206,13 +207,17 @@ def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame
     cls = ["c1", "c2"]  # equal characters choose the same anchor and hold as many starts
     classes = materialize(w.groupBy(*cls).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("rep"), F.min("anchor").alias("anchor"), F.min("starts").alias("starts")), "classes")
     anchors = classes.groupBy("anchor").agg(F.min("lo").alias("alo"), F.max("hi").alias("ahi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") == F.col("hi")).alias("single")).where("n > 1 AND single > 0 AND alo < ahi").select("anchor")
-    wanted = classes.join(anchors, "anchor", "left_semi").select("rep.doc", "rep.first", "starts", "lo", "hi")
+    wanted = materialize(classes.join(anchors, "anchor", "left_semi").select("c1", "c2", "rep.doc", "rep.first", "starts", "lo", "hi"), "wanted")
     st = materialize(_stretches(docs, wanted, doc, text, length), "stretches")
     both = st.groupBy("s1", "s2").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi")).where("slo < shi").select("s1", "s2")
-    # Parts of single-text classes that another class shares; classes of several texts are shared whole already.
-    partial = st.where("lo = hi").join(both, ["s1", "s2"], "left_semi").select("doc", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    whole = w.join(classes.where("lo < hi").select(*cls), cls, "left_semi").select("doc", F.col("first").alias("a"), (F.col("first") + F.col("starts") + (length - 1)).alias("b"))
-    parts = whole.unionByName(partial)
+    # Runs of shared stretches in classes of one text; classes of several texts are shared whole already.
+    near = st.where("lo = hi").join(both, ["s1", "s2"], "left_semi").select("doc", "first", "place")
+    run = F.col("place") - F.row_number().over(Window.partitionBy("doc", "first").orderBy("place"))
+    runs = near.withColumn("run", run).groupBy("doc", "first", "run").agg(F.min("place").alias("from"), F.max("place").alias("to"))
+    partial = runs.join(wanted, ["doc", "first"]).select("c1", "c2", "from", "to")
+    verdicts = classes.where("lo < hi").select("c1", "c2", F.lit(0).alias("from"), (F.col("starts") - 1).alias("to")).unionByName(partial)
+    # A text may hold a window's characters more than once: the verdict goes to each place.
+    parts = w.join(verdicts, cls).select("doc", (F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + length).alias("b"))
     order = Window.partitionBy("doc").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = parts.withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
