@@ -145,14 +145,18 @@ class Compiler:
             for t in triples:
                 if isinstance(t.s, Var) and isinstance(t.p, str):
                     by.setdefault(t.s.name, []).append(t)
-            for subject, group in by.items():
+            todo = list(by.items())
+            while todo:
+                # subjects whose template is known come first: it may tell tables apart
+                todo.sort(key=lambda x: x[0] not in known)
+                subject, group = todo.pop(0)
                 types = [t.o.text for t in group if t.p == TYPE and isinstance(t.o, Term)]
                 valued = [t for t in group if t.p != TYPE]
                 names = [t.p for t in valued]
                 # A repeated predicate or a variable used twice needs a join of its own.
                 if len(set(names)) < len(names) or len(group) < 2:
                     continue
-                got = self.store.star(name, names, types)
+                got = self.store.star(name, names, types, known.get(subject))
                 if got is None:
                     continue
                 rel = Rel(got.df.withColumnRenamed("s", f"{subject}"), {subject: got.info["s"]})
@@ -162,16 +166,16 @@ class Compiler:
                 for i, t in enumerate(valued):
                     rel, c = self._placed(rel, f"o{i}", t.o)
                     constants += c
-                known[subject] = got.info["s"].template
+                _learn(known, rel)
                 out.append((constants, rel))
                 for t in [*valued, *(t for t in group if t.p == TYPE and isinstance(t.o, Term))]:
                     left.remove(t)
-        for t in left:
+        while left:
+            t = min(left, key=lambda t: (not (isinstance(t.s, Var) and t.s.name in known), self.store.holders(name, t.p if isinstance(t.p, str) else None), left.index(t)))
+            left.remove(t)
             rel = self._pattern(t, graph, known)
-            constants = sum(isinstance(x, Term) for x in (t.s, t.o))
-            out.append((constants, rel))
-            if isinstance(t.s, Var) and t.s.name in rel.info and rel.info[t.s.name].template:
-                known.setdefault(t.s.name, rel.info[t.s.name].template)
+            out.append((sum(isinstance(x, Term) for x in (t.s, t.o)), rel))
+            _learn(known, rel)
         return out
 
     def _placed(self, rel: Rel, column: str, place: Any) -> tuple[Rel, int]:
@@ -414,6 +418,13 @@ class Compiler:
         return out
 
 
+def _learn(known: dict[str, str], rel: Rel) -> None:
+    """Templates that variables are now known to be of."""
+    for n, i in rel.info.items():
+        if i.kind == "iri" and i.template and not i.maybe_null:
+            known.setdefault(n, i.template)
+
+
 def _float(text: str) -> float | None:
     try:
         return float(text)

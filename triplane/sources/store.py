@@ -97,6 +97,9 @@ class QuadStore:
     def __init__(self, quads: DataFrame) -> None:
         self.quads, self.spark = quads, quads.sparkSession
 
+    def holders(self, graph: str | None, predicate: str | None) -> int:  # noqa: ARG002
+        return 1
+
     def graphs(self) -> list[str]:
         return sorted(r["g"] for r in self.quads.select("g").distinct().collect() if r["g"] is not None)
 
@@ -115,7 +118,7 @@ class QuadStore:
             keep = [c for c in keep if c != "g"]
         return Rel(df, {**{c: Info("iri") for c in keep}, "o": Info("any")})
 
-    def star(self, graph: str | None, predicates: list[str], types: list[str]) -> None:  # noqa: ARG002
+    def star(self, graph: str | None, predicates: list[str], types: list[str], template: str | None = None) -> None:  # noqa: ARG002
         """Quads hold one predicate a row: nothing to read at once."""
         return None
 
@@ -148,7 +151,10 @@ class Entity:
 
 
 class MappedStore:
-    """Relational tables as a graph. Patterns become column reads; keys stay in their SQL type until they are shown."""
+    """Relational tables as a graph. Patterns become column reads; keys stay in their SQL type until they are shown.
+
+    Different templates must make different IRIs: a variable known to be of one is looked for in no other's tables.
+    """
 
     def __init__(self, entities: list[Entity]) -> None:
         self.entities = entities
@@ -190,10 +196,14 @@ class MappedStore:
             rel = Rel(rel.df.drop("g").distinct() if len(parts) > 1 else rel.df.drop("g"), {k: v for k, v in rel.info.items() if k != "g"})
         return rel
 
-    def star(self, graph: str | None, predicates: list[str], types: list[str]) -> Rel | None:
+    def holders(self, graph: str | None, predicate: str | None) -> int:
+        """How many tables a predicate is read from."""
+        return sum(predicate in (None, TYPE) or any(p.iri == predicate for p in e.properties) for e in self._fitting(graph, None))
+
+    def star(self, graph: str | None, predicates: list[str], types: list[str], template: str | None = None) -> Rel | None:
         """All of ``predicates`` of one subject from one scan: columns ``s`` and ``o0``, ``o1``, … Subjects lacking one
         fall out. None unless exactly one table has them all (and the classes ``types``), once per key."""
-        fits = [e for e in self._fitting(graph, None) if all(t == e.cls for t in types) and all(any(p.iri == i for p in e.properties) for i in predicates)]
+        fits = [e for e in self._fitting(graph, template) if all(t == e.cls for t in types) and all(any(p.iri == i for p in e.properties) for i in predicates)]
         if len(fits) != 1 or not fits[0].unique:
             return None
         # Other tables may hold some of these predicates for other subjects, but no other holds all of them.
