@@ -119,7 +119,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_stages(spark: SparkSession, d: str) -> DataFrame:
     t = node_table(run_nodes(spark, d), "run_id", F.col("kind") == "stages")
-    return t.select("run_id", F.col("name").alias("stage"), F.col("value").cast("double").alias("ms"), "parent_pre", "pre", "post")
+    return t.select("run_id", F.col("name").alias("stage"), F.col("value").cast("double").alias("ms"))
 
 
 def p3_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -144,6 +144,17 @@ def p3_steps_in_links(spark: SparkSession, d: str) -> DataFrame:
     return contained(nodes.where("kind = 'plan.links'"), nodes.where("kind <> 'plan.links'"), "run_id")
 
 
+_ONCE = "once AS (SELECT run_id, arg_min(struct_pack(stages := stages, gates := gates, plan := plan), (loaded_at, plan)) AS r FROM eval_run WHERE run_id IS NOT NULL GROUP BY 1)"
+_LONE = f"'\\.({'|'.join(LIST_FIELDS)})\\.', '.\\1[0].', 'g'"
+_P3 = f"""WITH {_ONCE},
+  g AS (SELECT run_id, i - 1 AS i, r.gates[i] AS g FROM (SELECT run_id, r, unnest(range(1, len(r.gates) + 1)) AS i FROM once) WHERE r.gates[i] IS NOT NULL),
+  j AS (SELECT run_id, CASE WHEN NOT json_valid(r.plan) THEN NULL WHEN json_type(r.plan) = 'VARCHAR' THEN json_extract_string(r.plan, '$') ELSE r.plan END AS p FROM once WHERE r.plan IS NOT NULL),
+  t AS (SELECT j.run_id, t.fullkey AS k FROM (SELECT * FROM j WHERE p IS NOT NULL AND json_valid(p)) j, json_tree(j.p) t WHERE t.type = 'OBJECT' AND t.fullkey <> '$')
+SELECT run_id, 'stages[' || k || ']' AS path FROM (SELECT run_id, unnest(map_keys(r.stages)) AS k FROM once)
+UNION ALL SELECT run_id, 'gates[' || i || ']' FROM g
+UNION ALL SELECT run_id, 'gates[' || i || '].probabilities[' || k || ']' FROM (SELECT run_id, i, unnest(map_keys(g.probabilities)) AS k FROM g)
+UNION ALL SELECT run_id, 'plan' || rtrim(regexp_replace(regexp_replace(substr(k, 2) || '.', {_LONE}), {_LONE}), '.') FROM t"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -155,6 +166,8 @@ QUERIES = {
     "p3_steps_in_links": p3_steps_in_links,
 }
 SQL = {
+    "p3_found": _P3,
+    "p3_stages": f"WITH {_ONCE}, s AS (SELECT run_id, unnest(map_entries(r.stages)) AS e FROM once) SELECT run_id, e.key AS stage, e.value AS ms FROM s",
     "p1_found": f"SELECT tab, rec_id, ref, kind, period FROM ({_P1_LINKS}) WHERE kind <> 'live'",
     "p1_report": f"""SELECT tab, period, count(*) AS links, count(*) FILTER (kind = 'missing') AS missing,
         count(*) FILTER (kind = 'late') AS late, count(*) FILTER (kind = 'deleted') AS deleted FROM ({_P1_LINKS}) GROUP BY tab, period""",
