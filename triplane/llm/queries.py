@@ -197,4 +197,28 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_shared": p9_shared,
 }
-SQL = {"p2_found": P2_SQL, **P4_SQL}
+_SPACE = "[\\s\\p{Z}]"
+_PREFIX = f"prefix{_SPACE}+[^\\s:]*{_SPACE}*:{_SPACE}*<[^>]*>"
+#: Patterns are told apart by a dot before white space; right for these tables, where no string holds one.
+_P6 = f"""WITH f AS (SELECT row_id, lower(regexp_replace(question, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS q, lower(gold_sparql) AS s FROM benchmark_item),
+  p AS (SELECT row_id, q, list_sort(list_transform(regexp_extract_all(s, '{_PREFIX}'), lambda x: regexp_replace(x, '{_SPACE}', '', 'g'))) AS prefixes, regexp_replace(s, '{_PREFIX}', '', 'g') AS rest FROM f),
+  k AS (SELECT row_id, q, prefixes, regexp_replace(regexp_extract(rest, '^([^{{]*)', 1), '{_SPACE}', '', 'g') AS head,
+    list_sort(list_filter(list_transform(regexp_split_to_array(regexp_extract(rest, '^[^{{]*\\{{(.*)\\}}', 1, 's'), '\\.({_SPACE}+|$)'), lambda x: regexp_replace(x, '{_SPACE}', '', 'g')), lambda x: x <> '')) AS body FROM p),
+  c AS (SELECT row_id, min(row_id) OVER (PARTITION BY q, prefixes, head, body) AS keep FROM k)"""
+#: Every stretch of every text: for small tables.
+_P9 = f"""WITH s AS (SELECT doc_id, unnest(range(0, length(text) - {SPAN - 1})) AS a, text FROM documents WHERE length(text) >= {SPAN}),
+  h AS (SELECT doc_id, a, substr(text, a + 1, {SPAN}) AS t FROM s), m AS (SELECT t FROM h GROUP BY t HAVING min(doc_id) < max(doc_id)),
+  x AS (SELECT doc_id, a FROM h WHERE t IN (SELECT t FROM m)),
+  n AS (SELECT doc_id, a, CASE WHEN a <= lag(a) OVER w + {SPAN} THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+  i AS (SELECT doc_id, a, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS island FROM n),
+  found AS (SELECT doc_id, min(a) AS span_start, max(a) + {SPAN} AS span_end FROM i GROUP BY doc_id, island)"""
+SQL = {
+    "p2_found": P2_SQL,
+    **P4_SQL,
+    "p6_found": f"{_P6} SELECT keep AS keep_id, row_id AS copy_id FROM c WHERE keep <> row_id",
+    "p6_items": f"{_P6} SELECT keep AS row_id, count(*) AS copies FROM c GROUP BY 1",
+    "p9_found": f"{_P9} SELECT doc_id, span_start, span_end FROM found",
+    "p9_shared": f"""{_P9}, t AS (SELECT doc_id, sum(span_end - span_start) AS c, count(*) AS k FROM found GROUP BY 1)
+      SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0)::BIGINT AS shared_chars, coalesce(k, 0) AS spans,
+        CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE 0.0 END AS shared_fraction FROM documents d LEFT JOIN t USING (doc_id)""",
+}
