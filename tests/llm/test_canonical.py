@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from triplane.llm import canonical
 from triplane.llm.canonical import closest, edit_similarity, name_form, reference_names, similar, tokens_of
 
 
@@ -13,8 +14,10 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("near", [0.3, 0.4, 0.8])
-def test_no_pair_is_lost(spark, near):
+@pytest.mark.parametrize(("near", "small"), [(0.3, True), (0.4, False), (0.4, True), (0.8, False)])
+def test_no_pair_is_lost(spark, monkeypatch, near, small):
+    if not small:
+        monkeypatch.setattr(canonical, "BROADCAST_ENTRIES", 0)
     rng = random.Random(int(near * 10))
     word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 6)))
     left = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(150)} | {"日本", "é" * 3})

@@ -16,7 +16,9 @@ from ..runtime import materialize, shuffle_partitions
 FILLERS = frozenset({"a", "an", "the", "our", "my", "new", "please", "again", "model"})
 #: Least Jaccard similarity of the token sets of a value and an entry.
 NEAR = 0.4
-#: Copies of the reference's prefixes over which a token's values are spread.
+#: Entries up to which the reference's prefixes are sent to every task (some 3 KB an entry); beyond that both sides are
+#: shuffled, a token's values spread over SALTS copies of its entries.
+BROADCAST_ENTRIES = 10_000
 SALTS = 16
 #: Values whose prefixes one task compares.
 ROWS_A_TASK = 4000
@@ -100,8 +102,9 @@ def similar(left: DataFrame, right: DataFrame, near: float = NEAR) -> DataFrame:
     differ too much in length, or whose rest after the shared token is too short, fall out before any set is compared.
     A pair is verified on its rarest common token only, so it comes once and needs no distinct.
 
-    Prefixes of ``left`` are salted and those of ``right`` repeated for each salt, so a token in a third of all rows
-    is spread over tasks. Token counts are at most 101^2 and are all that is collected.
+    ``right`` is counted first. If it is small, its prefixes go to every task and ``left`` isn't shuffled by token at
+    all. Else prefixes of ``left`` are salted and those of ``right`` repeated for each salt, so a token in a third of
+    all rows is spread over tasks. Token counts are at most 101^2 and are all that is collected.
     """
     import math
 
@@ -125,12 +128,17 @@ def similar(left: DataFrame, right: DataFrame, near: float = NEAR) -> DataFrame:
         head = n - F.ceil(n * near - eps).cast("int") + 1
         return df.select("form", ranked("t").alias("t")).select(F.col("form").alias(side), F.col("t").alias(f"{side}_t"), n.alias(f"{side}_n"), F.posexplode(F.slice("t", 1, head)).alias(f"{side}_at", "token"), salt.alias("salt"))
 
-    x = prefixes(sets[0].repartition(tasks, "form"), "x", F.pmod(F.xxhash64("form"), F.lit(SALTS)).cast("int"))
-    y = prefixes(sets[1], "y", F.array(*[F.lit(i) for i in range(SALTS)])).withColumn("salt", F.explode("salt"))
+    if sets[1].count() <= BROADCAST_ENTRIES:
+        keys, none = ["token"], F.lit(0)
+        x, y = prefixes(sets[0].repartition(tasks, "form"), "x", none), F.broadcast(prefixes(sets[1], "y", none).drop("salt"))
+    else:
+        keys = ["token", "salt"]
+        x = prefixes(sets[0].repartition(tasks, "form"), "x", F.pmod(F.xxhash64("form"), F.lit(SALTS)).cast("int"))
+        y = prefixes(sets[1], "y", F.array(*[F.lit(i) for i in range(SALTS)])).withColumn("salt", F.explode("salt")).hint("merge")
     lengths = (F.col("y_n") >= F.col("x_n") * near - eps) & (F.col("x_n") >= F.col("y_n") * near - eps)
     rest = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
     position = rest >= (F.col("x_n") + F.col("y_n")) * (near / (1 + near)) - eps
-    met = x.join(y, ["token", "salt"]).where(lengths & position)
+    met = x.join(y, keys).where(lengths & position)
     common = met.select("x", "y", "token", F.array_intersect("x_t", "y_t").alias("c"), (F.col("x_n") + F.col("y_n")).alias("n")).where(F.element_at("c", 1) == F.col("token"))
     jaccard = F.size("c") / (F.col("n") - F.size("c"))
     return common.select(F.col("x").alias("form"), F.col("y").alias("other"), jaccard.alias("jaccard")).where(F.col("jaccard") >= near - math.ulp(1))
