@@ -151,7 +151,7 @@ def closest(values: DataFrame, value: str, names: DataFrame, near: float = NEAR)
     within Jaccard ``near`` are verified by edit distance, and the best mean of both wins; ties go to the least key.
     Values without letters or digits have NULL key. NULL values give no row. Texts of any length are compared whole.
     """
-    texts = values.select(F.col(value).alias("value")).where("value IS NOT NULL").distinct().withColumn("form", form_udf("value"))
+    texts = materialize(values.select(F.col(value).alias("value")).where("value IS NOT NULL").distinct().withColumn("form", form_udf("value")), "texts")
     forms = texts.select("form").where("form <> ''").distinct()
     exact = forms.join(names, "form").select("form", "key", F.lit(1.0).alias("similarity"))
     open_ = forms.join(names, "form", "left_anti")

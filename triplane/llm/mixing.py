@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 #: Most cells (source x language x topic) raked on the driver; more is an error, not a silent cut.
-MAX_CELLS = 500_000
+MAX_CELLS = 100_000
 #: Classes into which a source's draws are cut to find where its budget ends.
 STEPS = 1 << 16
 
