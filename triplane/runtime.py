@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,5 +71,21 @@ def _release_all() -> None:
             pass
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that they need no copy of it on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="triplane-code-")) / "triplane.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, Path("triplane") / f.relative_to(here))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
