@@ -64,18 +64,19 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def compact_windows(chars: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The compact windows of texts laid end to end: first start, number of starts, and hash of the least token.
+def compact_windows(chars: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The compact windows of texts laid end to end: first start, number of starts, the hashes of the least token and
+    of the tokens half a reach before and after it, and whether those lie in the window.
 
     A stretch is ``length`` characters of one text; its signature is the least of its tokens' hashes, the leftmost on
     ties. Following stretches that owe their signature to the same token form one window. These are the nodes of the
     Cartesian tree over the token hashes that are wide enough for a stretch: a node's token is the least of exactly
     the stretches that lie in its interval and hold it. Each stretch is in one window.
     """
-    none = np.zeros(0, np.int64)
+    none, no_hash, no = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     width = length - TOKEN + 1
     if len(chars) < length:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, no_hash, no_hash, no_hash, no, no
     hashes = token_hashes(chars, TOKEN)
     place = np.arange(len(hashes), dtype=np.uint64)
     # High bits of the hash, then the place: the least is the leftmost among equals. Both keep their order when the
@@ -83,13 +84,17 @@ def compact_windows(chars: np.ndarray, owner: np.ndarray, length: int) -> tuple[
     least = (sliding_least((hashes & ~np.uint64(0xFFFFFF)) | place, width) & np.uint64(0xFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(owner[: len(least)] == owner[length - 1 : length - 1 + len(least)])
     if not len(starts):
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, no_hash, no_hash, no_hash, no, no
     token = least[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (token[1:] != token[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
     first, count = starts[at], np.diff(np.append(at, len(starts)))
-    return first, count, hashes[token[at]]
+    anchor = token[at]
+    half = width // 2
+    before, after = anchor - half, anchor + half
+    has_before, has_after = before >= first, after + TOKEN <= first + count - 1 + length
+    return first, count, hashes[anchor], hashes[np.where(has_before, before, 0)], hashes[np.where(has_after, after, 0)], has_before, has_after
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list]]:
@@ -120,7 +125,7 @@ def _chars(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-_WINDOWS = "doc long, first long, starts int, anchor long, c1 long, c2 long"
+_WINDOWS = "doc long, first long, starts int, anchor long, before long, after long, c1 long, c2 long"
 
 
 def _int64(x: int) -> int:
@@ -145,7 +150,7 @@ def windows_of(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame:
                 sizes = np.array([len(t) for _, _, t in part])
                 begin = np.cumsum(sizes) - sizes
                 owner = np.repeat(np.arange(len(part)), sizes)
-                first, count, anchor = compact_windows(chars, owner, length)
+                first, count, anchor, before, after, has_before, has_after = compact_windows(chars, owner, length)
                 if not len(first):
                     continue
                 raw = memoryview(chars).cast("B")
@@ -153,8 +158,8 @@ def windows_of(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame:
                 own = owner[first]
                 doc_ids = np.array([i for i, _, _ in part], np.int64)[own]
                 moved = np.array([at for _, at, _ in part], np.int64)[own]
-                columns = [doc_ids, first - begin[own] + moved, count, anchor.view(np.int64), content[:, 0], content[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                columns = [doc_ids, first - begin[own] + moved, count, anchor.view(np.int64), pa.array(before.view(np.int64), mask=~has_before), pa.array(after.view(np.int64), mask=~has_after), content[:, 0], content[:, 1]]
+                yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND length(text) >= %d" % length).mapInArrow(run, schema)
 
@@ -191,29 +196,38 @@ def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame
     shorter than ``length`` have none. ``doc`` identifies a text: rows that repeat it must hold equal texts.
 
     Equal stretches hold equal tokens, so they fall into windows with equal anchor tokens: one hash function finds
-    every pair of them (near-duplicates would need several). Windows are then handled in classes of equal content:
+    every pair of them (near-duplicates would need several). Windows whose anchor stands in one text only are dropped
+    first. The others are handled in classes of equal content:
 
     1. Windows with the same characters and the same anchor form a class; only the number of texts is kept, as the
        least and greatest id, added up map-side. A class of two or more texts is shared as a whole.
-    2. An anchor whose classes come from two or more texts, one of them from one text only, joins windows that agree in part, at the edges of copied
-       passages. One representative of each such class gives the hash of each of its stretches; a stretch whose
-       classes hold two or more texts is shared. This is the interval join, by content instead of by pairs.
+    2. Classes may agree in part, at the edges of copied passages. A stretch reaches half the width before its anchor
+       or half after it, so two classes that share one have equal tokens there too; where such a pair of tokens joins
+       classes of two or more texts, one of them from one text only, a representative of each class gives the hash of
+       each of its stretches. A stretch whose classes hold two or more texts is shared. This is the interval join, by
+       content instead of by pairs.
     3. The verdict on a class goes back to all its windows.
 
     No step pairs texts: a passage in a third of all texts is one class. Hash equality over 128 bits stands for equal
     characters (chance of one false match among 10^15 stretches below 10^-8).
     """
-    w = materialize(windows_of(docs, doc, text, length), "windows")
+    every = materialize(windows_of(docs, doc, text, length), "windows")
+    met = every.groupBy("anchor").agg(F.min("doc").alias("alo"), F.max("doc").alias("ahi")).where("alo < ahi").select("anchor")
+    w = materialize(every.join(met, "anchor", "left_semi"), "met")
     cls = ["c1", "c2"]  # equal characters choose the same anchor and hold as many starts
-    classes = materialize(w.groupBy(*cls).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("rep"), F.min("anchor").alias("anchor"), F.min("starts").alias("starts")), "classes")
-    anchors = classes.groupBy("anchor").agg(F.min("lo").alias("alo"), F.max("hi").alias("ahi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") == F.col("hi")).alias("single")).where("n > 1 AND single > 0 AND alo < ahi").select("anchor")
-    wanted = materialize(classes.join(anchors, "anchor", "left_semi").select("c1", "c2", "rep.doc", "rep.first", "starts", "lo", "hi"), "wanted")
+    one = [F.min(c).alias(c) for c in ("anchor", "before", "after", "starts")]
+    classes = materialize(w.groupBy(*cls).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("rep"), *one), "classes")
+    sides = classes.select(*cls, "anchor", "lo", "hi", F.posexplode(F.array("before", "after")).alias("side", "token")).where("token IS NOT NULL")
+    side = ["anchor", "side", "token"]
+    joining = sides.groupBy(*side).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") == F.col("hi")).alias("single"), F.min("lo").alias("slo"), F.max("hi").alias("shi")).where("n > 1 AND single > 0 AND slo < shi").select(*side)
+    near = sides.join(joining, side, "left_semi").select(*cls).distinct()
+    wanted = materialize(classes.join(near, cls, "left_semi").select(*cls, "rep.doc", "rep.first", "starts", "lo", "hi"), "wanted")
     st = materialize(_stretches(docs, wanted, doc, text, length), "stretches")
     both = st.groupBy("s1", "s2").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi")).where("slo < shi").select("s1", "s2")
     # Runs of shared stretches in classes of one text; classes of several texts are shared whole already.
-    near = st.where("lo = hi").join(both, ["s1", "s2"], "left_semi").select("doc", "first", "place")
+    shared = st.where("lo = hi").join(both, ["s1", "s2"], "left_semi").select("doc", "first", "place")
     run = F.col("place") - F.row_number().over(Window.partitionBy("doc", "first").orderBy("place"))
-    runs = near.withColumn("run", run).groupBy("doc", "first", "run").agg(F.min("place").alias("from"), F.max("place").alias("to"))
+    runs = shared.withColumn("run", run).groupBy("doc", "first", "run").agg(F.min("place").alias("from"), F.max("place").alias("to"))
     partial = runs.join(wanted, ["doc", "first"]).select("c1", "c2", "from", "to")
     verdicts = classes.where("lo < hi").select("c1", "c2", F.lit(0).alias("from"), (F.col("starts") - 1).alias("to")).unionByName(partial)
     # A text may hold a window's characters more than once: the verdict goes to each place.
