@@ -24,8 +24,8 @@ NODE_SCHEMA = "kind string, path string, pre int, post int, depth int, parent_pr
 class Walk:
     """Depth-first traversal of one record that hands out the labels."""
 
-    def __init__(self, list_fields: frozenset[str]) -> None:
-        self.list_fields, self.rows, self.pre, self.post = list_fields, [], 0, 0
+    def __init__(self, list_fields: frozenset[str], values: bool = True) -> None:
+        self.list_fields, self.values, self.rows, self.pre, self.post = list_fields, values, [], 0, 0
 
     def open(self, kind: str, path: str, depth: int, parent: int, pos: int | None, name: str | None, is_object: bool, value: str | None = None) -> list:
         row = [kind, path, self.pre, -1, depth, parent, pos, name, is_object, value]
@@ -49,8 +49,8 @@ class Walk:
                 self.close(item[1])
                 continue
             _, obj, p, k, up, d, pos, name = item
-            flat = {f: v for f, v in obj.items() if not _holds_object(v)}
-            row = self.open(k, p, d, up, pos, name, True, json.dumps(flat, ensure_ascii=False))
+            value = json.dumps({f: v for f, v in obj.items() if not _holds_object(v)}, ensure_ascii=False) if self.values else None
+            row = self.open(k, p, d, up, pos, name, True, value)
             todo.append(("out", row))
             below: list[tuple] = []
             for f, v in obj.items():
@@ -100,11 +100,11 @@ def parse_json(text: str | None) -> Any:
         return None
 
 
-def label_nodes(df: DataFrame, key: str, columns: list[str], walk: Callable[..., None], list_fields: Iterable[str] = ()) -> DataFrame:
+def label_nodes(df: DataFrame, key: str, columns: list[str], walk: Callable[..., None], list_fields: Iterable[str] = (), values: bool = True) -> DataFrame:
     """One row per node of each record: ``key`` and :data:`NODE_SCHEMA`.
 
     ``walk(walk_state, *values)`` labels one record from the values of ``columns``; it runs in one pass over Arrow
-    batches, with no shuffle. A record never crosses a task, so its labels are final as they are handed out.
+    batches, with no shuffle. ``values=False`` leaves the nodes' values out, which are most of the work. A record never crosses a task, so its labels are final as they are handed out.
     """
     fields = frozenset(list_fields)
     schema = StructType([df.schema[key], *StructType.fromDDL(NODE_SCHEMA)])
@@ -115,10 +115,10 @@ def label_nodes(df: DataFrame, key: str, columns: list[str], walk: Callable[...,
             for start in range(0, batch.num_rows, RECORDS_AT_ONCE):
                 part = batch.slice(start, RECORDS_AT_ONCE)
                 keys, rows = [], []
-                for k, *values in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    w = Walk(fields)
+                for k, *cells in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    w = Walk(fields, values)
                     root = w.open("", "", 0, -1, None, None, False)
-                    walk(w, *values)
+                    walk(w, *cells)
                     w.close(root)
                     keys.append(itertools.repeat(k, len(w.rows)))
                     rows.extend(w.rows)

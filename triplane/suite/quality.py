@@ -87,8 +87,8 @@ def walk_run(w: Walk, stages: list | None, gates: list | None, plan: str | None)
     for i, gate in enumerate(gates or []):
         if gate is None:
             continue
-        flat = {k: v for k, v in gate.items() if k != "probabilities"}
-        row = w.open("gates", f"gates[{i}]", 1, 0, i, None, True, _json(flat))
+        value = _json({k: v for k, v in gate.items() if k != "probabilities"}) if w.values else None
+        row = w.open("gates", f"gates[{i}]", 1, 0, i, None, True, value)
         for name, value in sorted(gate["probabilities"] or []):
             w.close(w.open("gates.probabilities", f"gates[{i}].probabilities[{name}]", 2, row[2], None, name, False, None if value is None else repr(value)))
         w.close(row)
@@ -103,18 +103,18 @@ def _json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, default=str)
 
 
-def run_nodes(spark: SparkSession, d: str) -> DataFrame:
+def run_nodes(spark: SparkSession, d: str, values: bool = True) -> DataFrame:
     """The node table of ``eval_run``, one delivery per run: the first loaded, then the least plan text.
 
     Runs without ``run_id`` can't be linked to anything and give no rows.
     """
     runs = read_table(spark, d, "eval_run").select("run_id", "stages", "gates", "plan", "loaded_at").where("run_id IS NOT NULL")
     once = runs.groupBy("run_id").agg(F.min_by(F.struct("stages", "gates", "plan"), F.struct("loaded_at", "plan")).alias("r")).select("run_id", "r.*")
-    return label_nodes(once, "run_id", ["stages", "gates", "plan"], walk_run, LIST_FIELDS)
+    return label_nodes(once, "run_id", ["stages", "gates", "plan"], walk_run, LIST_FIELDS, values)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return run_nodes(spark, d).where("kind NOT IN ('', 'plan')").select("run_id", "path")
+    return run_nodes(spark, d, values=False).where("kind NOT IN ('', 'plan')").select("run_id", "path")
 
 
 def p3_stages(spark: SparkSession, d: str) -> DataFrame:
