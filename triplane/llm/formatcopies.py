@@ -28,7 +28,8 @@ def equal_runs(df: DataFrame, key: str, rec: str, partitions: int | None = None)
     on two border rows, and a scan of those, two rows a task, tells where such a run began.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("k"), F.col(rec).alias("r")).where("k IS NOT NULL AND r IS NOT NULL")
+    # Written first: the range partitioning samples its input before it reads it, and keys are costly to make.
+    rows = materialize(df.select(F.col(key).alias("k"), F.col(rec).alias("r")).where("k IS NOT NULL AND r IS NOT NULL"), "keys")
     ordered = rows.repartitionByRange(partitions or shuffle_partitions(spark), "k", "r").sortWithinPartitions("k", "r")
     kinds = {f.name: f.dataType for f in ordered.schema}
     schema = StructType([StructField("r", kinds["r"]), StructField("keep", kinds["r"]), StructField("task", IntegerType()), StructField("run0", BooleanType()), StructField("edge", IntegerType()), StructField("k", kinds["k"])])

@@ -6,8 +6,8 @@ import re
 import unicodedata
 
 _PREFIX = re.compile(r"\s*prefix\s+([^\s:]*)\s*:\s*(<[^>]*>)", re.IGNORECASE)
-#: Signs of a pattern that must stay whole: strings, IRIs, numbers and names with dots inside them.
-_WHOLE = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|<[^<>\s]*>|\d+\.\d+|[?$]?[\w:-]+(?:\.[\w:-]+)+|.', re.DOTALL)
+#: Signs of a pattern that must stay whole: strings, IRIs, numbers and names with dots inside them; white space in runs.
+_WHOLE = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|<[^<>\s]*>|[?$]?[\w:-]+(?:\.[\w:-]+)*|\s+|.', re.DOTALL)
 
 
 def question_form(text: str | None) -> str | None:
