@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..runtime import materialize, shuffle_partitions
 
@@ -72,9 +72,24 @@ def form_udf(text: pd.Series) -> pd.Series:
     return text.map(name_form, na_action="ignore")
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def tokens_udf(form: pd.Series) -> pd.Series:
-    return form.map(lambda f: sorted(tokens_of(f)))
+#: 64-bit words of a set's signature.
+WORDS = 4
+
+
+def signature(tokens: set[int]) -> list[int]:
+    """A bit per token, several tokens to a bit; as signed words."""
+    bits = 0
+    for t in tokens:
+        bits |= 1 << ((t * 2654435761 >> 7) % (64 * WORDS))
+    words = [(bits >> (64 * i)) & (1 << 64) - 1 for i in range(WORDS)]
+    return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
+@F.pandas_udf(StructType([StructField("t", ArrayType(IntegerType())), *(StructField(f"b{i}", LongType()) for i in range(WORDS))]))
+def tokens_udf(form: pd.Series) -> pd.DataFrame:
+    sets = [tokens_of(f) for f in form]
+    words = [signature(s) for s in sets]
+    return pd.DataFrame({"t": [sorted(s) for s in sets]} | {f"b{i}": pd.Series([w[i] for w in words], dtype="int64") for i in range(WORDS)})
 
 
 @F.pandas_udf(DoubleType())
@@ -99,7 +114,8 @@ def similar(left: DataFrame, right: DataFrame, near: float = NEAR) -> DataFrame:
 
     Both sides have ``form``, distinct and not NULL. Tokens are ordered by rarity over both sides. Two sets as similar
     as that share a token among the first n - ceil(near n) + 1 of each, so only these prefixes are joined; pairs that
-    differ too much in length, or whose rest after the shared token is too short, fall out before any set is compared.
+    differ too much in length, whose rest after the shared token is too short, or whose signatures leave room for too few
+    common tokens, fall out before any set is compared; none of these filters loses a pair.
     A pair is verified on its rarest common token only, so it comes once and needs no distinct.
 
     ``right`` is counted first. If it is small, its prefixes go to every task and ``left`` isn't shuffled by token at
@@ -109,7 +125,7 @@ def similar(left: DataFrame, right: DataFrame, near: float = NEAR) -> DataFrame:
     import math
 
     eps = 1e-9
-    sets = [materialize(df.select("form", tokens_udf("form").alias("t")), "sets") for df in (left, right)]
+    sets = [materialize(df.select("form", tokens_udf("form").alias("s")).select("form", "s.*"), "sets") for df in (left, right)]
     counts = sets[0].unionByName(sets[1]).select(F.explode("t").alias("t")).groupBy("t").count().collect()
     rank = {r["t"]: i for i, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["t"])))}
     order = left.sparkSession.sparkContext.broadcast(rank)
@@ -126,7 +142,8 @@ def similar(left: DataFrame, right: DataFrame, near: float = NEAR) -> DataFrame:
     def prefixes(df: DataFrame, side: str, salt: Column) -> DataFrame:
         n = F.size("t")
         head = n - F.ceil(n * near - eps).cast("int") + 1
-        return df.select("form", ranked("t").alias("t")).select(F.col("form").alias(side), F.col("t").alias(f"{side}_t"), n.alias(f"{side}_n"), F.posexplode(F.slice("t", 1, head)).alias(f"{side}_at", "token"), salt.alias("salt"))
+        bits = [f"b{i}" for i in range(WORDS)]
+        return df.select("form", ranked("t").alias("t"), *bits).select(F.col("form").alias(side), F.col("t").alias(f"{side}_t"), n.alias(f"{side}_n"), *[F.col(b).alias(f"{side}_{b}") for b in bits], F.posexplode(F.slice("t", 1, head)).alias(f"{side}_at", "token"), salt.alias("salt"))
 
     if sets[1].count() <= BROADCAST_ENTRIES:
         keys, none = ["token"], F.lit(0)
@@ -138,7 +155,11 @@ def similar(left: DataFrame, right: DataFrame, near: float = NEAR) -> DataFrame:
     lengths = (F.col("y_n") >= F.col("x_n") * near - eps) & (F.col("x_n") >= F.col("y_n") * near - eps)
     rest = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
     position = rest >= (F.col("x_n") + F.col("y_n")) * (near / (1 + near)) - eps
-    met = x.join(y, keys).where(lengths & position)
+    # A bit set on one side only stands for a token, or more, that isn't common.
+    alone = lambda a, b: sum((F.bit_count(F.col(f"{a}_b{i}").bitwiseAND(F.bitwise_not(f"{b}_b{i}"))) for i in range(WORDS)), F.lit(0))
+    most = F.least(F.col("x_n") - alone("x", "y"), F.col("y_n") - alone("y", "x"))
+    enough = most >= (F.col("x_n") + F.col("y_n")) * (near / (1 + near)) - eps
+    met = x.join(y, keys).where(lengths & position & enough)
     common = met.select("x", "y", "token", F.array_intersect("x_t", "y_t").alias("c"), (F.col("x_n") + F.col("y_n")).alias("n")).where(F.element_at("c", 1) == F.col("token"))
     jaccard = F.size("c") / (F.col("n") - F.size("c"))
     return common.select(F.col("x").alias("form"), F.col("y").alias("other"), jaccard.alias("jaccard")).where(F.col("jaccard") >= near - math.ulp(1))
