@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.nested import Walk, contained, label_nodes, node_table, parse_json
@@ -133,9 +134,55 @@ def p3_gate_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return t.select("run_id", "parent_pre", F.col("name").alias("option"), F.col("value").cast("double").alias("p"), "pre", "post")
 
 
-def p3_plan_edges(spark: SparkSession, d: str) -> DataFrame:
-    t = node_table(run_nodes(spark, d), "run_id", F.col("kind").endswith(".edges"))
-    return t.select("run_id", "path", "pos", F.get_json_object("value", "$.kind").alias("edge_kind"), "parent_pre", "pre", "post")
+def p3_stage_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The stages with their labels: all columns of a node table, and the stage's milliseconds."""
+    t = node_table(run_nodes(spark, d), "run_id", F.col("kind") == "stages")
+    return t.withColumns({"stage": F.col("name"), "ms": F.col("value").cast("double")})
+
+
+#: Kinds of objects in a plan by the field that holds them: what their columns' names begin with, and their scalar
+#: fields. Fixed values.
+PLAN_TABLES = {
+    "subject": ("subject", ("iri", "label", "types")),
+    "answer_path": ("answer_path", ("score",)),
+    "links": ("link", ("anchor",)),
+    "anchor": ("anchor", ("iri", "label", "types")),
+    "path": ("path", ("score",)),
+    "edges": ("edge", ("kind", "target")),
+    "steps": ("step", ("prop", "inverse", "module")),
+    "target": ("target", ("class",)),
+    "filters": ("filter", ("op",)),
+    "literal": ("literal", ("kind", "value")),
+    "range": ("range", ("low", "high")),
+    "compare": ("compare", ("iri", "label", "types")),
+    "decisions": ("decision", ("name", "choice", "alternatives")),
+    "alternatives": ("alternative", ("option", "p")),
+}
+PLAN_FIELDS = ("shape", "module", "target_class", "limit", "subject", "links", "filters", "notes")
+
+
+def _plan_table(spark: SparkSession, d: str, kinds: Column, begin: str, fields: tuple[str, ...]) -> DataFrame:
+    """A node table with the scalar fields as text, lists as JSON; ``value`` has every field, those not named here too."""
+    t = node_table(run_nodes(spark, d), "run_id", kinds)
+    return t.withColumns({f"{begin}_{f}": F.get_json_object("value", f"$.{f}") for f in fields})
+
+
+def p3_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The plans themselves, one row per run with a plan."""
+    return _plan_table(spark, d, F.col("kind") == "plan", "plan", PLAN_FIELDS)
+
+
+def _plan_objects(field: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return _plan_table(spark, d, F.col("kind").startswith("plan.") & (F.col("name") == field), *PLAN_TABLES[field])
+
+    query.__name__ = f"p3_plan_{field}"
+    return query
+
+
+def p3_plan_others(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of a plan in fields that no other table names, so that the tables together have every object once."""
+    return node_table(run_nodes(spark, d), "run_id", F.col("kind").startswith("plan.") & ~F.col("name").isin(*PLAN_TABLES))
 
 
 def p3_steps_in_links(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +209,10 @@ QUERIES = {
     "p3_stages": p3_stages,
     "p3_gates": p3_gates,
     "p3_gate_probabilities": p3_gate_probabilities,
-    "p3_plan_edges": p3_plan_edges,
+    "p3_stage_nodes": p3_stage_nodes,
+    "p3_plan": p3_plan,
+    **{f"p3_plan_{f}": _plan_objects(f) for f in PLAN_TABLES},
+    "p3_plan_others": p3_plan_others,
     "p3_steps_in_links": p3_steps_in_links,
 }
 SQL = {
