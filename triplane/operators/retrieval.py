@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import jaccard_col, normalize_col, trigrams_col
+from ..runtime import materialize
 
 K1, B = 1.2, 0.75
 
@@ -44,6 +46,66 @@ def bm25_top(docs: DataFrame, doc: str, words: Column, queries: DataFrame, query
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("query").alias(query), F.col("doc").alias(doc), "score", "rank")
 
 
+#: Text queries sent to the tasks at once.
+TEXT_BLOCK = 256
+
+
+def bm25_search(docs: DataFrame, doc: str, words: Column, queries: DataFrame, query: str, query_words: Column, k: int, digits: int = 6) -> DataFrame:
+    """:func:`bm25_top` for many or long queries: scores are rounded to ``digits`` before they are ranked; ties by document.
+
+    Words are written once. Queries go to the tasks in blocks of TEXT_BLOCK with the weights of their terms, each block
+    one scan of the words; a task scores whole documents and keeps, per query and batch, those that may be among the
+    ``k`` best, so nothing is shuffled per pair. Queries come to the driver block by block.
+    """
+    d = materialize(docs.select(F.col(doc).alias("doc"), words.alias("w")).where("doc IS NOT NULL"), "words")
+    totals = d.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.greatest(F.size("w"), F.lit(0))).alias("mean"))
+    df = d.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.crossJoin(F.broadcast(totals)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of totals
+    wanted = queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(query_words)).alias("term")).where("q IS NOT NULL").distinct()
+    asked = materialize(wanted.join(idf, "term").groupBy("q").agg(F.collect_list(F.struct("term", "idf")).alias("terms")), "asked")
+    mean = totals.first()["mean"] or 1.0
+    out = f"q {dict(queries.dtypes)[query]}, k {dict(docs.dtypes)[doc]}, score double"
+    found: DataFrame | None = None
+    for block in _blocks(asked.toLocalIterator(), TEXT_BLOCK):
+        part = d.where("size(w) > 0").mapInArrow(_score(block, k, mean, 10.0**-digits, out), out)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = d.sparkSession.createDataFrame([], out)
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "k")
+    ranked = found.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("k").alias(doc), "score", "rank")
+
+
+def _score(block: list, k: int, mean: float, slack: float, schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    ids, asked = [r["q"] for r in block], [[t["term"] for t in r["terms"]] for r in block]
+    idf = {t["term"]: t["idf"] for r in block for t in r["terms"]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {t: i for i, t in enumerate(idf)}
+        weight, has = np.array(list(idf.values())), np.zeros((len(at), len(ids)))
+        for j, terms in enumerate(asked):
+            has[[at[t] for t in terms], j] = 1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scores = np.zeros((batch.num_rows, len(ids)))
+            for row, words in enumerate(batch.column(1).to_pylist()):
+                tf = Counter(words)
+                mine = sorted((at[t], n) for t, n in tf.items() if t in at)
+                if mine:
+                    own, n = [i for i, _ in mine], np.array([n for _, n in mine], float)
+                    scores[row] = (weight[own] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean))) @ has[own]
+            cut = max(0, len(scores) - k)
+            # what may tie with the k-th when rounded stays, so that ties are settled by document over all tasks
+            kth = np.partition(scores, cut, axis=0)[cut]
+            rows, which = np.nonzero((scores >= kth - slack) & (scores > 0))
+            columns = [pa.array([ids[i] for i in which], arrow.field(0).type), batch.column(0).take(pa.array(rows)).cast(arrow.field(1).type), pa.array(scores[rows, which])]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return run
+
+
 def trigram_matches(queries: DataFrame, query: str, names: DataFrame, name: str, least: float = 0.72, k: int = 5, short: int = 50) -> DataFrame:
     """``query, name, similarity``: each query's ``k`` names most alike by trigrams, at least ``least``; ties by name.
 

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ..evaluation import metrics
 from ..functions.literals import literals_udf
 from ..functions.text import jaccard_col, normalize_col, softmax_col, stems_col, tokens_col, trigrams_col
-from ..operators.retrieval import bm25_top, nearest_vectors, trigram_matches
+from ..operators.retrieval import bm25_search, bm25_top, nearest_vectors, trigram_matches
 from ..runtime import read_table
 
 QUERIES, SQL = {}, {}
 # What is searched for.
 SEARCHES = [(1, "brake pedal noise in city traffic"), (2, "battery range on a camping tour"), (3, "Getriebe war laut"), (4, "floor mat sticky")]
-FUZZY = ["Skustonuv Thesbredk", "pliyul yosteltkin", "Voubaevirr Vourstis", "test trak", "Hakostoun Garag"]
 
 
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +44,16 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("score", F.round("score", 6))
 
 
+def bm25_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Queries: the whole text of every document whose id is divisible by 20, against all documents."""
+    docs = read_table(spark, d, "documents")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
+    return bm25_search(docs, "doc_id", tokens_col(F.col("text")), asked, "query", tokens_col(F.col("text")), 10)
+
+
 def trigram_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(t,) for t in FUZZY], "query string")
+    """Queries: the text of every mention whose id is divisible by 20, against all names of entities."""
+    asked = read_table(spark, d, "mention").where("mention_id % 20 = 0").select(F.col("text").alias("query"))
     return trigram_matches(asked, "query", read_table(spark, d, "entity"), "label").withColumn("similarity", F.round("similarity", 6))
 
 
@@ -143,7 +150,7 @@ def failure_attribution(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("arm", f.alias("failure")).agg(F.count(F.lit(1)).alias("n"))
 
 
-for _f in (normalize_text, stem_tokens, literal_extraction, literal_quarters, bm25_topk, trigram_fuzzy, trigram_pairs, vector_topk, softmax_normalize, beam_topk, eval_summary, eval_percentiles, eval_accuracy_f1, eval_reliability, eval_calibration, eval_by_tag, stage_seconds, failure_attribution):
+for _f in (normalize_text, stem_tokens, literal_extraction, literal_quarters, bm25_topk, bm25_documents, trigram_fuzzy, trigram_pairs, vector_topk, softmax_normalize, beam_topk, eval_summary, eval_percentiles, eval_accuracy_f1, eval_reliability, eval_calibration, eval_by_tag, stage_seconds, failure_attribution):
     QUERIES[_f.__name__] = _f
 
 _NORM = "trim(regexp_replace(lower(regexp_replace(strip_accents({}), '[''’]s\\b', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
@@ -172,6 +179,13 @@ SQL.update(
           r AS (SELECT query, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM p JOIN f USING (term) JOIN q USING (term), s GROUP BY 1, 2),
           k AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM r)
           SELECT query, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 10""",
+        "bm25_documents": f"""WITH d AS (SELECT doc_id, coalesce({_words('text')}, []) AS w FROM documents),
+          s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d), t AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d),
+          p AS (SELECT doc_id, term, count(*) AS tf, max(length) AS length FROM t GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+          q AS (SELECT doc_id AS query, term FROM p WHERE doc_id % 20 = 0),
+          r AS (SELECT query, p.doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN f USING (term) JOIN q USING (term), s GROUP BY 1, 2),
+          k AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM r)
+          SELECT query, doc_id, score, rank FROM k WHERE rank <= 10""",
         "trigram_pairs": f"""WITH m AS (SELECT DISTINCT mention_id, text, candidates[1].label AS label FROM mention WHERE text IS NOT NULL AND candidates[1].label IS NOT NULL),
           g AS (SELECT mention_id, label, {_TRIGRAMS.format(_NORM.format('text'))} AS a, {_TRIGRAMS.format(_NORM.format('label'))} AS b FROM m)
           SELECT mention_id, label, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM g""",
