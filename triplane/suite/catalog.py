@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +103,56 @@ SQL.update(
         "sample_objects": f"SELECT '{O}segment' AS p, (row_number() OVER (ORDER BY s) - 1)::INT AS at, s AS sample FROM (SELECT DISTINCT c_mktsegment AS s FROM customer ORDER BY s LIMIT 3)",
     }
 )
+
+
+# ---- the same over the whole store: every table of tg.TABLES, every predicate
+WHOLE = {
+    "stats_class_counts_all": st.class_counts,
+    "stats_predicate_counts_all": lambda q: st.predicate_counts(q).select("g", "p", "n", "literals", "objects"),
+    "stats_class_predicates_all": st.class_predicates,
+    "stats_domains_10pct_all": lambda q: st.observed_domains(q).withColumn("share", F.round("share", 6)),
+    "stats_ranges_all": st.observed_ranges,
+    "home_module_all": st.home_graphs,
+    "popularity_indegree_all": st.popularity,
+    "labels_first_by_priority_all": lambda q: st.labels(q, [O + "segment", O + "name", O + "title"]).select("iri", "label", F.concat_ws("|", "labels").alias("others")),
+    "instance_rollup_all": lambda q: st.instance_rollup(q, q.sparkSession.createDataFrame([(O + a, O + b) for a, b in tg.SUBCLASSES.items()], "below string, above string")),
+    "sample_objects_all": st.sample_values,
+}
+
+
+def _whole(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(_quads(spark, d))
+
+
+QUERIES.update({k: _whole(f) for k, f in WHOLE.items()})
+
+#: Per table its rows (lineitem's key is the row, so equal rows are one node), and per column its predicate and target.
+_ROWS = {t: "(SELECT DISTINCT * FROM lineitem)" if t == "lineitem" else t for t in tg.TABLES}
+_COLUMNS = [(t, c, *(x.split(" > ") + [None])[:2]) for t, v in tg.TABLES.items() for c, x in (y.split(": ") for y in v[3].split(", "))]
+_KEYS = {v[1]: (t, v[2]) for t, v in tg.TABLES.items()}
+_ALL = "SELECT {select} FROM (" + " UNION ALL ".join(
+    f"SELECT '{G}{tg.TABLES[t][0]}' AS g, '{O}{tg.TABLES[t][1]}' AS class, '{O}{p}' AS p, (SELECT count({c}) FROM {t}) AS n, count({c}) AS users, {bool(to)} AS object FROM {_ROWS[t]}" for t, c, p, to in _COLUMNS
+) + ")"
+_SIZES = " UNION ALL ".join(f"SELECT '{G}{v[0]}' AS g, '{O}{v[1]}' AS class, count(*) AS instances FROM {_ROWS[t]}" for t, v in tg.TABLES.items())
+_POINTED = " UNION ALL ".join(
+    [f"SELECT {_id(to, c)} AS iri FROM {t} WHERE {c} IS NOT NULL" for t, c, _, to in _COLUMNS if to] + [f"SELECT '{O}{v[1]}' FROM {t}" for t, v in tg.TABLES.items()]
+)
+_NAMES = " UNION ALL ".join(
+    f"SELECT {_id(tg.TABLES[t][1], tg.TABLES[t][2])} AS iri, {['segment', 'name', 'title'].index(p)} AS rank, {c} AS label FROM {t} WHERE {c} IS NOT NULL" for t, c, p, _ in _COLUMNS if p in ("segment", "name", "title")
+)
+SQL.update(
+    {
+        "stats_class_counts_all": _SIZES,
+        "stats_predicate_counts_all": _ALL.format(select="g, p, sum(n)::BIGINT AS n, sum(CASE WHEN object THEN 0 ELSE n END)::BIGINT AS literals, sum(CASE WHEN object THEN n ELSE 0 END)::BIGINT AS objects") + " WHERE n > 0 GROUP BY 1, 2",
+        "stats_class_predicates_all": _ALL.format(select="g, class, p, users AS instances") + " WHERE users > 0",
+        "stats_domains_10pct_all": f"WITH u AS ({_ALL.format(select='class, p, users')}), s AS ({_SIZES}) SELECT p, class, round(users / instances, 6) AS share FROM u JOIN s USING (class) WHERE users >= 0.1 * instances AND users > 0",
+        "stats_ranges_all": "WITH n AS (SELECT p, class, sum(n)::BIGINT AS n FROM ("
+        + " UNION ALL ".join(f"SELECT '{O}{p}' AS p, '{O}{to}' AS class, count(*) AS n FROM {t} WHERE {c} IN (SELECT {_KEYS[to][1]} FROM {_KEYS[to][0]})" for t, c, p, to in _COLUMNS if to)
+        + ") GROUP BY 1, 2) SELECT p, class, n FROM n WHERE n > 0 AND n >= 0.1 * (SELECT max(m.n) FROM n m WHERE m.p = n.p)",
+        "home_module_all": "SELECT p, g FROM (SELECT p, g, row_number() OVER (PARTITION BY p ORDER BY n DESC, g) AS k FROM (" + _ALL.format(select="p, g, sum(n) AS n") + " WHERE n > 0 GROUP BY 1, 2)) WHERE k = 1",
+        "popularity_indegree_all": f"SELECT iri, count(*) AS popularity FROM ({_POINTED}) GROUP BY iri",
+        "labels_first_by_priority_all": f"""WITH n AS ({_NAMES}), b AS (SELECT iri, arg_min(label, (rank, label)) AS label FROM n GROUP BY 1)
+          SELECT iri, b.label, coalesce((SELECT string_agg(DISTINCT n.label, '|' ORDER BY n.label) FROM n WHERE n.iri = b.iri AND n.label <> b.label), '') AS others FROM b""",
+        "instance_rollup_all": f"WITH s AS ({_SIZES}) SELECT class, instances FROM s UNION ALL SELECT up, sum(instances)::BIGINT FROM s JOIN (VALUES {', '.join(f"('{O}{a}', '{O}{b}')" for a, b in tg.SUBCLASSES.items())}) v(class, up) USING (class) GROUP BY up",
+    }
+)
