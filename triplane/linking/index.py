@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..catalog import statistics as st
 from ..functions.terms import local_name_of
 from ..functions.text import jaccard_col, normalize, normalize_col, trigrams_col
+from ..operators.retrieval import trigram_matches
 from ..sources.store import TYPE
 
 # How far a kind of name is trusted, classes of people, and names of a country's people and things.
@@ -90,11 +91,14 @@ class EntityIndex:
         return alike.join(self.records, "iri").withColumn("score", F.col("similarity") * 0.9).orderBy(F.col("score").desc(), "iri").limit(k)
 
 
-def link_mentions(questions: DataFrame, question_id: str, question: str, index: EntityIndex, longest: int = 8) -> DataFrame:
+def link_mentions(questions: DataFrame, question_id: str, question: str, index: EntityIndex, longest: int = 8, schema_terms: Sequence[str] = ()) -> DataFrame:
     """Batch linking: ``question_id, start, words, norm, iri, score`` of every name that stands in a question, the best
     node of each, longer names first where they overlap.
 
-    Word n-grams join the alias table by equality; overlaps are settled within a question, whose n-grams are few.
+    Word n-grams join the alias table by equality, else without a final s (not where that makes the last of several
+    words one of ``schema_terms``); overlaps are settled within a question, whose n-grams are few. Then each run of
+    capitalised words that no name covers, the question's first word aside, takes the name most alike by trigrams;
+    ``norm`` is the name found.
     """
     words = F.split(normalize_col(F.col(question)), " ")
     grams = questions.select(F.col(question_id).alias("qid"), words.alias("w")).where("w IS NOT NULL AND w[0] <> ''")
@@ -102,10 +106,42 @@ def link_mentions(questions: DataFrame, question_id: str, question: str, index:
     spans = at.select("qid", "start", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("n"))
     named = spans.select("qid", "start", F.col("n").alias("words"), F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("norm"))
     best = index.aliases.join(index.records.select("iri", "popularity"), "iri").withColumn("score", F.col("trust") + 0.04 * F.log10(1 + F.col("popularity"))).groupBy("norm").agg(F.max(F.struct("score", "iri")).alias("b"))
-    hits = named.join(best, "norm").select("qid", "start", "words", "norm", F.col("b.iri").alias("iri"), F.col("b.score").alias("score"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("neg"), "start", "words", "norm", "iri", "score")))
+    singular = F.expr("substr(norm, 1, length(norm) - 1)")
+    plural = F.col("norm").endswith("s") & (F.length("norm") > 4) & ~((F.col("words") > 1) & F.element_at(F.split(singular, " "), -1).isin(*schema_terms))
+    forms = named.select("qid", "start", "words", F.col("norm").alias("as_is"), F.explode(F.when(plural, F.array("norm", singular)).otherwise(F.array("norm"))).alias("norm"))
+    hits = forms.join(best, "norm").select("qid", "start", "words", (F.col("norm") != F.col("as_is")).alias("bent"), "norm", F.col("b.iri").alias("iri"), F.col("b.score").alias("score"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("neg"), "start", "bent", "words", "norm", "iri", "score")))
     free = lambda kept, x: ~F.exists(kept, lambda y: (x["start"] < y["start"] + y["words"]) & (y["start"] < x["start"] + x["words"]))
     per = hits.groupBy("qid").agg(ordered.alias("all"))
     empty = F.slice("all", 1, 0)
     chosen = F.aggregate("all", empty, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    return per.select("qid", F.explode(chosen).alias("m")).select(F.col("qid").alias(question_id), "m.start", "m.words", "m.norm", "m.iri", "m.score")
+    exact = per.select("qid", F.explode(chosen).alias("m")).select("qid", "m.start", "m.words", "m.norm", "m.iri", "m.score")
+    covers = exact.groupBy("qid").agg(F.collect_set(F.struct("start", "words")).alias("covers"))
+    raw = questions.select(F.col(question_id).alias("qid"), F.filter(F.split(question, r"\s+"), lambda w: w != "").alias("raw")).where("qid IS NOT NULL AND raw IS NOT NULL")
+    counts = F.transform("raw", lambda w: F.when(normalize_col(w) == "", 0).otherwise(F.size(F.split(normalize_col(w), " "))))
+    runs = raw.withColumn("counts", counts).join(covers, "qid", "left").select("qid", F.explode(F.udf(_runs, "array<struct<start: int, words: int, text: string>>")("raw", "counts", "covers")).alias("r")).select("qid", "r.*").distinct()
+    trusted = index.aliases.where(F.col("trust") >= TRUST["stripped"])
+    near = trigram_matches(runs, "text", trusted, "norm", k=50).select(F.col("query").alias("text"), F.col("name").alias("norm"), "similarity").join(trusted.select("norm", "iri"), "norm")
+    top = near.groupBy("text").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "iri", "norm")).alias("b"))
+    fuzzy = runs.join(top, "text").select("qid", "start", "words", "b.norm", "b.iri", (F.col("b.far") * -0.9).alias("score"))
+    return exact.unionByName(fuzzy).withColumnRenamed("qid", question_id)
+
+
+def _runs(raw: list, counts: list, covers: list | None) -> list:
+    """Runs of capitalised words, or words with digits after one, that no name covers; places count normalised words."""
+    used = {i for c in covers or [] for i in range(c["start"], c["start"] + c["words"])}
+    out: list = []
+    at, run = 0, None
+    for word, n in zip(raw, counts, strict=True):
+        if not n:
+            continue
+        bare = word.strip("".join(c for c in word if not c.isalnum()))
+        free = at > 0 and used.isdisjoint(range(at, at + n))
+        if free and (bare[:1].isupper() or run and any(c.isdigit() for c in bare)):
+            run = run or (at, [])
+            run[1].append((n, bare))
+        elif run:
+            out.append(run)
+            run = None
+        at += n
+    return [(start, sum(n for n, _ in ws), " ".join(w for _, w in ws)) for start, ws in [*out, *([run] if run else [])]]
