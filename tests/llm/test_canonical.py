@@ -1,3 +1,4 @@
+import collections
 import itertools
 import random
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from triplane.llm import canonical
-from triplane.llm.canonical import closest, edit_similarity, name_form, reference_names, similar, tokens_of
+from triplane.llm.canonical import closest, name_form, near_pairs, reference_names, similar, tokens_of
 
 
 def jaccard(a, b):
@@ -14,18 +15,39 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
+def words(seed, n):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdeé日", k=rng.randint(1, 6)))
+    return sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(n)})
+
+
+def wanted(left, right, near):
+    return {(a, b): jaccard(a, b) for a, b in itertools.product(left, right) if jaccard(a, b) >= near - 1e-9}
+
+
 @pytest.mark.parametrize(("near", "small"), [(0.3, True), (0.4, False), (0.4, True), (0.8, False)])
 def test_no_pair_is_lost(spark, monkeypatch, near, small):
     if not small:
-        monkeypatch.setattr(canonical, "BROADCAST_ENTRIES", 0)
-    rng = random.Random(int(near * 10))
-    word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 6)))
-    left = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(150)} | {"日本", "é" * 3})
-    right = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(120)} | {left[0], left[7], "日本 語"})
+        monkeypatch.setattr(canonical, "NAMES_A_SHARD", 40)
+        monkeypatch.setattr(canonical, "VALUES_A_BLOCK", 20)
+    left = [*words(int(near * 10), 150), "日本", "ааа", "𝔘𝔫𝔦"]
+    right = sorted({*words(7, 120), left[0], left[7], "日本 語", "ооо", "𝔘𝔫𝔦 x"})
     make = lambda ws: spark.createDataFrame([(w,) for w in ws], "form string").withColumn("x", F.lit("clash"))
     got = {(a, b): j for a, b, j in rows(similar(make(left), make(right), near), "form", "other", "jaccard")}
-    want = {(a, b): jaccard(a, b) for a, b in itertools.product(left, right) if jaccard(a, b) >= near}
-    assert got == pytest.approx(want) and similar(make(left), make(right), near).count() == len(got)
+    assert got == pytest.approx(wanted(left, right, near)) and similar(make(left), make(right), near).count() == len(got)
+    assert ("ааа", "ооо") not in got
+
+
+@pytest.mark.parametrize("shared", [1, 2, 3, 5])
+@pytest.mark.parametrize("near", [0.25, 0.4, 0.7, 1.0])
+def test_kernel_in_small_parts(monkeypatch, near, shared):
+    monkeypatch.setattr(canonical, "POSTINGS_AT_ONCE", 50)
+    left, right = [*words(3, 90), "x" * 5000, "q"], [*words(4, 80), "q", "x" * 30]
+    rarity = collections.Counter(ord(t[0]) << 32 | ord(t[1]) for f in right for t in tokens_of(f))
+    x, y, j, compared = near_pairs(left, right, rarity, near, shared)
+    got = {(left[a], right[b]): s for a, b, s in zip(x.tolist(), y.tolist(), j.tolist(), strict=True)}
+    assert got == pytest.approx(wanted(left, right, near)) and len(x) == len(got) <= compared
+    assert [len(c) for c in near_pairs(left, [], {}, near, shared)[:3]] == [0, 0, 0] == [len(c) for c in near_pairs([], right, rarity, near, shared)[:3]]
 
 
 def test_closest(spark):
@@ -45,5 +67,6 @@ def test_closest(spark):
 
 
 def test_forms():
-    assert name_form("  The Älan's   Garage!! ") == "alans garage" and name_form(None) is None and name_form("the") == "the"
-    assert edit_similarity("ab cd", "cd ab") == 1 and edit_similarity("abcd", "abdc") == 0.75 and edit_similarity("", "") == 1
+    assert name_form("  The Älan's   Garage!! ") == "the alans garage" and name_form(None) is None and name_form("?!") == ""
+    assert name_form("It's OK_1") == name_form("It’s ok 1") == "its ok 1"
+    assert tokens_of("ab") == {" a", "ab", "b "}

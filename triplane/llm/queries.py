@@ -116,6 +116,23 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mentions.join(meant.where("key IS NULL"), "text").groupBy("text").agg(F.count(F.lit(1)).alias("mentions"))
 
 
+def _form_sql(x: str) -> str:
+    """name_form for texts in Latin letters."""
+    return f"trim(regexp_replace(regexp_replace(lower(strip_accents({x})), '[''’`´]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+_P5 = f"""WITH m AS (SELECT DISTINCT mention_id, text, {_form_sql("text")} AS form FROM mention WHERE mention_id IS NOT NULL AND text IS NOT NULL),
+  n0 AS (SELECT iri, coalesce(popularity, -1) AS w, {_form_sql("name")} AS form FROM (SELECT iri, popularity, unnest(list_append(coalesce(labels, []), label)) AS name FROM entity) WHERE iri IS NOT NULL AND name IS NOT NULL),
+  n AS (SELECT form, arg_min(iri, (-w, iri)) AS iri FROM n0 WHERE form <> '' GROUP BY form),
+  o AS (SELECT DISTINCT form FROM m WHERE form <> '' AND form NOT IN (SELECT form FROM n)),
+  vt AS (SELECT DISTINCT form, substr(' ' || form || ' ', unnest(range(1, length(form) + 2)), 2) AS t FROM o),
+  nt AS (SELECT DISTINCT form, substr(' ' || form || ' ', unnest(range(1, length(form) + 2)), 2) AS t FROM n),
+  vn AS (SELECT form, count(*) AS k FROM vt GROUP BY 1), nn AS (SELECT form, count(*) AS k FROM nt GROUP BY 1),
+  c AS (SELECT vt.form AS v, nt.form AS other, count(*) AS k FROM vt JOIN nt USING (t) GROUP BY 1, 2),
+  j AS (SELECT v, other, c.k / (vn.k + nn.k - c.k) AS j FROM c JOIN vn ON vn.form = v JOIN nn ON nn.form = other),
+  b AS (SELECT v AS form, arg_min(iri, (-round(j, 9), iri)) AS iri FROM j JOIN n ON n.form = other WHERE j >= {canonical.NEAR} - 1e-9 GROUP BY 1),
+  f AS (SELECT m.*, coalesce(n.iri, b.iri, 'none') AS iri FROM m LEFT JOIN n USING (form) LEFT JOIN b USING (form))"""
+
 # ---------------------------------------------------------------- 6: items that differ in form only
 def _items(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("string")
@@ -215,6 +232,8 @@ _P9 = f"""WITH s AS (SELECT doc_id, unnest(range(0, length(text) - {SPAN - 1}))
 SQL = {
     "p2_found": P2_SQL,
     **P4_SQL,
+    "p5_found": f"{_P5} SELECT DISTINCT mention_id, iri FROM f",
+    "p5_unmatched": f"{_P5} SELECT text, count(*) AS mentions FROM f WHERE iri = 'none' GROUP BY 1",
     "p6_found": f"{_P6} SELECT keep AS keep_id, row_id AS copy_id FROM c WHERE keep <> row_id",
     "p6_items": f"{_P6} SELECT keep AS row_id, count(*) AS copies FROM c GROUP BY 1",
     "p9_found": f"{_P9} SELECT doc_id, span_start, span_end FROM found",
