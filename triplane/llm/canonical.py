@@ -180,7 +180,8 @@ def _cells(left: DataFrame, right: DataFrame) -> tuple:
     names = right.select("form", F.lit(None).cast("long").alias("n"), part(shards).alias("shard")).unionByName(counts.select(F.col("t").alias("form"), "n", F.explode("in").alias("shard")))
     l = left.select("form", part(blocks).alias("block"), every(shards).alias("shard"))
     r = materialize(names, "names").withColumn("block", every(blocks))
-    return l.groupBy("shard", "block"), r.groupBy("shard", "block")
+    # Comparing costs far more than reading, so tasks are set by cells, not by the few bytes that hold them.
+    return tuple(df.repartition(shards * blocks, "shard", "block").groupBy("shard", "block") for df in (l, r))
 
 
 def _joined(left: DataFrame, right: DataFrame, near: float, best: bool) -> DataFrame:
