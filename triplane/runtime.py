@@ -31,6 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+#: Spark's setting to remove an execution's shuffle files when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _roots: dict[str, tuple[SparkSession, str]] = {}
 
 
@@ -45,21 +48,38 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     This cuts the lineage with files that outlive any executor, keeps column pruning for the readers, and gives
-    later joins a measured size. :func:`release` removes what a session wrote.
+    later joins a measured size. Once it is written, the shuffle files it came from are of no use and are removed.
+    :func:`discard` removes one such table, :func:`release` all that a session wrote.
     """
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize`; nothing that is still to be computed may read them."""
+    for df in tables:
+        _delete(df.sparkSession, df._stored_at)
+
+
+def _delete(spark: SparkSession, root: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table the session wrote; results not yet computed from them are lost."""
     _, root = _roots.pop(spark.sparkContext.applicationId, (None, None))
     if root:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, root)
 
 
 @atexit.register
