@@ -67,6 +67,15 @@ def test_texts_longer_than_a_part(spark, monkeypatch):
     assert sorted(rows(shared_spans(df, "doc_id", "text", L))) == brute(big)
 
 
+@pytest.mark.parametrize("length", [1, 2, 7, 20, 32, 63, 64, 300])
+def test_other_lengths(spark, length):
+    docs = {i: t for i, t in corpus(5).items() if i % 4 == 0 or i > 99}
+    df = spark.createDataFrame([(i, t and t[:500]) for i, t in docs.items()], "doc_id long, text string")
+    assert sorted(rows(shared_spans(df, "doc_id", "text", length))) == brute({i: t and t[:500] for i, t in docs.items()}, length)
+    with pytest.raises(ValueError):
+        shared_spans(df, "doc_id", "text", 0)
+
+
 def test_empty(spark):
     assert rows(shared_spans(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", L)) == []
 
@@ -80,7 +89,8 @@ def test_windows_are_the_least_tokens():
     seen = {}
     for i, x in enumerate(h.tolist()):
         assert seen.setdefault(x, chars[i : i + 64].tobytes()) == chars[i : i + 64].tobytes()
-    first, count, *_ = compact_windows(chars, np.zeros(2000, int), L)
+    first, count, token, anchor = compact_windows(chars, np.zeros(2000, int), L)
+    assert (anchor == h[token]).all() and (first <= token).all() and (token + 64 <= first + L).all()
     assert count.sum() == 2000 - L + 1 and (first[1:] == first[:-1] + count[:-1]).all()
 
 

@@ -6,21 +6,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 
-#: Characters of a token. A token is the text of so many characters at any offset; a shared stretch of ``length``
-#: characters holds length - TOKEN + 1 of them. Longer tokens are met less often by chance, shorter ones give fewer
-#: windows (some 2 n / (length - TOKEN + 2) for n characters).
-TOKEN = 64
+#: A shared stretch is looked for by substrings that hold its anchor token, one for each of so many parts of the places
+#: the token may have in it. The more, the longer they are, and the fewer stretches are compared.
+PROBES = 4
 #: Characters handled at once in a task, which bounds its memory.
 CHARS_AT_ONCE = 2_000_000
 
+
+
+def token_size(length: int) -> int:
+    """Characters of a token, the text at any offset; a stretch of ``length`` characters holds length - size + 1.
+
+    Longer tokens are met less often by chance, shorter ones give fewer windows: some 2 n / (length - size + 2) for n
+    characters.
+    """
+    if length < 1:
+        raise ValueError(f"a stretch has one character or more, not {length}")
+    return max(1, length * 3 // 7)
+
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,37 +75,31 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def compact_windows(chars: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The compact windows of texts laid end to end: first start, number of starts, the hashes of the least token and
-    of the tokens half a reach before and after it, and whether those lie in the window.
+def compact_windows(chars: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The compact windows of texts laid end to end: first start, number of starts, place and hash of the least token.
 
     A stretch is ``length`` characters of one text; its signature is the least of its tokens' hashes, the leftmost on
     ties. Following stretches that owe their signature to the same token form one window. These are the nodes of the
     Cartesian tree over the token hashes that are wide enough for a stretch: a node's token is the least of exactly
     the stretches that lie in its interval and hold it. Each stretch is in one window.
     """
-    none, no_hash, no = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    width = length - TOKEN + 1
+    size = token_size(length)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(chars) < length:
-        return none, none, no_hash, no_hash, no_hash, no, no
-    hashes = token_hashes(chars, TOKEN)
+        return none
+    hashes = token_hashes(chars, size)
     place = np.arange(len(hashes), dtype=np.uint64)
     # High bits of the hash, then the place: the least is the leftmost among equals. Both keep their order when the
     # stretch stands elsewhere, so equal stretches choose the same token.
-    least = (sliding_least((hashes & ~np.uint64(0xFFFFFF)) | place, width) & np.uint64(0xFFFFFF)).astype(np.int64)
+    least = (sliding_least((hashes & ~np.uint64(0xFFFFFF)) | place, length - size + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(owner[: len(least)] == owner[length - 1 : length - 1 + len(least)])
     if not len(starts):
-        return none, none, no_hash, no_hash, no_hash, no, no
+        return none
     token = least[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (token[1:] != token[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
-    first, count = starts[at], np.diff(np.append(at, len(starts)))
-    anchor = token[at]
-    half = width // 2
-    before, after = anchor - half, anchor + half
-    has_before, has_after = before >= first, after + TOKEN <= first + count - 1 + length
-    return first, count, hashes[anchor], hashes[np.where(has_before, before, 0)], hashes[np.where(has_after, after, 0)], has_before, has_after
+    return starts[at], np.diff(np.append(at, len(starts))), token[at], hashes[token[at]]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list]]:
@@ -125,20 +130,12 @@ def _chars(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-_WINDOWS = "doc long, first long, starts int, anchor long, before long, after long, c1 long, c2 long"
-
-
-def _int64(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def _halves(data: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(data)
-    return _int64(h & 0xFFFFFFFFFFFFFFFF), _int64(h >> 64)
+_WINDOWS = "doc long, first long, starts int, at int, anchor long"
 
 
 def windows_of(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame:
-    """The compact windows of every text, with a 128-bit hash of the characters each covers. A map over the rows."""
+    """The compact windows of every text: its first start, its starts, the place ``at`` of its anchor token from the
+    first start, and the token's hash. A map over the rows."""
     schema = StructType.fromDDL(_WINDOWS)
     arrow = to_arrow_schema(schema)
 
@@ -146,48 +143,49 @@ def windows_of(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame:
         for ids, texts, _ in _texts(batches):
             whole = [(i, 0, t) for i, t in zip(ids, texts, strict=True)] if len(texts) > 1 else [(ids[0], at, t) for at, t in _pieces(texts[0], length)]
             for part in [whole] if len(texts) > 1 else [[x] for x in whole]:
-                chars = _chars([t for _, _, t in part])
                 sizes = np.array([len(t) for _, _, t in part])
                 begin = np.cumsum(sizes) - sizes
-                owner = np.repeat(np.arange(len(part)), sizes)
-                first, count, anchor, before, after, has_before, has_after = compact_windows(chars, owner, length)
+                first, count, token, anchor = compact_windows(_chars([t for _, _, t in part]), np.repeat(np.arange(len(part)), sizes), length)
                 if not len(first):
                     continue
-                raw = memoryview(chars).cast("B")
-                content = np.array([_halves(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)], np.int64)
-                own = owner[first]
+                own = np.searchsorted(begin, first, "right") - 1
                 doc_ids = np.array([i for i, _, _ in part], np.int64)[own]
                 moved = np.array([at for _, at, _ in part], np.int64)[own]
-                columns = [doc_ids, first - begin[own] + moved, count, anchor.view(np.int64), pa.array(before.view(np.int64), mask=~has_before), pa.array(after.view(np.int64), mask=~has_after), content[:, 0], content[:, 1]]
-                yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                columns = [doc_ids, first - begin[own] + moved, count, token - first, anchor.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND length(text) >= %d" % length).mapInArrow(run, schema)
 
 
-def _stretches(docs: DataFrame, wanted: DataFrame, doc: str, text: str, length: int) -> DataFrame:
-    """``s1, s2, lo, hi, doc, first, place``: a 128-bit hash of each stretch in the wanted windows, with its place there."""
-    schema = StructType.fromDDL("s1 long, s2 long, lo long, hi long, doc long, first long, place int")
+def _bodies(docs: DataFrame, windows: DataFrame, doc: str, text: str, length: int) -> DataFrame:
+    """``doc, first, starts, at, body``: the windows with the characters they cover. A text's windows fit where it fits."""
+    schema = StructType.fromDDL("doc long, first long, starts int, at int, body string")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for d, t, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = memoryview(t.encode("utf-32-le", "surrogatepass"))
-                for w in windows:
-                    for place in range(w["starts"]):
-                        at = 4 * (w["first"] + place)
-                        out.append((*_halves(raw[at : at + 4 * length]), w["lo"], w["hi"], d, w["first"], place))
-                if len(out) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-                    out = []
+            held = 0
+            for d, t, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for w in of:
+                    first, starts = w["first"], w["starts"]
+                    out.append((d, first, starts, w["at"], t[first : first + starts - 1 + length]))
+                    held += starts + length
+                    if held > CHARS_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                        out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("first", "starts", "lo", "hi")).alias("windows"))
+    per_doc = windows.groupBy("doc").agg(F.collect_list(F.struct("first", "starts", "at")).alias("windows"))
     return docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).join(per_doc, "doc").select("doc", "text", "windows").mapInArrow(run, schema)
 
 
+def _equal(a: Column, b: Column, value: Column) -> Column:
+    """``value``, if the texts are equal; they always are unless a 128-bit hash stands for two texts."""
+    return F.when(a == b, value).otherwise(F.raise_error(F.lit("two different texts have the same hash of 128 bits")))
+
+
 def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame:
     """``doc, span_start, span_end``: the characters that lie in any stretch of ``length`` which another text holds too.
 
@@ -196,40 +194,65 @@ def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame
     shorter than ``length`` have none. ``doc`` identifies a text: rows that repeat it must hold equal texts.
 
     Equal stretches hold equal tokens, so they fall into windows with equal anchor tokens: one hash function finds
-    every pair of them (near-duplicates would need several). Windows whose anchor stands in one text only are dropped
-    first. The others are handled in classes of equal content:
-
-    1. Windows with the same characters and the same anchor form a class; only the number of texts is kept, as the
-       least and greatest id, added up map-side. A class of two or more texts is shared as a whole.
-    2. Classes may agree in part, at the edges of copied passages. A stretch reaches half the width before its anchor
-       or half after it, so two classes that share one have equal tokens there too; where such a pair of tokens joins
-       classes of two or more texts, one of them from one text only, a representative of each class gives the hash of
-       each of its stretches. A stretch whose classes hold two or more texts is shared. This is the interval join, by
-       content instead of by pairs.
-    3. The verdict on a class goes back to all its windows.
-
-    No step pairs texts: a passage in a third of all texts is one class. Hash equality over 128 bits stands for equal
-    characters (chance of one false match among 10^15 stretches below 10^-8).
+    every pair of them (near-duplicates would need several). Windows are made without their characters, and those whose
+    anchor stands in one text only are dropped before any characters are taken. The others are handled in classes:
+
+    1. Windows with the same characters form a class; only the number of texts is kept, as the least and greatest id,
+       added up map-side. A class of two or more texts is shared as a whole.
+    2. Classes may agree in part, at the edges of copied passages. The places an anchor may have in a stretch are cut
+       into PROBES parts; all stretches of a window whose anchor lies in one part hold a common substring, so two
+       classes that share such a stretch have equal ones. Where equal substrings join classes of two or more texts, one
+       of them from one text only, each class gives the hashes of its stretches of that part. A stretch whose classes
+       hold two or more texts is shared.
+    3. Verification by characters: the members of a class by the least and greatest of their texts; the runs of shared
+       stretches by an interval join of each class with the first class that holds them.
+    4. The verdict on a class goes back to all its windows.
+
+    No step pairs texts: a passage in a third of all texts is one class.
     """
+    size = token_size(length)
+    width = length - size + 1
     every = materialize(windows_of(docs, doc, text, length), "windows")
-    met = every.groupBy("anchor").agg(F.min("doc").alias("alo"), F.max("doc").alias("ahi")).where("alo < ahi").select("anchor")
-    w = materialize(every.join(met, "anchor", "left_semi"), "met")
-    cls = ["c1", "c2"]  # equal characters choose the same anchor and hold as many starts
-    one = [F.min(c).alias(c) for c in ("anchor", "before", "after", "starts")]
-    classes = materialize(w.groupBy(*cls).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("rep"), *one), "classes")
-    sides = classes.select(*cls, "anchor", "lo", "hi", F.posexplode(F.array("before", "after")).alias("side", "token")).where("token IS NOT NULL")
-    side = ["anchor", "side", "token"]
+    anchors = every.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
+    met = materialize(every.join(anchors, "anchor", "left_semi").select("doc", "first", "starts", "at"), "met")
+    discard(every)
+    cls = ["c1", "c2"]
+    hashes = lambda body: (F.xxhash64(body), F.xxhash64(F.lit(1), body))
+    c1, c2 = hashes(F.col("body"))
+    w = materialize(_bodies(docs, met, doc, text, length).select("doc", "first", "starts", "at", c1.alias("c1"), c2.alias("c2"), "body"), "bodies")
+    discard(met)
+    # Equal characters choose the same anchor and hold as many starts.
+    classes = w.groupBy(*cls).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("rep"), F.min("starts").alias("starts"), F.min("at").alias("at"), F.min("body").alias("body"), F.max("body").alias("last"))
+    classes = materialize(classes.withColumn("body", _equal(F.col("body"), F.col("last"), F.col("body"))).drop("last"), "classes")
+
+    bounds = [width * k // PROBES for k in range(PROBES + 1)]
+    probes, begins, ends = [], [], []
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        # Stretches whose anchor lies from ``low`` up to ``high`` all hold the text from ``low`` before the anchor.
+        begin, end = F.greatest(F.lit(0), F.col("at") - (high - 1)), F.least(F.col("starts") - 1, F.col("at") - low)
+        begins.append(begin)
+        ends.append(end)
+        probes.append(F.when(begin <= end, F.xxhash64(F.substring("body", F.col("at") - low + 1, F.lit(low + size + width - high)))))
+    sides = classes.select(*cls, "lo", "hi", F.posexplode(F.array(*probes)).alias("part", "probe")).where("probe IS NOT NULL")
+    side = ["part", "probe"]
     joining = sides.groupBy(*side).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") == F.col("hi")).alias("single"), F.min("lo").alias("slo"), F.max("hi").alias("shi")).where("n > 1 AND single > 0 AND slo < shi").select(*side)
-    near = sides.join(joining, side, "left_semi").select(*cls).distinct()
-    wanted = materialize(classes.join(near, cls, "left_semi").select(*cls, "rep.doc", "rep.first", "starts", "lo", "hi"), "wanted")
-    st = materialize(_stretches(docs, wanted, doc, text, length), "stretches")
-    both = st.groupBy("s1", "s2").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi")).where("slo < shi").select("s1", "s2")
-    # Runs of shared stretches in classes of one text; classes of several texts are shared whole already.
-    shared = st.where("lo = hi").join(both, ["s1", "s2"], "left_semi").select("doc", "first", "place")
-    run = F.col("place") - F.row_number().over(Window.partitionBy("doc", "first").orderBy("place"))
-    runs = shared.withColumn("run", run).groupBy("doc", "first", "run").agg(F.min("place").alias("from"), F.max("place").alias("to"))
-    partial = runs.join(wanted, ["doc", "first"]).select("c1", "c2", "from", "to")
-    verdicts = classes.where("lo < hi").select("c1", "c2", F.lit(0).alias("from"), (F.col("starts") - 1).alias("to")).unionByName(partial)
+    wanted = sides.join(joining, side, "left_semi").select(*cls, "part")
+    pick = lambda columns: F.element_at(F.array(*columns), F.col("part") + 1)
+    places = classes.join(wanted, cls).select(F.col("rep.doc").alias("doc"), F.col("rep.first").alias("first"), "lo", "hi", "body", F.explode(F.sequence(pick(begins), pick(ends))).alias("place"))
+    s1, s2 = hashes(F.substring("body", F.col("place") + 1, F.lit(length)))
+    st = materialize(places.select("doc", "first", "lo", "hi", "place", s1.alias("s1"), s2.alias("s2")), "stretches")
+    both = st.groupBy("s1", "s2").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi"), F.min(F.struct("doc", "first", "place")).alias("to")).where("slo < shi").select("s1", "s2", "to")
+    hits = st.join(both, ["s1", "s2"]).select("doc", "first", "place", F.col("to.doc").alias("ldoc"), F.col("to.first").alias("lfirst"), (F.col("to.place") - F.col("place")).alias("moved"))
+    pair = ["doc", "first", "ldoc", "lfirst", "moved"]
+    run = F.col("place") - F.row_number().over(Window.partitionBy(*pair).orderBy("place"))
+    runs = hits.withColumn("run", run).groupBy(*pair, "run").agg(F.min("place").alias("from"), F.max("place").alias("to"))
+    own = classes.select(F.col("rep.doc").alias("doc"), F.col("rep.first").alias("first"), *cls, "lo", "hi", "body")
+    lead = classes.select(F.col("rep.doc").alias("ldoc"), F.col("rep.first").alias("lfirst"), F.col("body").alias("lead"))
+    long = F.col("to") - F.col("from") + length
+    same = _equal(F.substring("body", F.col("from") + 1, long), F.substring("lead", F.col("from") + F.col("moved") + 1, long), F.col("to"))
+    # Classes of several texts are shared whole already; their runs are verified with the others, as they may lead them.
+    partial = runs.join(own, ["doc", "first"]).join(lead, ["ldoc", "lfirst"]).select(*cls, "lo", "hi", "from", same.alias("to")).where("to IS NOT NULL AND lo = hi").select(*cls, "from", "to")
+    verdicts = classes.where("lo < hi").select(*cls, F.lit(0).alias("from"), (F.col("starts") - 1).alias("to")).unionByName(partial)
     # A text may hold a window's characters more than once: the verdict goes to each place.
     parts = w.join(verdicts, cls).select("doc", (F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + length).alias("b"))
     order = Window.partitionBy("doc").orderBy("a", "b")
