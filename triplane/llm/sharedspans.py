@@ -15,7 +15,7 @@ from ..runtime import discard, materialize
 
 #: A shared stretch is looked for by substrings that hold its anchor token, one for each of so many parts of the places
 #: the token may have in it. The more, the longer they are, and the fewer stretches are compared.
-PROBES = 4
+PROBES = 8
 #: Characters handled at once in a task, which bounds its memory.
 CHARS_AT_ONCE = 2_000_000
 
@@ -202,11 +202,13 @@ def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame
     2. Classes may agree in part, at the edges of copied passages. The places an anchor may have in a stretch are cut
        into PROBES parts; all stretches of a window whose anchor lies in one part hold a common substring, so two
        classes that share such a stretch have equal ones. Where equal substrings join classes of two or more texts, one
-       of them from one text only, each class gives the hashes of its stretches of that part. A stretch whose classes
-       hold two or more texts is shared.
-    3. Verification by characters: the members of a class by the least and greatest of their texts; the runs of shared
-       stretches by an interval join of each class with the first class that holds them.
-    4. The verdict on a class goes back to all its windows.
+       of them from one text only, each class gives the characters of its stretches of that part, its piece. Equal
+       pieces are one again; a piece of two or more texts is shared.
+    3. Where a part still has a piece of one text only, its pieces give the hashes of their stretches. A stretch whose
+       pieces stand in two or more texts is shared.
+    4. Verification by characters: classes and pieces by the least and greatest of their members' characters, the runs
+       of shared stretches by an interval join of each piece with the first piece that holds them.
+    5. The verdict on a piece goes back to its classes, and that on a class to all its windows.
 
     No step pairs texts: a passage in a third of all texts is one class.
     """
@@ -221,9 +223,12 @@ def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame
     c1, c2 = hashes(F.col("body"))
     w = materialize(_bodies(docs, met, doc, text, length).select("doc", "first", "starts", "at", c1.alias("c1"), c2.alias("c2"), "body"), "bodies")
     discard(met)
+    keys = materialize(w.select("doc", "first", *cls), "keys")
+    texts = [F.min("doc").alias("lo"), F.max("doc").alias("hi")]
     # Equal characters choose the same anchor and hold as many starts.
-    classes = w.groupBy(*cls).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first")).alias("rep"), F.min("starts").alias("starts"), F.min("at").alias("at"), F.min("body").alias("body"), F.max("body").alias("last"))
-    classes = materialize(classes.withColumn("body", _equal(F.col("body"), F.col("last"), F.col("body"))).drop("last"), "classes")
+    classes = w.groupBy(*cls).agg(*texts, F.min("starts").alias("starts"), F.min("at").alias("at"), F.min("body").alias("body"), F.max("body").alias("last"))
+    classes = materialize(classes.withColumn("body", _equal(F.col("body"), F.col("last"), F.col("body"))).drop("last").withColumn("id", F.monotonically_increasing_id()), "classes")
+    discard(w)
 
     bounds = [width * k // PROBES for k in range(PROBES + 1)]
     probes, begins, ends = [], [], []
@@ -233,28 +238,41 @@ def shared_spans(docs: DataFrame, doc: str, text: str, length: int) -> DataFrame
         begins.append(begin)
         ends.append(end)
         probes.append(F.when(begin <= end, F.xxhash64(F.substring("body", F.col("at") - low + 1, F.lit(low + size + width - high)))))
-    sides = classes.select(*cls, "lo", "hi", F.posexplode(F.array(*probes)).alias("part", "probe")).where("probe IS NOT NULL")
     side = ["part", "probe"]
-    joining = sides.groupBy(*side).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") == F.col("hi")).alias("single"), F.min("lo").alias("slo"), F.max("hi").alias("shi")).where("n > 1 AND single > 0 AND slo < shi").select(*side)
-    wanted = sides.join(joining, side, "left_semi").select(*cls, "part")
+
+    def unsettled(df: DataFrame) -> DataFrame:
+        """Rows of those parts and probes that join two or more texts, and have a row of one text only."""
+        seen = df.groupBy(*side).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") == F.col("hi")).alias("single"), F.min("lo").alias("slo"), F.max("hi").alias("shi"))
+        return df.join(seen.where("n > 1 AND single > 0 AND slo < shi").select(*side), side, "left_semi")
+
+    sides = unsettled(classes.select("id", "lo", "hi", F.posexplode(F.array(*probes)).alias("part", "probe")).where("probe IS NOT NULL"))
     pick = lambda columns: F.element_at(F.array(*columns), F.col("part") + 1)
-    places = classes.join(wanted, cls).select(F.col("rep.doc").alias("doc"), F.col("rep.first").alias("first"), "lo", "hi", "body", F.explode(F.sequence(pick(begins), pick(ends))).alias("place"))
+    pieces = classes.join(sides.select("id", *side), "id").select(*cls, "lo", "hi", *side, "body", pick(begins).alias("begin"), (pick(ends) - pick(begins) + 1).alias("starts"))
+    pieces = pieces.withColumn("body", F.substring("body", F.col("begin") + 1, F.col("starts") + (length - 1)))
+    p1, p2 = hashes(F.col("body"))
+    pieces = materialize(pieces.withColumns({"p1": p1, "p2": p2}), "pieces")
+    piece = [*side, "p1", "p2"]
+    whole = pieces.groupBy(*piece).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("starts").alias("starts"), F.min("body").alias("body"), F.max("body").alias("last"))
+    whole = materialize(whole.withColumn("body", _equal(F.col("body"), F.col("last"), F.col("body"))).drop("last").withColumn("id", F.monotonically_increasing_id()), "whole")
+
     s1, s2 = hashes(F.substring("body", F.col("place") + 1, F.lit(length)))
-    st = materialize(places.select("doc", "first", "lo", "hi", "place", s1.alias("s1"), s2.alias("s2")), "stretches")
-    both = st.groupBy("s1", "s2").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi"), F.min(F.struct("doc", "first", "place")).alias("to")).where("slo < shi").select("s1", "s2", "to")
-    hits = st.join(both, ["s1", "s2"]).select("doc", "first", "place", F.col("to.doc").alias("ldoc"), F.col("to.first").alias("lfirst"), (F.col("to.place") - F.col("place")).alias("moved"))
-    pair = ["doc", "first", "ldoc", "lfirst", "moved"]
+    places = unsettled(whole).select("id", "lo", "hi", "body", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("place"))
+    st = materialize(places.select("id", "lo", "hi", "place", s1.alias("s1"), s2.alias("s2")), "stretches")
+    both = st.groupBy("s1", "s2").agg(F.min("lo").alias("slo"), F.max("hi").alias("shi"), F.min("id").alias("lead"), F.min_by("place", "id").alias("at")).where("slo < shi").select("s1", "s2", "lead", "at")
+    hits = st.join(both, ["s1", "s2"]).select("id", "place", "lead", (F.col("at") - F.col("place")).alias("moved"))
+    pair = ["id", "lead", "moved"]
     run = F.col("place") - F.row_number().over(Window.partitionBy(*pair).orderBy("place"))
     runs = hits.withColumn("run", run).groupBy(*pair, "run").agg(F.min("place").alias("from"), F.max("place").alias("to"))
-    own = classes.select(F.col("rep.doc").alias("doc"), F.col("rep.first").alias("first"), *cls, "lo", "hi", "body")
-    lead = classes.select(F.col("rep.doc").alias("ldoc"), F.col("rep.first").alias("lfirst"), F.col("body").alias("lead"))
     long = F.col("to") - F.col("from") + length
-    same = _equal(F.substring("body", F.col("from") + 1, long), F.substring("lead", F.col("from") + F.col("moved") + 1, long), F.col("to"))
-    # Classes of several texts are shared whole already; their runs are verified with the others, as they may lead them.
-    partial = runs.join(own, ["doc", "first"]).join(lead, ["ldoc", "lfirst"]).select(*cls, "lo", "hi", "from", same.alias("to")).where("to IS NOT NULL AND lo = hi").select(*cls, "from", "to")
-    verdicts = classes.where("lo < hi").select(*cls, F.lit(0).alias("from"), (F.col("starts") - 1).alias("to")).unionByName(partial)
+    same = _equal(F.substring("body", F.col("from") + 1, long), F.substring("led", F.col("from") + F.col("moved") + 1, long), F.col("to"))
+    # Pieces of several texts are shared whole already; their runs are verified with the others, as they may lead them.
+    proven = runs.join(whole, "id").join(whole.select(F.col("id").alias("lead"), F.col("body").alias("led")), "lead").select(*piece, "lo", "hi", "from", same.alias("to")).where("to IS NOT NULL AND lo = hi").select(*piece, "from", "to")
+    settled = whole.where("lo < hi").select(*piece, F.lit(0).alias("from"), (F.col("starts") - 1).alias("to"))
+    partial = pieces.where("lo = hi").join(settled.unionByName(proven), piece).select(*cls, (F.col("begin") + F.col("from")).alias("from"), (F.col("begin") + F.col("to")).alias("to"))
+    verdicts = materialize(classes.where("lo < hi").select(*cls, F.lit(0).alias("from"), (F.col("starts") - 1).alias("to")).unionByName(partial), "verdicts")
+    discard(classes, pieces, whole, st)
     # A text may hold a window's characters more than once: the verdict goes to each place.
-    parts = w.join(verdicts, cls).select("doc", (F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + length).alias("b"))
+    parts = keys.join(verdicts, cls).select("doc", (F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to") + length).alias("b"))
     order = Window.partitionBy("doc").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = parts.withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
