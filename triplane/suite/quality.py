@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.nested import Walk, contained, label_nodes, node_table, parse_json
+from ..operators.deliveries import one_delivery
+from ..operators.nested import NODE_COLUMNS, contained, element_nodes, entry_nodes, label_columns, label_json, node_table
 from ..operators.references import dead_link_counts, dead_links, link_key
 from ..runtime import read_table
 
@@ -81,63 +81,55 @@ _P1_LINKS = " UNION ALL ".join(
 LIST_FIELDS = ("compare", "links", "filters", "edges", "steps", "decisions", "alternatives")
 
 
-def walk_run(w: Walk, stages: list | None, gates: list | None, plan: str | None) -> None:
-    """Label one run: the entries of ``stages``, the non-null ``gates`` with their probabilities, the plan's objects."""
-    for name, value in sorted(stages or []):
-        w.close(w.open("stages", f"stages[{name}]", 1, 0, None, name, False, None if value is None else repr(value)))
-    for i, gate in enumerate(gates or []):
-        if gate is None:
-            continue
-        value = _json({k: v for k, v in gate.items() if k != "probabilities"}) if w.values else None
-        row = w.open("gates", f"gates[{i}]", 1, 0, i, None, True, value)
-        for name, value in sorted(gate["probabilities"] or []):
-            w.close(w.open("gates.probabilities", f"gates[{i}].probabilities[{name}]", 2, row[2], None, name, False, None if value is None else repr(value)))
-        w.close(row)
-    root = parse_json(plan)
-    if isinstance(root, (dict, list)):
-        w.tree({"": root} if isinstance(root, list) else root, "plan", "plan", 0, 1)
+GATE = ("name", "choice", "confidence", "threshold", "passed")
+_GATE_TYPE = "struct<name: string, choice: string, confidence: double, threshold: double, passed: boolean>"
 
 
-def _json(value: Any) -> str:
-    import json
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """One delivery per run: the first loaded, then the least plan text. Runs without ``run_id`` give no rows."""
+    return one_delivery(read_table(spark, d, "eval_run").select("run_id", "stages", "gates", "plan", "loaded_at"), "run_id", ["loaded_at", "plan"])
 
-    return json.dumps(value, ensure_ascii=False, default=str)
 
+def column_nodes(runs: DataFrame) -> DataFrame:
+    """The nodes of the typed columns: entries of ``stages``, the ``gates`` that are not NULL, their probabilities."""
+    return label_columns(runs, "run_id", [entry_nodes("stages", _GATE_TYPE), element_nodes("gates", GATE, "probabilities", _GATE_TYPE)])
 
-def run_nodes(spark: SparkSession, d: str, values: bool = True) -> DataFrame:
-    """The node table of ``eval_run``, one delivery per run: the first loaded, then the least plan text.
 
-    Runs without ``run_id`` can't be linked to anything and give no rows.
-    """
-    runs = read_table(spark, d, "eval_run").select("run_id", "stages", "gates", "plan", "loaded_at").where("run_id IS NOT NULL")
-    once = runs.groupBy("run_id").agg(F.min_by(F.struct("stages", "gates", "plan"), F.struct("loaded_at", "plan")).alias("r")).select("run_id", "r.*")
-    return label_nodes(once, "run_id", ["stages", "gates", "plan"], walk_run, LIST_FIELDS, values)
+def plan_nodes(runs: DataFrame) -> DataFrame:
+    """The nodes of the plans, numbered after those of the typed columns, and the root of every run."""
+    many = lambda x: F.coalesce(F.greatest(F.size(x), F.lit(0)), F.lit(0))
+    gates = F.aggregate("gates", F.lit(0), lambda n, g: n + F.when(g.isNull(), 0).otherwise(1 + many(g["probabilities"])))
+    return label_json(runs, "run_id", "plan", "plan", LIST_FIELDS, many(F.col("stages")) + F.coalesce(gates, F.lit(0)))
+
+
+def run_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The node table of ``eval_run``: every node of every run with its labels and value."""
+    runs = _runs(spark, d)
+    return column_nodes(runs).drop("number", "item").unionByName(plan_nodes(runs))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return run_nodes(spark, d, values=False).where("kind NOT IN ('', 'plan')").select("run_id", "path")
+    return run_nodes(spark, d).where("kind NOT IN ('', 'plan')").select("run_id", "path")
 
 
 def p3_stages(spark: SparkSession, d: str) -> DataFrame:
-    t = node_table(run_nodes(spark, d), "run_id", F.col("kind") == "stages")
-    return t.select("run_id", F.col("name").alias("stage"), F.col("value").cast("double").alias("ms"))
+    return column_nodes(_runs(spark, d)).where("kind = 'stages'").select("run_id", F.col("name").alias("stage"), F.col("number").alias("ms"))
 
 
 def p3_gates(spark: SparkSession, d: str) -> DataFrame:
-    t = node_table(run_nodes(spark, d), "run_id", F.col("kind") == "gates")
-    v = F.from_json("value", "name string, choice string, confidence double, threshold double, passed boolean")
-    return t.select("run_id", "pos", "parent_pre", "pre", "post", v.alias("v")).select("run_id", F.col("pos").alias("gate"), "v.*", "parent_pre", "pre", "post")
+    t = column_nodes(_runs(spark, d)).where("kind = 'gates'")
+    return t.select("run_id", F.col("pos").alias("gate"), "item.*", "parent_pre", "pre", "post")
 
 
 def p3_gate_probabilities(spark: SparkSession, d: str) -> DataFrame:
-    t = node_table(run_nodes(spark, d), "run_id", F.col("kind") == "gates.probabilities")
-    return t.select("run_id", "parent_pre", F.col("name").alias("option"), F.col("value").cast("double").alias("p"), "pre", "post")
+    t = column_nodes(_runs(spark, d)).where("kind = 'gates.probabilities'")
+    return t.select("run_id", "parent_pre", F.col("name").alias("option"), F.col("number").alias("p"), "pre", "post")
 
 
 def p3_stage_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The stages with their labels: all columns of a node table, and the stage's milliseconds."""
-    t = node_table(run_nodes(spark, d), "run_id", F.col("kind") == "stages")
-    return t.withColumns({"stage": F.col("name"), "ms": F.col("value").cast("double")})
+    nodes = column_nodes(_runs(spark, d)).where("kind = 'stages'")
+    return nodes.select("run_id", *NODE_COLUMNS[1:], F.col("name").alias("stage"), F.col("number").alias("ms"))
 
 
 #: Kinds of objects in a plan by the field that holds them: what their columns' names begin with, and their scalar
@@ -163,7 +155,7 @@ PLAN_FIELDS = ("shape", "module", "target_class", "limit", "subject", "links", "
 
 def _plan_table(spark: SparkSession, d: str, kinds: Column, begin: str, fields: tuple[str, ...]) -> DataFrame:
     """A node table with the scalar fields as text, lists as JSON; ``value`` has every field, those not named here too."""
-    t = node_table(run_nodes(spark, d), "run_id", kinds)
+    t = node_table(plan_nodes(_runs(spark, d)), "run_id", kinds)
     return t.withColumns({f"{begin}_{f}": F.get_json_object("value", f"$.{f}") for f in fields})
 
 
@@ -182,13 +174,13 @@ def _plan_objects(field: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def p3_plan_others(spark: SparkSession, d: str) -> DataFrame:
     """Objects of a plan in fields that no other table names, so that the tables together have every object once."""
-    return node_table(run_nodes(spark, d), "run_id", F.col("kind").startswith("plan.") & ~F.col("name").isin(*PLAN_TABLES))
+    return node_table(plan_nodes(_runs(spark, d)), "run_id", F.col("kind").startswith("plan.") & ~F.col("name").isin(*PLAN_TABLES))
 
 
 def p3_steps_in_links(spark: SparkSession, d: str) -> DataFrame:
-    """Every step anywhere below a link of the plan, with the link: a join on interval containment."""
-    nodes = run_nodes(spark, d).where("kind = 'plan.links' OR kind LIKE 'plan.links.%.steps'")
-    return contained(nodes.where("kind = 'plan.links'"), nodes.where("kind <> 'plan.links'"), "run_id")
+    """Every step anywhere below a link of the plan, with the link: a sweep by interval containment."""
+    nodes = plan_nodes(_runs(spark, d))
+    return contained(nodes.where("kind = 'plan.links'"), nodes.where("kind = 'plan.steps'"), "run_id")
 
 
 _ONCE = "once AS (SELECT run_id, arg_min(struct_pack(stages := stages, gates := gates, plan := plan), (loaded_at, plan)) AS r FROM eval_run WHERE run_id IS NOT NULL GROUP BY 1)"
