@@ -146,7 +146,7 @@ def _scalars(value: list) -> list | None:
 
 def _dump(fields: dict) -> str:
     try:
-        return json.dumps(fields, ensure_ascii=False)
+        return json.dumps(fields, ensure_ascii=False, separators=(",", ":"))
     except RecursionError:
         parts = []
         for name, value in fields.items():
@@ -160,8 +160,8 @@ def _dump(fields: dict) -> str:
                     text.append("[")
                 else:
                     text.append(x.text if isinstance(x, _Raw) else json.dumps(x, ensure_ascii=False))
-            parts.append(f"{json.dumps(name, ensure_ascii=False)}: {''.join(text)}")
-        return "{" + ", ".join(parts) + "}"
+            parts.append(f"{json.dumps(name, ensure_ascii=False)}:{''.join(text)}")
+        return "{" + ",".join(parts) + "}"
 
 
 class _Raw:

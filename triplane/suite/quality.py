@@ -194,6 +194,31 @@ UNION ALL SELECT run_id, 'gates[' || i || ']' FROM g
 UNION ALL SELECT run_id, 'gates[' || i || '].probabilities[' || k || ']' FROM (SELECT run_id, i, unnest(map_keys(g.probabilities)) AS k FROM g)
 UNION ALL SELECT run_id, 'plan' || rtrim(regexp_replace(regexp_replace(substr(k, 2) || '.', {_LONE}), {_LONE}), '.') FROM t"""
 
+#: The typed columns with their labels: entries and elements in order, and how many nodes come before each.
+_TYPED = """s AS (SELECT run_id, e, row_number() OVER (PARTITION BY run_id ORDER BY e.key) AS nth FROM (SELECT run_id, unnest(map_entries(r.stages)) AS e FROM once)),
+  g0 AS (SELECT run_id, r, unnest(range(1, len(r.gates) + 1)) AS i FROM once),
+  g1 AS (SELECT run_id, i - 1 AS gate, r.gates[i] AS g, coalesce(len(map_keys(r.stages)), 0) AS stages, coalesce(len(map_keys(r.gates[i].probabilities)), 0) AS below FROM g0 WHERE r.gates[i] IS NOT NULL),
+  g2 AS (SELECT *, (1 + stages + coalesce(sum(1 + below) OVER (PARTITION BY run_id ORDER BY gate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS pre FROM g1),
+  typed AS (SELECT run_id, coalesce(len(map_keys(r.stages)), 0) + coalesce(n, 0) AS n FROM once LEFT JOIN (SELECT run_id, sum(1 + below) AS n FROM g1 GROUP BY 1) USING (run_id))"""
+_SEGMENT = '\\.("[^"]*"|[^.\\[]+)'
+#: Every object of a plan that is one, by DuckDB's own walk; its value is itself without the fields that hold objects.
+_PLANS = f"""WITH {_ONCE}, {_TYPED},
+  j AS (SELECT run_id, CASE WHEN NOT json_valid(r.plan) THEN NULL WHEN json_type(r.plan) = 'VARCHAR' THEN json_extract_string(r.plan, '$') ELSE r.plan END AS p FROM once WHERE r.plan IS NOT NULL),
+  o0 AS (SELECT j.run_id, t.id, t.value AS v, t.fullkey AS k FROM (SELECT * FROM j WHERE p IS NOT NULL AND json_valid(p)) j, json_tree(j.p) t WHERE t.type = 'OBJECT'),
+  o1 AS (SELECT *, regexp_replace(k, '{_SEGMENT}(\[[0-9]+\])*$', '') AS up, len(regexp_extract_all(k, '{_SEGMENT}')) + 1 AS depth, regexp_extract(k, '{_SEGMENT}(\[[0-9]+\])*$', 1) AS name,
+    regexp_extract(k, '\[([0-9]+)\]$', 1) AS el, row_number() OVER (PARTITION BY run_id ORDER BY id) + typed.n AS pre FROM o0 JOIN typed USING (run_id)),
+  o2 AS (SELECT a.run_id, a.k, a.up, a.depth, a.name, a.el, a.pre, a.v, count(b.k) AS below, string_agg(DISTINCT '"' || b.name || '":null', ',') FILTER (b.up = a.k) AS inner_fields
+    FROM o1 a LEFT JOIN o1 b ON a.run_id = b.run_id AND starts_with(b.k, a.k || '.') GROUP BY ALL),
+  o AS (SELECT o2.run_id, 'plan' || rtrim(regexp_replace(regexp_replace(substr(o2.k, 2) || '.', {_LONE}), {_LONE}), '.') AS path, o2.pre::INTEGER AS pre, (o2.pre + o2.below - o2.depth)::INTEGER AS post, o2.depth::INTEGER AS depth,
+    coalesce(p.pre, 0)::INTEGER AS parent_pre, CASE WHEN o2.el <> '' THEN o2.el::INTEGER WHEN o2.name IN {LIST_FIELDS} THEN 0 END AS pos, nullif(o2.name, '') AS name,
+    json_merge_patch(o2.v, '{{' || coalesce(o2.inner_fields, '') || '}}')::VARCHAR AS value FROM o2 LEFT JOIN o1 p ON p.run_id = o2.run_id AND p.k = o2.up AND o2.name <> '')"""
+
+
+def _plan_sql(where: str, begin: str = "", fields: tuple[str, ...] = ()) -> str:
+    columns = "".join(f", json_extract_string(value, '$.{f}') AS {begin}_{f}" for f in fields)
+    return f"{_PLANS} SELECT run_id, path, pre, post, depth, parent_pre, pos, name, value{columns} FROM o WHERE {where}"
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -210,6 +235,18 @@ QUERIES = {
 SQL = {
     "p3_found": _P3,
     "p3_stages": f"WITH {_ONCE}, s AS (SELECT run_id, unnest(map_entries(r.stages)) AS e FROM once) SELECT run_id, e.key AS stage, e.value AS ms FROM s",
+    "p3_stage_nodes": f"""WITH {_ONCE}, {_TYPED} SELECT run_id, 'stages[' || e.key || ']' AS path, nth::INTEGER AS pre, (nth - 1)::INTEGER AS post, 1 AS depth, 0 AS parent_pre, NULL::INTEGER AS pos,
+      e.key AS name, e.value::VARCHAR AS value, e.key AS stage, e.value AS ms FROM s""",
+    "p3_gates": f"""WITH {_ONCE}, {_TYPED} SELECT run_id, gate::INTEGER AS gate, g.name, g.choice, g.confidence, g.threshold, g.passed, 0 AS parent_pre, pre, (pre + below - 1)::INTEGER AS post FROM g2""",
+    "p3_gate_probabilities": f"""WITH {_ONCE}, {_TYPED}, x AS (SELECT run_id, pre AS parent_pre, unnest(map_entries(g.probabilities)) AS e FROM g2),
+      y AS (SELECT *, row_number() OVER (PARTITION BY run_id, parent_pre ORDER BY e.key) AS nth FROM x)
+      SELECT run_id, parent_pre, e.key AS option, e.value AS p, (parent_pre + nth)::INTEGER AS pre, (parent_pre + nth - 2)::INTEGER AS post FROM y""",
+    "p3_plan": _plan_sql("name IS NULL", "plan", PLAN_FIELDS),
+    **{f"p3_plan_{f}": _plan_sql(f"name = '{f}'", *PLAN_TABLES[f]) for f in PLAN_TABLES},
+    "p3_plan_others": _plan_sql(f"name NOT IN {tuple(PLAN_TABLES)}"),
+    "p3_steps_in_links": f"""{_P3.replace("SELECT run_id, 'stages[' || k", ", f AS (SELECT run_id, 'stages[' || k", 1)}), 
+      l AS (SELECT run_id, path FROM f WHERE regexp_matches(path, '^plan\.links\[[0-9]+\]$')), st AS (SELECT run_id, path FROM f WHERE regexp_matches(path, '\.steps\[[0-9]+\]$'))
+      SELECT l.run_id, l.path AS outer_path, st.path AS inner_path FROM l JOIN st ON l.run_id = st.run_id AND starts_with(st.path, l.path || '.')""",
     "p1_found": f"SELECT tab, rec_id, ref, kind, period FROM ({_P1_LINKS}) WHERE kind <> 'live'",
     "p1_report": f"""SELECT tab, period, count(*) AS links, count(*) FILTER (kind = 'missing') AS missing,
         count(*) FILTER (kind = 'late') AS late, count(*) FILTER (kind = 'deleted') AS deleted FROM ({_P1_LINKS}) GROUP BY tab, period""",
