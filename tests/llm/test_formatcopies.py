@@ -57,7 +57,9 @@ def test_other_query(other):
 
 def test_questions():
     assert question_form("¿How  MANY 'cars'—cost 1,234.5?") == question_form("how many cars cost 12345") == "howmanycarscost12345"
-    assert question_form("Straße") == question_form("STRASSE") and question_form("é") == question_form("É") != question_form("e")
+    assert question_form("Straße") == question_form("STRAẞE") != question_form("STRASSE") == question_form("Strasse")
+    assert question_form("ΟΔΟΣ") == question_form("οδος") and question_form("İx") != question_form("ix") and sparql_form("SELECT ß {}") != sparql_form("SELECT ss {}")
+    assert question_form("é") == question_form("É") != question_form("e")
     assert question_form(None) is None and question_form("?!") == ""
     assert len({record_form(None, None), record_form("", None), record_form(None, ""), record_form("", "")}) == 4
     assert sparql_form("SELECT ?x { ?x a 'x } y' . }") == sparql_form("select ?x {?x a 'x } y'}")

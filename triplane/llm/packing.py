@@ -17,22 +17,62 @@ from ..runtime import materialize
 
 #: Greatest capacity. The plan is made on the driver from one count per length, so this bounds what it holds,
 #: whatever the number of items.
-MAX_CAPACITY = 1 << 17
+MAX_CAPACITY = 1 << 20
+#: Candidates for three lengths that may fail before the sums of pairs are indexed anew.
+STALE = 64
 
 
 class Stock:
-    """How many items there are of each length up to the capacity."""
+    """How many items there are of each length up to the capacity, with indexes of lengths and of sums of two.
+
+    An index is a set of whole numbers as the bits of one number, once upwards and once downwards from the capacity:
+    shifting the second by capacity - gap puts gap - a where a stands in the first, so one AND finds all lengths whose
+    complement is there too.
+    """
 
     def __init__(self, capacity: int, counts: dict[int, int]) -> None:
         self.capacity = capacity
-        self.left = np.zeros(capacity + 1, np.int64)
+        self.left = [0] * (capacity + 1)
         for length, n in counts.items():
             self.left[length] += n
+        self.up = sum_bits(length for length, n in enumerate(self.left) if n and length)
+        self.down = sum_bits(capacity - length for length, n in enumerate(self.left) if n and length)
+        self.pairs_down = None
+        self.top = capacity
+
+    def take(self, length: int, n: int = 1) -> None:
+        self.left[length] -= n
+        if not self.left[length]:
+            self.up ^= 1 << length
+            self.down ^= 1 << (self.capacity - length)
 
     def largest(self, upto: int) -> int:
         """The greatest length in stock that is at most ``upto``; 0 if there is none."""
-        held = np.flatnonzero(self.left[1 : upto + 1])
-        return int(held[-1]) + 1 if len(held) else 0
+        if upto >= self.top:
+            while self.top and not self.left[self.top]:
+                self.top -= 1
+            return self.top
+        return max(0, (self.up & ((2 << upto) - 1)).bit_length() - 1)
+
+    def pair(self, total: int, used: int = 0) -> int:
+        """The least of two lengths in stock with the sum ``total``, if one of ``used`` is taken already; 0 if none."""
+        found = self.up & (self.down >> (self.capacity - total)) & ((2 << (total // 2)) - 1)
+        while found:
+            a = (found & -found).bit_length() - 1
+            b = total - a
+            if self.left[a] > (a == b) + (a == used) and self.left[b] > (a == b) + (b == used):
+                return a
+            found ^= 1 << a
+        return 0
+
+    def index_pairs(self) -> None:
+        """The sums of two lengths in stock, up to the capacity. Later sums may be gone, but none is new."""
+        sums = 0
+        full = (2 << self.capacity) - 1
+        for a in range(1, self.capacity // 2 + 1):
+            if self.left[a]:
+                sums |= ((self.up >> a) << (2 * a)) & full if self.left[a] > 1 else (((self.up >> (a + 1)) << (a + 1)) << a) & full
+        self.pairs_down = int(bin(sums | 1 << (self.capacity + 1))[:2:-1], 2) if sums else 0
 
     def complement(self, gap: int) -> list[int]:
         """One, two or three lengths in stock with the sum ``gap``, larger ones first; none if there are none."""
@@ -40,43 +80,55 @@ class Stock:
             return []
         if self.left[gap]:
             return [gap]
-        # sums of two: index a by its complement gap - a
-        low = np.arange(1, gap // 2 + 1)
-        pair = (self.left[low] > (low == gap - low)) & (self.left[gap - low] > 0)
-        if pair.any():
-            a = int(low[np.argmax(pair)])
+        if a := self.pair(gap):
             return [gap - a, a]
-        for a in (np.flatnonzero(self.left[1 : gap - 1]) + 1)[::-1].tolist():
-            if 3 * a < gap:
-                break
-            rest = gap - a
-            low = np.arange(max(1, rest - a), rest // 2 + 1)
-            high = rest - low
-            used_low, used_high = (low == high).astype(int) + (low == a), (low == high).astype(int) + (high == a)
-            ok = (self.left[low] > used_low) & (self.left[high] > used_high)
-            if ok.any():
-                b = int(low[np.argmax(ok)])
-                return sorted([a, b, rest - b], reverse=True)
+        for _ in range(2):
+            if self.pairs_down is None:
+                self.index_pairs()
+            # Of three lengths the greatest is a third of the gap or more.
+            found = self.up & (self.pairs_down >> (self.capacity - gap)) & ((1 << gap) - 1)
+            failed = 0
+            while found and failed < STALE:
+                a = found.bit_length() - 1
+                if 3 * a < gap:
+                    return []
+                if b := self.pair(gap - a, a):
+                    return sorted([a, b, gap - a - b], reverse=True)
+                found ^= 1 << a
+                failed += 1
+            if not found:
+                return []
+            self.pairs_down = None
+        # The index is new, and sums stand in it that need more items of a length than there are: look at all.
+        while found and 3 * (a := found.bit_length() - 1) >= gap:
+            if b := self.pair(gap - a, a):
+                return sorted([a, b, gap - a - b], reverse=True)
+            found ^= 1 << a
         return []
 
 
+def sum_bits(places) -> int:  # noqa: ANN001
+    """The number with a bit at each of ``places``."""
+    places = list(places)
+    if not places:
+        return 0
+    bits = np.zeros(max(places) + 1, np.uint8)
+    bits[places] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def plan(capacity: int, counts: dict[int, int]) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns ``(containers, [(length, items of it in each)])`` that use every item once.
 
     Each container opens with the longest item left. If one, two or three lengths in stock fill its gap exactly, they
     close it; else the best-fitting (longest) item goes in and the gap is tried again, until nothing fits. A pattern
-    is repeated as long as the stock allows, so there are at most capacity * ln(capacity) patterns however many items
-    there are.
+    is repeated as long as the stock allows, so there are at most some two patterns a length however many items there
+    are.
     """
     stock, patterns = Stock(capacity, counts), []
     while top := stock.largest(capacity):
-        chosen: Counter[int] = Counter()
-
-        def put(length: int, chosen: Counter[int] = chosen) -> None:
-            chosen[length] += 1
-            stock.left[length] -= 1
-
-        put(top)
+        chosen = Counter([top])
+        stock.take(top)
         gap = capacity - top
         while gap:
             most = stock.largest(gap)
@@ -84,12 +136,14 @@ def plan(capacity: int, counts: dict[int, int]) -> list[tuple[int, list[tuple[in
                 break
             exact = stock.complement(gap) if gap <= 3 * most else []
             for length in exact or [most]:
-                put(length)
+                chosen[length] += 1
+                stock.take(length)
                 gap -= length
-        times = 1 + min(int(stock.left[length]) // n for length, n in chosen.items())
-        for length, n in chosen.items():
-            stock.left[length] -= n * (times - 1)
-        patterns.append((times, sorted(chosen.items(), reverse=True)))
+        more = min(stock.left[length] // n for length, n in chosen.items())
+        if more:
+            for length, n in chosen.items():
+                stock.take(length, n * more)
+        patterns.append((1 + more, sorted(chosen.items(), reverse=True)))
     return patterns
 
 
@@ -141,7 +195,7 @@ def pack(items: DataFrame, item: str, tokens: str, capacities: dict[int, int]) -
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            keys = (batch.column(0).to_numpy() << 20) | batch.column(4).to_numpy()
+            keys = (batch.column(0).to_numpy() << 21) | batch.column(4).to_numpy()
             order = np.argsort(keys, kind="stable")
             ordered = keys[order]
             first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, int)

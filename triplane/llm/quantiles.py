@@ -7,26 +7,38 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Absolute values up to this count as zero, so that their buckets need no unbounded index.
-SMALLEST = 1e-9
+#: The least positive double: every value but zero has a bucket of its own size.
+SMALLEST = 5e-324
+#: Least relative error. With it the numbers of buckets stay whole numbers that doubles hold exactly.
+LEAST_ERROR = 1e-12
+
+
+def _growth(error: float) -> tuple[float, int]:
+    """The ratio of neighbouring bucket bounds, and what is added to a bucket's power to make it 1 or more."""
+    if not LEAST_ERROR <= error < 1:
+        raise ValueError(f"a relative error lies between {LEAST_ERROR} and 1, not {error}")
+    g = (1 + error) / (1 - error)
+    return g, 2 - math.floor(math.log(SMALLEST) / math.log(g))
 
 
 def bucket_of(value: Column, error: float) -> Column:
     """The signed logarithmic bucket of a finite value.
 
     With g = (1 + error) / (1 - error), a positive value lies in bucket k when g^(k-1) < value <= g^k. The sign and k
-    are packed into one integer: 0 for zero, k + 2^20 for positive values, the negative of that for negative ones, so
-    that buckets sort as their values do.
+    are packed into one integer: 0 for zero, k + an offset that makes it positive for the least double for positive
+    values, the negative of that for negative ones, so that buckets sort as their values do.
     """
-    k = F.ceil(F.log(F.abs(value)) / math.log((1 + error) / (1 - error))) + F.lit(1 << 20)
-    return F.when(F.abs(value) <= SMALLEST, F.lit(0)).otherwise(F.when(value > 0, k).otherwise(-k)).cast("long")
+    g, offset = _growth(error)
+    k = F.ceil(F.log(F.abs(value)) / math.log(g)).cast("long") + F.lit(offset).cast("long")
+    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, k).otherwise(-k)
 
 
 def value_of(bucket: Column, error: float) -> Column:
     """The value that stands for a bucket: within ``error`` of each value in it, relatively."""
-    g = (1 + error) / (1 - error)
-    k = F.abs(bucket) - F.lit(1 << 20)
-    return F.when(bucket == 0, F.lit(0.0)).otherwise(F.signum(bucket.cast("double")) * F.pow(F.lit(g), k) * (2 / (1 + g)))
+    g, offset = _growth(error)
+    k = F.abs(bucket) - F.lit(offset)
+    # The power of e is exact enough where a power of g, a number close to 1, is not.
+    return F.when(bucket == 0, F.lit(0.0)).otherwise(F.signum(bucket.cast("double")) * F.exp(k * F.lit(math.log(g)) + F.lit(math.log(2 / (1 + g)))))
 
 
 def sketch(df: DataFrame, by: list[str], value: str, error: float) -> DataFrame:
@@ -52,7 +64,7 @@ def percentiles(sketches: DataFrame, by: list[str], points: list[float], error:
     """Per group ``n`` and one column ``p<point>`` for each of ``points`` (in percent).
 
     The value at point q is that of the bucket with the value of rank ceil(q/100 * n) (at least 1) in it, the
-    nearest-rank percentile; the result is within ``error`` of it, relatively. Zeros are exact.
+    nearest-rank percentile; the result is within ``error`` of it, relatively, down to the least normal double (2.2e-308). Zeros are exact.
     """
     w = Window.partitionBy(*by)
     total = F.sum("n").over(w)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.deliveries import one_delivery
 from ..runtime import materialize, read_table
 from . import canonical, formatcopies, mixing, packing, quantiles, sharedspans, tokens, toplist
 from .sparqlform import record_form
@@ -37,13 +38,17 @@ ERROR = 0.01
 POINTS = [50, 90, 95, 99]
 
 
+def _stored_times(spark: SparkSession, d: str) -> DataFrame:
+    """``day, arm, metric, ms``: the latency and each stage of every run as stored, each run once, the first loaded."""
+    once = one_delivery(read_table(spark, d, "eval_run").select("run_id", "arm", "latency_ms", "stages", "started_at", "loaded_at"), "run_id", ["loaded_at"])
+    entries = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("latency_ms").alias("value"))), F.coalesce(F.map_entries("stages"), F.array().cast("array<struct<key:string,value:double>>")))
+    t = once.select(F.to_date("started_at").alias("day"), "arm", F.explode(entries).alias("e"))
+    return t.select("day", "arm", F.coalesce(F.concat(F.lit("stages/"), F.col("e.key")), F.lit("latency_ms")).alias("metric"), F.col("e.value").alias("ms"))
+
+
 def _times(spark: SparkSession, d: str) -> DataFrame:
-    """``day, arm, metric, ms``: the latency and each stage of every run, each run once; negative times are impossible."""
-    runs = read_table(spark, d, "eval_run").select("run_id", "arm", "latency_ms", "stages", "started_at", "loaded_at").where("run_id IS NOT NULL")
-    once = runs.groupBy("run_id").agg(F.min_by(F.struct("arm", "latency_ms", "stages", "started_at"), "loaded_at").alias("r"))
-    entries = F.concat(F.array(F.struct(F.lit("latency_ms").alias("key"), F.col("r.latency_ms").alias("value"))), F.coalesce(F.map_entries("r.stages"), F.array().cast("array<struct<key:string,value:double>>")))
-    t = once.select(F.to_date("r.started_at").alias("day"), "r.arm", F.explode(entries).alias("e"))
-    return t.select("day", "arm", F.when(F.col("e.key") == "latency_ms", "latency_ms").otherwise(F.concat(F.lit("stages/"), F.col("e.key"))).alias("metric"), F.col("e.value").alias("ms")).where("ms >= 0")
+    """Negative times are impossible and don't count."""
+    return _stored_times(spark, d).where("ms >= 0")
 
 
 def p4_day_sketch(spark: SparkSession, d: str) -> DataFrame:
@@ -71,27 +76,36 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _read(quantiles.merge(p4_day_sketch(spark, d), by), by)
 
 
+def p4_percentiles_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Of every finite value as stored, the impossible negative ones too."""
+    by = ["arm", "metric"]
+    return _read(quantiles.sketch(_stored_times(spark, d), by, "ms", ERROR), by)
+
+
 _GAMMA = (1 + ERROR) / (1 - ERROR)
+#: Makes the least double's bucket 1 or more.
+_OFFSET = 2 - math.floor(math.log(5e-324) / math.log(_GAMMA))
 _P4_SKETCH = f"""WITH once AS (SELECT run_id, arg_min(struct_pack(arm := arm, latency_ms := latency_ms, stages := stages, started_at := started_at), loaded_at) AS r
     FROM eval_run WHERE run_id IS NOT NULL GROUP BY run_id),
   t AS (SELECT r.started_at::DATE AS day, r.arm AS arm, 'latency_ms' AS metric, r.latency_ms AS ms FROM once
     UNION ALL SELECT r.started_at::DATE, r.arm, 'stages/' || e.key, e.value FROM (SELECT r, unnest(map_entries(r.stages)) AS e FROM once)),
-  sketch AS (SELECT day, arm, metric, CASE WHEN ms <= 1e-9 THEN 0 ELSE ceil(ln(ms) / {math.log(_GAMMA)!r})::BIGINT + {1 << 20} END AS bucket, count(*) AS n
-    FROM t WHERE ms >= 0 AND NOT isnan(ms) AND NOT isinf(ms) GROUP BY 1, 2, 3, 4)"""
+  sketch AS (SELECT day, arm, metric, CASE WHEN ms = 0 THEN 0 ELSE sign(ms)::BIGINT * (ceil(ln(abs(ms)) / {math.log(_GAMMA)!r})::BIGINT + {_OFFSET}) END AS bucket, count(*) AS n
+    FROM t WHERE (stored OR ms >= 0) AND NOT isnan(ms) AND NOT isinf(ms) GROUP BY 1, 2, 3, 4)"""
 
 
-def _p4_sql(day: str | None) -> str:
+def _p4_sql(day: str | None, stored: bool = False) -> str:
     by = f"{day}, arm, metric" if day else "arm, metric"
     months = ", s AS (SELECT *, strftime(day, '%Y-%m') AS month FROM sketch)"
-    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE round(pow({_GAMMA!r}, {b} - {1 << 20}) * {2 / (1 + _GAMMA)!r}, 6) END"
+    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE round(sign({b}) * exp((abs({b}) - {_OFFSET}) * {math.log(_GAMMA)!r} + {math.log(2 / (1 + _GAMMA))!r}), 6) END"
     points = ", ".join(value(f"min(bucket) FILTER (upto >= greatest(1, ceil(total * {q} / 100.0)))") + f" AS p{q}" for q in POINTS)
-    return f"""{_P4_SKETCH}{months}, m AS (SELECT {by}, bucket, sum(n)::BIGINT AS n FROM s GROUP BY {by}, bucket),
+    return f"""{_P4_SKETCH.replace("stored OR", str(stored) + " OR")}{months}, m AS (SELECT {by}, bucket, sum(n)::BIGINT AS n FROM s GROUP BY {by}, bucket),
       u AS (SELECT *, sum(n) OVER (PARTITION BY {by}) AS total, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto FROM m)
     SELECT {by}, max(total)::BIGINT AS n, {points} FROM u GROUP BY {by}"""
 
 
 P4_SQL = {
-    "p4_day_sketch": f"{_P4_SKETCH} SELECT day, arm, metric, bucket, n FROM sketch",
+    "p4_percentiles_stored": _p4_sql(None, stored=True),
+    "p4_day_sketch": f"{_P4_SKETCH.replace('stored OR', 'false OR')} SELECT day, arm, metric, bucket, n FROM sketch",
     "p4_percentiles": _p4_sql(None),
     "p4_percentiles_by_day": _p4_sql("day"),
     "p4_percentiles_by_month": _p4_sql("month"),
@@ -202,6 +216,7 @@ QUERIES = {
     "p4_percentiles_by_day": p4_percentiles_by_day,
     "p4_percentiles": p4_percentiles,
     "p4_percentiles_by_month": p4_percentiles_by_month,
+    "p4_percentiles_stored": p4_percentiles_stored,
     "p4_day_sketch": p4_day_sketch,
     "p5_found": p5_found,
     "p5_unmatched": p5_unmatched,

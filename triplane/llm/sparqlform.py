@@ -16,12 +16,16 @@ def question_form(text: str | None) -> str | None:
         return None
     if text.isascii():
         return "".join(filter(str.isalnum, text)).lower()
-    folded = unicodedata.normalize("NFC", text).casefold()
-    return "".join(ch for ch in unicodedata.normalize("NFC", folded) if unicodedata.category(ch)[0] in "LN")
+    return "".join(ch for ch in _same_case(unicodedata.normalize("NFC", text)) if unicodedata.category(ch)[0] in "LN")
+
+
+def _same_case(text: str) -> str:
+    """Case taken off letter by letter: one letter never becomes two, so a sharp s stays apart from a double s."""
+    return text.lower() if text.isascii() else "".join(f if len(f := ch.casefold()) == 1 else low if len(low := ch.lower()) == 1 else ch for ch in text)
 
 
 def _squeeze(text: str) -> str:
-    return "".join(text.split()).casefold()
+    return _same_case("".join(text.split()))
 
 
 def _patterns(body: str) -> list[str]:
