@@ -1,10 +1,12 @@
 import bisect
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from triplane.llm import packing
 from triplane.llm.packing import MAX_CAPACITY, Stock, fill, pack, plan
 from triplane.llm.tokens import VOCABULARY, encoding, with_tokens
 
@@ -39,6 +41,35 @@ def test_plan_uses_each_item_once_and_fits(capacity, lengths):
         assert containers == 40
 
 
+def brute_complement(left, gap):
+    lengths = [n for n in left if left[n]]
+    enough = lambda *parts: sum(parts) == gap and all(left[p] >= parts.count(p) for p in parts)
+    return any(enough(a) for a in lengths) or any(enough(a, b) for a in lengths for b in lengths) or any(enough(a, b, c) for a in lengths for b in lengths for c in lengths)
+
+
+@pytest.mark.parametrize("stale", [1, 64])
+def test_complements_by_brute_force(monkeypatch, stale):
+    monkeypatch.setattr(packing, "STALE", stale)
+    rng = random.Random(stale)
+    for _ in range(60):
+        capacity = rng.randint(3, 60)
+        s = Stock(capacity, {rng.randint(1, capacity): rng.randint(1, 3) for _ in range(rng.randint(1, 9))})
+        while s.largest(capacity):
+            left = {n: k for n, k in enumerate(s.left) if k}
+            for gap in range(capacity + 1):
+                got = s.complement(gap)
+                assert (bool(got) == (gap > 0 and brute_complement(left, gap))) and sum(got) == (gap if got else 0) and all(got.count(n) <= left[n] for n in got), (left, gap, got)
+                assert s.largest(gap) == max([n for n in left if n <= gap], default=0)
+            s.take(rng.choice(list(left)))
+
+
+def test_large_capacity_in_seconds():
+    capacity = 1 << 17
+    began = time.time()
+    assert sum(n for n, _ in plan(capacity, {n: 1 + n % 5 for n in range(1, capacity + 1)})) > 0
+    assert time.time() - began < 10
+
+
 def test_complements():
     s = Stock(30, {3: 2, 7: 1, 11: 1})
     assert s.complement(7) == [7] and s.complement(10) == [7, 3] and s.complement(6) == [3, 3] and s.complement(21) == [11, 7, 3] and s.complement(9) == [] and s.complement(17) == [11, 3, 3]
