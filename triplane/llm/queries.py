@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.deliveries import one_delivery
@@ -181,6 +181,24 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_containers(spark, d), _capacities(spark, d))
 
 
+def p7_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What a right packing has none of, counted per spec: documents without exactly their tokens placed once in order,
+    documents cut though they fit, containers over capacity, and whether there is more than one container in a thousand
+    beyond the least number that could hold all tokens, and more than two."""
+    caps = _capacities(spark, d)
+    docs = materialize(tokens.with_tokens(read_table(spark, d, "documents").select("doc_id", "text"), "text"), "sized")
+    placed = materialize(packing.pack(docs, "doc_id", "tokens", caps), "placed")
+    specs = read_table(spark, d, "pack_spec").select(F.col("spec_id").cast("long").alias("spec"), F.col("capacity_tokens").alias("capacity"))
+    by_item = Window.partitionBy("spec", "doc_id").orderBy("token_start", "token_end")
+    joined = placed.withColumn("before", F.lag("token_end", 1, 0).over(by_item)).groupBy("spec", "doc_id").agg(F.max("token_end").alias("upto"), F.count_if(F.col("before") != F.col("token_start")).alias("gaps"), F.count(F.lit(1)).alias("pieces"))
+    items = docs.crossJoin(F.broadcast(specs)).join(joined, ["spec", "doc_id"], "left")
+    unplaced = ~F.coalesce((F.col("upto") == F.col("tokens")) & (F.col("gaps") == 0), F.lit(False))
+    one = items.groupBy("spec").agg(F.count_if(unplaced).alias("unplaced"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("cut"))
+    load = placed.where("container IS NOT NULL").groupBy("spec", "container").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("load")).join(F.broadcast(specs), "spec")
+    two = load.groupBy("spec").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"), (F.count(F.lit(1)) - F.ceil(F.sum("load") / F.max("capacity"))).alias("more"), F.count(F.lit(1)).alias("containers"))
+    return specs.join(one, "spec", "left").join(two, "spec", "left").select("spec", F.coalesce("unplaced", F.lit(0)).alias("unplaced"), F.coalesce("cut", F.lit(0)).alias("cut"), F.coalesce("overfull", F.lit(0)).alias("overfull"), ((F.col("more") > 2) & (F.col("more") > F.col("containers") / 1000)).alias("too_many"))
+
+
 # ---------------------------------------------------------------- 8: sources mixed to target shares
 def _mixed_docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their size, primary language and, as topic, the class of the model they are on."""
@@ -198,6 +216,43 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_draws(spark, d), read_table(spark, d, "mix_target"))
 
 
+#: Shares of languages and topics asked for, to be met as far as the sources allow.
+MARGINALS = {"lang": {"en": 0.7, "de": 0.2, "fr": 0.1}}
+
+
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Target, planned and actual shares of sources, languages and topics, with languages raked to MARGINALS."""
+    docs, targets = materialize(_mixed_docs(spark, d), "sized"), read_table(spark, d, "mix_target")
+    _, planned, _ = mixing.fit(docs.withColumn("doc", F.col("doc_id")), targets, MARGINALS)
+    return mixing.marginal_shares(mixing.mix(docs, targets, "doc_id", marginals=MARGINALS, cells=True), planned)
+
+
+def p8_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds of fitting per mix, and the last change of a weight as a part of its cap."""
+    _, _, how = mixing.fit(materialize(_mixed_docs(spark, d), "sized").withColumn("doc", F.col("doc_id")), read_table(spark, d, "mix_target"))
+    kind = dict(read_table(spark, d, "mix_target").dtypes)["mix_id"]
+    return spark.createDataFrame(list(how.itertuples(index=False)), f"mix_id {kind}, rounds long, last_change double").select("mix_id", "rounds", F.round("last_change", 12).alias("last_change"))
+
+
+def p8_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What a right mix has none of, counted per target: documents used too often or of another source, a repeated
+    row, and a share further from its target than one document, where the source has documents to draw."""
+    docs, targets = materialize(_mixed_docs(spark, d), "sized"), read_table(spark, d, "mix_target")
+    drawn = materialize(mixing.mix(docs, targets, "doc_id"), "drawn")
+    used = drawn.groupBy("mix_id", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.first("source").alias("source"), F.max("repeats").alias("repeats"))
+    checked = used.join(targets, ["mix_id", "source"], "left").join(docs.select("doc_id", F.col("source").alias("true_source")), "doc_id", "left")
+    wrong = checked.groupBy("mix_id", "source").agg(F.count_if(~F.coalesce(F.col("repeats") <= F.col("max_repeats"), F.lit(False))).alias("overused"), F.count_if((F.col("rows") > 1) | ~F.col("source").eqNullSafe(F.col("true_source"))).alias("misplaced"))
+    has = docs.where("tokens > 0").groupBy("source").agg(F.max("tokens").alias("longest"))
+    sized = targets.join(has, "source", "left").join(drawn.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("got")), ["mix_id", "source"], "left")
+    of = Window.partitionBy("mix_id")
+    able = F.when(F.col("longest").isNotNull(), F.col("target_share")).otherwise(0.0)
+    total = F.sum(F.coalesce("got", F.lit(0))).over(of)
+    # One document more or less in a source, and the total off by one document of each source.
+    room = F.coalesce("longest", F.lit(0)) + able / F.sum(able).over(of) * F.sum(F.coalesce("longest", F.lit(0))).over(of)
+    missed = (F.abs(F.coalesce("got", F.lit(0)) - able / F.sum(able).over(of) * total) > room).cast("long")
+    return sized.withColumn("missed", missed).join(wrong, ["mix_id", "source"], "left").select("mix_id", "source", F.coalesce("overused", F.lit(0)).alias("overused"), F.coalesce("misplaced", F.lit(0)).alias("misplaced"), F.coalesce("missed", F.lit(0)).alias("missed"))
+
+
 # ---------------------------------------------------------------- 9: long exact spans in several documents
 SPAN = 150
 
@@ -224,8 +279,12 @@ QUERIES = {
     "p6_items": p6_items,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_violations": p7_violations,
     "p8_draws": p8_draws,
     "p8_shares": p8_shares,
+    "p8_marginals": p8_marginals,
+    "p8_fit": p8_fit,
+    "p8_violations": p8_violations,
     "p9_found": p9_found,
     "p9_shared": p9_shared,
 }
@@ -251,6 +310,9 @@ SQL = {
     "p5_unmatched": f"{_P5} SELECT text, count(*) AS mentions FROM f WHERE iri = 'none' GROUP BY 1",
     "p6_found": f"{_P6} SELECT keep AS keep_id, row_id AS copy_id FROM c WHERE keep <> row_id",
     "p6_items": f"{_P6} SELECT keep AS row_id, count(*) AS copies FROM c GROUP BY 1",
+    # Invariants: the queries count what breaks them in the real results, over all documents.
+    "p7_violations": "SELECT spec_id::BIGINT AS spec, 0 AS unplaced, 0 AS cut, 0 AS overfull, false AS too_many FROM pack_spec",
+    "p8_violations": "SELECT mix_id, source, 0 AS overused, 0 AS misplaced, 0 AS missed FROM mix_target",
     "p9_found": f"{_P9} SELECT doc_id, span_start, span_end FROM found",
     "p9_shared": f"""{_P9}, t AS (SELECT doc_id, sum(span_end - span_start) AS c, count(*) AS k FROM found GROUP BY 1)
       SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0)::BIGINT AS shared_chars, coalesce(k, 0) AS spans,
