@@ -95,3 +95,66 @@ def test_what_is_no_query():
     with pytest.raises(SparqlError):
         parse("SELECT ?x WHERE { SERVICE <http://x> { ?x ?p ?o } }")
     assert used_iris(parse("SELECT ?x WHERE { ?x a <http://c> ; <http://p>/<http://q> 'http://no' }")) == {TYPE, "http://c", "http://p", "http://q"}
+
+
+@pytest.fixture(scope="module")
+def virtual(spark):
+    import os
+
+    from triplane.sources import testgraph as tg
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    return Compiler(tg.store(spark, "/root/testdata/sf0.001", "orders", "customer", "nation", "region"), tg.PREFIXES, merged=False)
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT * WHERE { ?c a t:Customer OPTIONAL { ?c t:locatedIn ?n } ?o t:placedBy ?c . ?n t:name ?x }",
+    "SELECT * WHERE { ?c a t:Customer OPTIONAL { ?c t:locatedIn ?n } ?o t:placedBy ?c ; t:total ?m . ?c t:segment ?s }",
+    "SELECT * WHERE { { SELECT ?c WHERE { ?c t:segment 'BUILDING' } } ?o t:placedBy ?c . ?c t:locatedIn ?n . ?n t:inRegion ?r }",
+])
+def test_no_cross_product_before_a_join(virtual, text):
+    """Where each row can be joined by equality, only rows that lack the variable may meet all others."""
+    plan = virtual.select(text)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("(" in line and " = " in line for line in joins if "Cross" not in line)
+    assert "Cross" not in plan or "isnull" in plan
+    assert " OR isnull" not in plan and "OR (" not in plan
+
+
+def test_joins_of_unbound_variables(ask):
+    # a yard without parent goes with every town
+    assert ask("SELECT ?y ?p WHERE { ?y a o:Yard OPTIONAL { ?y o:parent ?p } ?p o:town ?t }") == [("north", "north"), ("north", "south"), ("south", "north")]
+    assert ask("SELECT ?y ?p ?b WHERE { ?y a o:Yard OPTIONAL { ?y o:parent ?p } OPTIONAL { ?b o:builtBy ?p } }") == sorted([(y, "north", b) for y in ("north", "south") for (b,) in ask("SELECT ?b WHERE { ?b o:builtBy d:north }")] + [("north", "south", b) for (b,) in ask("SELECT ?b WHERE { ?b o:builtBy d:south }")])
+    # MINUS takes away nothing where no variable is bound on both sides
+    assert ask("SELECT ?y ?p WHERE { ?y a o:Yard OPTIONAL { ?y o:parent ?p } MINUS { ?p o:town ?t } }") == [("north", None)]
+
+
+def test_paths_from_bound_ends(ask, spark):
+    assert ask("SELECT ?x WHERE { d:south o:parent* ?x }") == [("north",), ("south",)]
+    assert ask("SELECT ?x WHERE { ?x o:parent* d:north }") == [("north",), ("south",)]
+    assert ask("SELECT ?x WHERE { d:south o:parent? ?x }") == [("north",), ("south",)] and ask("SELECT ?x WHERE { d:south o:parent+ ?x }") == [("north",)]
+    assert ask("SELECT ?y ?x WHERE { ?y a o:Yard . ?y (o:parent|^o:parent)* ?x }") == [("north", "north"), ("north", "south"), ("south", "north"), ("south", "south")]
+    assert ask("SELECT ?x WHERE { d:nowhere o:parent* ?x }") == [("nowhere",)]
+    assert ask("SELECT ?b WHERE { ?b o:builtBy/o:parent* d:north }") == ask("SELECT ?b WHERE { ?b o:builtBy ?y . ?y o:parent* d:north }")
+    chain = spark.createDataFrame([(f"{D}n{i}", f"{D}n{i + 1}") for i in range(67)] + [(f"{D}n20", f"{D}n3")], "s string, o string")
+    from triplane.sources.quads import typed
+    from pyspark.sql import functions as F
+
+    q = typed(chain.select(F.lit("g").alias("g"), "s", F.lit(f"{O}next").alias("p"), "o", F.lit(0).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang")))
+    c = Compiler(QuadStore(q), PREFIXES)
+    assert c.select("SELECT ?x WHERE { d:n0 o:next+ ?x }").count() == 67
+
+
+def test_time_limit(ask):
+    import time
+
+    assert ask.compiler.rows("SELECT ?y WHERE { ?y a o:Yard }", seconds=100) and ask.compiler.ask("ASK { ?y a o:Yard }", seconds=100)
+    from pyspark.sql import functions as F
+    from triplane.plans.algebra import rows_within
+
+    slow = ask.compiler.store.spark.range(8, numPartitions=8).select(F.expr("aggregate(sequence(1, 300000000), id, (a, x) -> a + x % 3)").alias("x"))
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        rows_within(slow, 2)
+    assert time.time() - began < 60

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import replace
 from functools import reduce
 from typing import Any
@@ -14,8 +16,10 @@ from ..sources.turtle import XSD, Term
 from .expressions import Scope, aggregate, evaluate, truth
 from .sparql import AGGREGATES, Bgp, Bind, Call, Graph, Group, Minus, Optional, Path, Query, SparqlError, Triple, Union, Values, Var, parse, walk
 
-#: Steps a ``*`` or ``+`` path may take; more is an error, as the closure of a class tree is far below.
-MAX_STEPS = 64
+#: Rounds of a path's closure after which its pairs are written as one table again.
+ROUNDS_A_TABLE = 16
+#: Shared variables that may be unbound by which a join is split, each doubling its parts; more are compared as they are.
+MAX_SPLIT = 3
 
 
 class Compiler:
@@ -35,9 +39,14 @@ class Compiler:
         rel = self.rel(query)
         return rel.df.select(*[(text_of(i, F.col(n)) if i.kind == "iri" or not typed else F.col(n)).alias(n) for n, i in rel.info.items()])
 
-    def ask(self, query: Query | str) -> bool:
+    def ask(self, query: Query | str, seconds: float | None = None) -> bool:
+        """Whether the query has a solution; within ``seconds`` if they are given."""
         query = parse(query, self.prefixes) if isinstance(query, str) else query
-        return not self._group(query.where, None).df.limit(1).isEmpty()
+        return bool(rows_within(self._group(query.where, None).df.limit(1), seconds))
+
+    def rows(self, query: Query | str, seconds: float | None = None) -> list:
+        """The solutions of a SELECT, on the driver; within ``seconds`` if they are given."""
+        return rows_within(self.select(query), seconds)
 
     def construct(self, query: Query | str) -> DataFrame:
         """Quads without graph, one set. Triples with an unbound part or a literal subject are left out."""
@@ -69,7 +78,7 @@ class Compiler:
                 bgp += part.triples
                 continue
             if bgp:
-                rel = self._join(rel, self._bgp(bgp, graph))
+                rel = self._bgp(bgp, graph, rel)
                 bgp = []
             if part is None:
                 break
@@ -124,22 +133,32 @@ class Compiler:
         columns = [c for n in v.names for c in Rel(df, info).columns(n)]
         return Rel(df.select(*columns), info)
 
-    def _bgp(self, triples: list[Triple], graph: Any) -> Rel:
-        """Join of patterns. Subjects' single-valued columns of one table are read in one scan; then each next pattern
-        is one that shares a variable with those before, patterns with constants first."""
-        rels = self._stars(triples, graph)
-        rels.sort(key=lambda x: (-x[0], len(x[1].info)))
-        rel = rels.pop(0)[1]
+    def _bgp(self, triples: list[Triple], graph: Any, rel: Rel | None = None) -> Rel:
+        """Join of patterns with the solutions so far. Subjects' single-valued columns of one table are read in one scan;
+        then each next pattern is one that shares a variable with those before, so that patterns that only meet through
+        what stands before them are no cross product: those with a variable that is surely bound first, then those with
+        constants. Paths come when an end of theirs is bound, if one ever is."""
+        known: dict[str, str] = {}
+        if rel is not None:
+            _learn(known, rel)
+        rels: list[tuple[int, Rel | Triple, set[str]]] = [(c, r, set(r.info)) for c, r in self._stars([t for t in triples if not isinstance(t.p, Path)], graph, known)]
+        rels += [(0, t, {x.name for x in (t.s, t.o) if isinstance(x, Var)}) for t in triples if isinstance(t.p, Path)]
+        rels.sort(key=lambda x: (isinstance(x[1], Triple), -x[0], len(x[2])))
+
+        def after(x: tuple[int, Rel | Triple, set[str]]) -> tuple:
+            shared = x[2] & set(rel.info)
+            return (not shared and bool(rel.info), not any(not rel.info[n].maybe_null for n in shared))
+
         while rels:
-            at = next((i for i, (_, r) in enumerate(rels) if set(r.info) & set(rel.info)), 0)
-            rel = self._join(rel, rels.pop(at)[1])
+            at = 0 if rel is None else min(range(len(rels)), key=lambda i: (after(rels[i]), i))
+            part = rels.pop(at)[1]
+            rel = self._join(rel, self._path(part, graph, rel) if isinstance(part, Triple) else part)
         return rel
 
-    def _stars(self, triples: list[Triple], graph: Any) -> list[tuple[int, Rel]]:
-        """Relations for the patterns, each with the number of constants in it."""
+    def _stars(self, triples: list[Triple], graph: Any, known: dict[str, str]) -> list[tuple[int, Rel]]:
+        """Relations for the patterns, each with the number of constants in it. ``known``: templates of variables."""
         out, left = [], list(triples)
         name = graph.text if isinstance(graph, Term) else None
-        known: dict[str, str] = {}
         if not isinstance(graph, Var):
             by: dict[str, list[Triple]] = {}
             for t in triples:
@@ -192,8 +211,6 @@ class Compiler:
         return rel2, 1
 
     def _pattern(self, t: Triple, graph: Any, known: dict[str, str] | None = None) -> Rel:
-        if isinstance(t.p, Path):
-            return self._path(t, graph)
         name = graph.text if isinstance(graph, Term) else None
         template = (known or {}).get(t.s.name) if isinstance(t.s, Var) else None
         predicate = t.p if isinstance(t.p, str) else t.p.text if isinstance(t.p, Term) else None
@@ -212,33 +229,53 @@ class Compiler:
         self.fresh += 1
         return f"_{self.fresh}_"
 
-    def _path(self, t: Triple, graph: Any) -> Rel:
-        rel = self._pairs(t.p, graph)
+    def _path(self, t: Triple, graph: Any, before: Rel | None = None) -> Rel:
+        """The pairs of a path. One without bounds on its length begins at a constant end, or at the nodes that the
+        solutions ``before`` have for one, and follows the graph from there only."""
+        start, end = (self._ends(x, before) for x in (t.s, t.o))
+        rel = self._pairs(t.p, graph, start, end)
         rel, _ = self._placed(rel, "_from", t.s)
         rel, _ = self._placed(rel, "_to", t.o)
         return rel
 
-    def _pairs(self, path: Any, graph: Any) -> Rel:
-        """The pairs ``_from``, ``_to`` a path connects."""
+    def _ends(self, place: Any, before: Rel | None) -> Rel | None:
+        """The nodes a path may begin or end at, as ``_at``; None if they are not known."""
+        if not isinstance(place, Var):
+            term = Term(0, place) if isinstance(place, str) else place
+            if term.kind == 1:
+                return None
+            return Rel(self.store.spark.createDataFrame([(term.text,)], "_at string"), {"_at": Info("iri")})
+        if before is None or place.name not in before.info or before.info[place.name].maybe_null:
+            return None
+        return _distinct(_renamed(before.select([place.name]), {place.name: "_at"}))
+
+    def _pairs(self, path: Any, graph: Any, start: Rel | None = None, end: Rel | None = None) -> Rel:
+        """The pairs ``_from``, ``_to`` a path connects: all of them, or at least those from ``start`` to ``end``."""
         a, b = Var("_from"), Var("_to")
         if isinstance(path, str):
             return self._pattern(Triple(a, path, b), graph).select(["_from", "_to"])
         if path.op == "inv":
-            got = self._pairs(path.parts[0], graph)
+            got = self._pairs(path.parts[0], graph, end, start)
             return _renamed(got, {"_from": "_to", "_to": "_from"}).select(["_from", "_to"])
         if path.op == "seq":
-            rel = self._pairs(path.parts[0], graph)
-            for part in path.parts[1:]:
+            rel = self._pairs(path.parts[0], graph, start)
+            for i, part in enumerate(path.parts[1:], 2):
                 middle = self._fresh() + "m"
-                rel = self._join(_renamed(rel, {"_to": middle}), _renamed(self._pairs(part, graph), {"_from": middle})).select(["_from", "_to"])
+                left = _renamed(rel, {"_to": middle})
+                met = None if left.info[middle].maybe_null or isinstance(part, str) else _distinct(_renamed(left.select([middle]), {middle: "_at"}))
+                rel = self._join(left, _renamed(self._pairs(part, graph, met, end if i == len(path.parts) else None), {"_from": middle})).select(["_from", "_to"])
             return rel
         if path.op == "alt":
-            return reduce(union, [self._pairs(p, graph) for p in path.parts])
-        step = widened(widened(self._pairs(path.parts[0], graph), "_from"), "_to")
-        if path.op == "opt":
-            return _distinct(union(step, self._nodes(graph)))
-        closed = self._closure(step)
-        return closed if path.op == "plus" else _distinct(union(closed, self._nodes(graph)))
+            return reduce(union, [self._pairs(p, graph, start, end) for p in path.parts])
+        step = self._pairs(path.parts[0], graph)
+        x, y = step.info["_from"], step.info["_to"]
+        if not (x.kind == y.kind == "iri" and x.template == y.template):
+            step = widened(widened(step, "_from"), "_to")
+        steps = _distinct(step) if path.op == "opt" else self._closure(step, start, end)
+        if path.op == "plus":
+            return steps
+        ends = start or end
+        return _distinct(union(steps, _loops(ends, "_at") if ends else self._nodes(graph)))
 
     def _nodes(self, graph: Any) -> Rel:
         """Every node of the graph with itself: what a path of no steps connects."""
@@ -247,29 +284,34 @@ class Compiler:
         all_ = widened(widened(all_, "s"), "o")
         s = _renamed(all_.select(["s"]), {"s": "_from"})
         o = _renamed(all_.select(["o"]), {"o": "_from"})
-        nodes = _distinct(union(s, o))
-        df = nodes.df
-        for c in nodes.columns("_from"):
-            df = df.withColumn(c.replace("_from", "_to", 1), F.col(c))
-        return Rel(df, {"_from": nodes.info["_from"], "_to": nodes.info["_from"]})
+        return _loops(_distinct(union(s, o)), "_from")
 
-    def _closure(self, step: Rel) -> Rel:
+    def _closure(self, step: Rel, start: Rel | None = None, end: Rel | None = None) -> Rel:
         """Pairs connected by one or more steps: the frontier is joined with the steps until nothing new comes.
 
-        Each round's pairs are written to shared storage, so plans stay short and survive lost executors.
+        It begins at ``start``, or goes back from ``end``, where they are known. Each round's pairs are written to shared
+        storage, so plans stay short and survive lost executors; there are as many rounds as the longest way has steps.
         """
         from ..runtime import materialize
 
-        seen = Rel(materialize(_distinct(step).df, "path"), step.info)
-        frontier, steps = seen, seen
-        for _ in range(MAX_STEPS):
+        if start is None and end is not None:
+            back = self._closure(_renamed(step, {"_from": "_to", "_to": "_from"}).select(["_from", "_to"]), end)
+            return _renamed(back, {"_from": "_to", "_to": "_from"}).select(["_from", "_to"])
+        if start is not None and (start.info["_at"].kind, start.info["_at"].template) != (step.info["_from"].kind, step.info["_from"].template):
+            step = widened(widened(step, "_from"), "_to")
+        steps = Rel(materialize(_distinct(step).df, "steps"), step.info)
+        first = steps if start is None else self._join(steps, _renamed(start, {"_at": "_from"}), "left_semi").select(["_from", "_to"])
+        seen = frontier = Rel(materialize(first.df.select(*steps.df.columns), "path"), steps.info)
+        rounds = 0
+        while not frontier.df.isEmpty():
             grown = self._join(_renamed(frontier, {"_to": "_mid"}), _renamed(steps, {"_from": "_mid"})).select(["_from", "_to"])
-            fresh = _distinct(grown).df.join(seen.df, ["_from", "_to"], "left_anti")
-            frontier = Rel(materialize(fresh.select(*grown.df.columns), "path"), step.info)
-            if frontier.df.isEmpty():
-                return seen
+            new = _distinct(grown).df.join(seen.df, ["_from", "_to"], "left_anti")
+            frontier = Rel(materialize(new.select(*steps.df.columns), "path"), step.info)
             seen = Rel(seen.df.unionByName(frontier.df), step.info)
-        raise SparqlError(f"a path took more than {MAX_STEPS} steps")
+            rounds += 1
+            if rounds % ROUNDS_A_TABLE == 0:
+                seen = Rel(materialize(seen.df, "path"), step.info)
+        return seen
 
     # -- combination
     def _join(self, a: Rel | None, b: Rel, how: str = "inner", condition: Any = None) -> Rel:
@@ -277,6 +319,12 @@ class Compiler:
         if a is None:
             return b
         shared = [n for n in b.info if n in a.info]
+        # Rows that have a variable, and rows that lack it, each join in their own way: by equality, or without it.
+        for side, other in ((a, b), (b, a)):
+            loose = [n for n in shared if side.info[n].maybe_null][:MAX_SPLIT]
+            if condition is None and loose and (side is a or how == "inner"):
+                parts = _by_bound(side, loose)
+                return reduce(union, [self._join(x, other, how) if side is a else self._join(other, x) for x in parts])
         for n in shared:
             a, b = _aligned(a, b, n)
         tag = self._fresh()
@@ -325,7 +373,14 @@ class Compiler:
         shared = [n for n in b.info if n in a.info]
         if not shared:
             return a
-        return self._join(a, _distinct(b.select(shared)), "left_anti")
+        kept = []
+        others = _by_bound(_distinct(b.select(shared)), [n for n in shared if b.info[n].maybe_null])
+        for rows in _by_bound(a, [n for n in shared if a.info[n].maybe_null]):
+            for other in others:
+                if set(other.info) & set(rows.info):
+                    rows = self._join(rows, other, "left_anti")  # noqa: PLW2901
+            kept.append(rows)
+        return reduce(union, kept)
 
     def _filter(self, rel: Rel, f: Any, graph: Any) -> Rel:
         if isinstance(f, Call) and f.name == "and":
@@ -418,6 +473,30 @@ class Compiler:
         return out
 
 
+def rows_within(df: DataFrame, seconds: float | None) -> list:
+    """The rows of a DataFrame. Its jobs are cancelled after ``seconds``, which raises TimeoutError."""
+    if seconds is None:
+        return df.collect()
+    context, tag, late = df.sparkSession.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no answer within {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
 def _learn(known: dict[str, str], rel: Rel) -> None:
     """Templates that variables are now known to be of."""
     for n, i in rel.info.items():
@@ -438,6 +517,27 @@ def _renamed(rel: Rel, names: dict[str, str]) -> Rel:
     return Rel(df, {names.get(n, n): i for n, i in rel.info.items()})
 
 
+def _by_bound(rel: Rel, names: list[str]) -> list[Rel]:
+    """The solutions in parts that have the same of ``names`` bound: there they are surely bound, elsewhere left out."""
+    parts = [rel]
+    for n in names:
+        halves = []
+        for p in parts:
+            halves.append(Rel(p.df.where(F.col(n).isNotNull()), {**p.info, n: replace(p.info[n], maybe_null=False)}))
+            halves.append(Rel(p.df.where(F.col(n).isNull()).drop(*p.columns(n)), {k: i for k, i in p.info.items() if k != n}))
+        parts = halves
+    return parts
+
+
+def _loops(nodes: Rel, name: str) -> Rel:
+    """Each node of a column with itself, as ``_from`` and ``_to``."""
+    one = _renamed(nodes, {name: "_from"})
+    df = one.df
+    for c in one.columns("_from"):
+        df = df.withColumn(c.replace("_from", "_to", 1), F.col(c))
+    return Rel(df, {"_from": one.info["_from"], "_to": one.info["_from"]})
+
+
 def _distinct(rel: Rel) -> Rel:
     return Rel(rel.df.distinct(), rel.info)
 

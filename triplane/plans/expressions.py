@@ -319,7 +319,9 @@ def aggregate(e: Call, scope: Scope) -> tuple[Column, Info | None]:
         exact = v.num()
         return {("sum", False): F.sum, ("sum", True): F.sum_distinct, ("avg", False): F.avg, ("avg", True): lambda c: F.sum_distinct(c) / F.count_distinct(c)}[e.name, e.distinct](exact), None
     if e.name == "group_concat":
-        return F.listagg_distinct(v.text(), F.lit(" " if e.extra is None else e.extra)) if e.distinct else F.listagg(v.text(), F.lit(" " if e.extra is None else e.extra)), None
+        # In order, so that results repeat.
+        texts = F.sort_array((F.collect_set if e.distinct else F.collect_list)(v.text()))
+        return F.when(F.size(texts) > 0, F.array_join(texts, " " if e.extra is None else e.extra)), None
     pick = F.max if e.name == "max" else F.min  # SAMPLE: the least, so that results repeat
     if v.kind == "any":
         if e.name == "sample":

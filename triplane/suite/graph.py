@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.algebra import Compiler
 from ..plans.plan import Filter, Link, Literal, PlanCompiler, QueryPlan, Step, year
+from ..runtime import read_table
 from ..sources import testgraph as tg
 from ..sources.quads import to_lines
 from ..sources.store import QuadStore
@@ -188,8 +189,8 @@ def union_default_graph(spark: SparkSession, d: str) -> DataFrame:
 _add("union_default_graph", union_default_graph, f"SELECT {_id('Region', 'n_regionkey')} AS r, count(*) AS k FROM nation GROUP BY n_regionkey")
 _add(
     "minus_antijoin",
-    _text(SALES, "SELECT ?c WHERE { ?c a t:Customer MINUS { ?o t:placedBy ?c } }"),
-    f"SELECT {_id('Customer', 'c_custkey')} AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    _text(SALES, "SELECT ?c WHERE { ?c a t:Customer MINUS { ?o t:placedBy ?c ; t:priority '1-URGENT' ; t:status 'F' } }"),
+    f"SELECT {_id('Customer', 'c_custkey')} AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
 )
 _add(
     "exists_semijoin",
@@ -276,11 +277,90 @@ _add(
 )
 _add(
     "group_concat",
-    _text(("nation", "region"), "SELECT ?region (GROUP_CONCAT(DISTINCT ?first; SEPARATOR='|') AS ?names) WHERE { ?n t:inRegion ?r . ?r t:name ?region BIND(SUBSTR(?region, 1, 2) AS ?first) } GROUP BY ?region"),
-    "SELECT r_name AS region, substr(r_name, 1, 2) AS names FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)",
+    _text(("nation", "region"), "SELECT ?region (GROUP_CONCAT(DISTINCT ?name; SEPARATOR='|') AS ?names) WHERE { ?n t:inRegion ?r ; t:name ?name . ?r t:name ?region } GROUP BY ?region"),
+    "SELECT r_name AS region, string_agg(DISTINCT n_name, '|' ORDER BY n_name) AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1",
 )
 _add(
     "quads_equal_virtual",
     lambda spark, d: Compiler(QuadStore(tg.store(spark, d, "orders", "customer").quads()), tg.PREFIXES).select("SELECT ?c (COUNT(*) AS ?n) (SUM(?m) AS ?total) WHERE { ?o t:placedBy ?c ; t:total ?m . ?c t:segment 'BUILDING' FILTER(?m >= 100000) } GROUP BY ?c").withColumn("total", F.round("total", 2)),
     f"SELECT {_id('Customer', 'c_custkey')} AS c, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice >= 100000 GROUP BY c_custkey",
 )
+
+
+# ---- joins after OPTIONAL, variables that may be unbound, paths from a bound end
+_add(
+    "optional_then_join",
+    _text(("orders", "customer", "nation"), "SELECT ?o ?x WHERE { ?c a t:Customer OPTIONAL { ?c t:locatedIn ?n } ?o t:placedBy ?c . ?n t:name ?x }"),
+    f"SELECT {_id('Order', 'o_orderkey')} AS o, n_name AS x FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
+)
+_add(
+    "optional_chain",
+    _text(SALES, "SELECT ?c (COUNT(?o) AS ?n) (MAX(?m) AS ?top) WHERE { ?c a t:Customer OPTIONAL { ?o t:placedBy ?c ; t:priority '1-URGENT' } OPTIONAL { ?o t:total ?m } } GROUP BY ?c"),
+    f"""SELECT {_id('Customer', 'c_custkey')} AS c, coalesce(k, 0) AS n, coalesce(m, (SELECT max(o_totalprice) FROM orders)) AS top FROM customer
+      LEFT JOIN (SELECT o_custkey, count(*) AS k, max(o_totalprice) AS m FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON o_custkey = c_custkey WHERE k IS NOT NULL
+    UNION ALL SELECT {_id('Customer', 'c_custkey')}, (SELECT count(*) FROM orders), (SELECT max(o_totalprice) FROM orders) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+)
+_add(
+    "minus_unbound",
+    _text(SALES, "SELECT (COUNT(*) AS ?n) WHERE { ?c a t:Customer OPTIONAL { ?o t:placedBy ?c ; t:priority '1-URGENT' ; t:status 'F' } MINUS { ?o t:status 'F' } }"),
+    "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
+)
+_add(
+    "path_star_text",
+    _text(("nation", "region"), "SELECT ?x (COUNT(?r) AS ?n) WHERE { ?x a t:Nation . ?x t:inRegion* ?r } GROUP BY ?x"),
+    f"SELECT {_id('Nation', 'n_nationkey')} AS x, 2 AS n FROM nation",
+)
+_add(
+    "path_optional_text",
+    _text(("customer", "nation"), "SELECT ?x (COUNT(DISTINCT ?c) AS ?n) WHERE { ?c t:segment 'BUILDING' . ?c t:locatedIn? ?x . ?x t:name ?name } GROUP BY ?x"),
+    f"SELECT {_id('Customer', 'c_custkey')} AS x, 1 AS n FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT {_id('Nation', 'c_nationkey')}, count(*) FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey",
+)
+_add(
+    "path_from_constant",
+    _text(("nation", "region", "customer"), f"SELECT ?x WHERE {{ <{tg.node('Customer', 7)}> (t:locatedIn|t:inRegion)+ ?x }}"),
+    f"SELECT {_id('Nation', 'c_nationkey')} AS x FROM customer WHERE c_custkey = 7 UNION ALL SELECT {_id('Region', 'n_regionkey')} FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7",
+)
+_add(
+    "path_to_constant",
+    _text(("nation", "region", "customer"), f"SELECT (COUNT(?x) AS ?n) WHERE {{ ?x (t:locatedIn|t:inRegion)+ <{tg.node('Region', 2)}> }}"),
+    "SELECT (SELECT count(*) FROM nation WHERE n_regionkey = 2) + (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2) AS n",
+)
+
+
+# ---- yes or no, tests of terms, values that may be missing
+def _ask(tables: tuple[str, ...], query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: spark.createDataFrame([(Compiler(tg.store(spark, d, *tables), tg.PREFIXES, merged=False).ask(query, seconds=600),)], "answer boolean")
+
+
+for _name, _limit in {"true": 100000, "false": 10**12}.items():
+    _add(f"ask_{_name}", _ask(SALES, f"ASK {{ ?o t:placedBy ?c ; t:total ?m . ?c t:segment 'BUILDING' FILTER(?m > {_limit}) }}"), f"SELECT count(*) > 0 AS answer FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > {_limit}")
+_XSD = tg.PREFIXES["xsd"]
+_add(
+    "term_tests",
+    _text(("orders", "customer"), "SELECT ?iri ?literal ?type (COUNT(*) AS ?n) WHERE { ?s ?p ?v BIND(isIRI(?v) AS ?iri) BIND(isLiteral(?v) AS ?literal) BIND(COALESCE(DATATYPE(?v), 'none') AS ?type) } GROUP BY ?iri ?literal ?type"),
+    f"""SELECT true AS iri, false AS literal, 'none' AS type, (SELECT count(*) + count(o_custkey) FROM orders) + (SELECT count(*) + count(c_nationkey) FROM customer) AS n
+    UNION ALL SELECT false, true, '{_XSD}string', (SELECT count(o_orderstatus) + count(o_orderpriority) FROM orders) + (SELECT count(c_name) + count(c_mktsegment) FROM customer)
+    UNION ALL SELECT false, true, '{_XSD}double', (SELECT count(o_totalprice) FROM orders) + (SELECT count(c_acctbal) FROM customer)
+    UNION ALL SELECT false, true, '{_XSD}dateTime', count(o_orderdate) FROM orders""",
+)
+
+
+def language_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Titles as literals with the language their document states, counted by language range."""
+    docs = tg.store(spark, d, "documents").quads().where(F.col("p") == O + "title")
+    lang = read_table(spark, d, "documents").select(F.concat(F.lit(f"{tg.ID}document/"), F.col("doc_id").cast("string")).alias("s"), F.lower("lang").alias("lang"))
+    tagged = docs.join(lang, "s", "left").withColumns({"o_lang": F.when(F.col("lang").rlike("^[a-z]+(-[a-z0-9]+)*$"), F.col("lang")), "o_dt": F.when(F.col("lang").rlike("^[a-z]+(-[a-z0-9]+)*$"), F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#langString")).otherwise(F.col("o_dt"))}).drop("lang")
+    return Compiler(QuadStore(tagged), tg.PREFIXES).select("SELECT ?tag (COUNT(*) AS ?n) WHERE { ?d t:title ?v FILTER(langMatches(LANG(?v), '*')) BIND(LANG(?v) AS ?tag) } GROUP BY ?tag")
+
+
+_add("language_tags", language_tags, "SELECT lower(lang) AS tag, count(*) AS n FROM documents WHERE title IS NOT NULL AND regexp_matches(lower(lang), '^[a-z]+(-[a-z0-9]+)*$') GROUP BY 1")
+_add(
+    "coalesce_sample",
+    _text(("nation", "region"), "SELECT ?region (SAMPLE(?region) AS ?some) (COALESCE(MAX(?n), 'none') AS ?last) WHERE { ?r a t:Region ; t:name ?region OPTIONAL { ?x t:inRegion ?r ; t:name ?n FILTER(STRSTARTS(?n, 'NATION_1')) } } GROUP BY ?region"),
+    "SELECT r_name AS region, r_name AS some, coalesce(max(n_name), 'none') AS last FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND starts_with(n_name, 'NATION_1') GROUP BY r_name",
+)
+_add(
+    "values_undef",
+    _text(("nation", "region"), "SELECT ?name ?region WHERE { VALUES (?name ?region) { ('NATION_3' UNDEF) (UNDEF 'ASIA') ('NATION_5' 'AFRICA') ('NATION_5' 'ASIA') } ?n t:inRegion ?r ; t:name ?name . ?r t:name ?region }"),
+    "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_3' OR r_name = 'ASIA' OR (n_name = 'NATION_5' AND r_name = 'AFRICA')",
+)
