@@ -9,15 +9,19 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from itertools import chain
 from pathlib import Path
 from typing import Any, Protocol
 
 from ..functions.text import bigrams, softmax, stems
 
-# Options that abstain, the temperature of a choice, what abstaining scores, the weight of a prior, the
-# most options a controller takes at once.
+# Options that abstain, the temperature of a choice, what abstaining scores beside options that share a
+# word with the question and beside none, the weight of a prior and the least one, the weight of a pair of words, what a
+# word of an option costs it, the most options a controller takes at once, and how many of a group go on.
 ABSTAIN = ("other", "none", "none_of_the_above", "unknown")
-TEMPERATURE, ABSTAIN_SCORE, PRIOR_WEIGHT, MOST_OPTIONS = 0.6, 0.35, 2.0, 255
+TEMPERATURE, ABSTAIN_SCORE, ABSTAIN_ALONE = 0.6, 0.35, 2.0
+PRIOR_WEIGHT, LEAST_PRIOR, PAIR_WEIGHT, WORD_COST = 2.0, 1e-6, 0.75, 0.05
+MOST_OPTIONS, ADVANCE = 255, 3
 
 
 @dataclass
@@ -46,40 +50,49 @@ class Controller(Protocol):
     def ask(self, state: str, choices: dict[str, Choice]) -> dict[str, Decision]: ...
 
 
+def overlap(asked: list[str], options: dict[str, list[str]]) -> dict[str, float]:
+    """How much each option, a list of words, has in common with what is asked.
+
+    An option's features are its words and its pairs of neighbouring words. Those it shares with the question add up: a
+    word by its rarity among the n options, log((n + 1) / (options with it + 1/2)), a pair by PAIR_WEIGHT. The sum is
+    divided by sqrt(1 + WORD_COST * words), as long options share more by chance.
+    """
+    features = {k: {*words, *bigrams(words)} for k, words in options.items()}
+    held_by = Counter(chain.from_iterable(features.values()))
+    weight = {f: PAIR_WEIGHT if isinstance(f, tuple) else math.log((len(options) + 1) / (n + 0.5)) for f, n in held_by.items()}
+    wanted = {*asked, *bigrams(asked)}
+    return {k: math.fsum(weight[f] for f in features[k] & wanted) / math.sqrt(1 + WORD_COST * len(options[k])) for k in options}
+
+
 class LexicalController:
-    """Chooses by shared words, weighted by rarity among the options. Works offline and repeats exactly."""
+    """Chooses by :func:`overlap` of stems. Works offline and repeats exactly."""
 
     def ask(self, state: str, choices: dict[str, Choice]) -> dict[str, Decision]:
-        return {name: self._choose(stems(state), c) for name, c in choices.items()}
-
-    def _choose(self, asked: list[str], c: Choice) -> Decision:
-        docs = {k: stems(v) for k, v in c.options.items()}
-        df = Counter(w for d in docs.values() for w in set(d))
-        n, wanted, pairs = len(docs), set(asked), set(bigrams(asked))
-        scores = {}
-        for key, words in docs.items():
-            met = sum(math.log((n + 1) / (df[w] + 0.5)) for w in wanted & set(words))
-            met += 0.75 * len(pairs & set(bigrams(words)))
-            scores[key] = met / math.sqrt(1 + 0.05 * len(words))
-        best = max((s for k, s in scores.items() if k not in ABSTAIN), default=0.0)
-        for key in docs:
-            if key in ABSTAIN:
-                scores[key] = ABSTAIN_SCORE if best > 0 else 2.0
-            if key in c.priors:
-                scores[key] += PRIOR_WEIGHT * math.log(max(c.priors[key], 1e-6)) * TEMPERATURE
-        chances = dict(zip(scores, softmax(list(scores.values()), TEMPERATURE), strict=True))
+        asked = stems(state)
+        return {name: self._decided(c, overlap(asked, {k: stems(v) for k, v in c.options.items()})) for name, c in choices.items()}
+
+    @staticmethod
+    def _decided(c: Choice, scores: dict[str, float]) -> Decision:
+        abstain = ABSTAIN_SCORE if any(s > 0 for k, s in scores.items() if k not in ABSTAIN) else ABSTAIN_ALONE
+        prior = {k: PRIOR_WEIGHT * TEMPERATURE * math.log(max(p, LEAST_PRIOR)) for k, p in c.priors.items()}
+        raised = [(abstain if k in ABSTAIN else s) + prior.get(k, 0.0) for k, s in scores.items()]
+        chances = dict(zip(scores, softmax(raised, TEMPERATURE), strict=True))
         return Decision(max(chances, key=lambda k: (chances[k], k)), chances)
 
 
-def choose_among_many(controller: Controller, state: str, c: Choice, group: int = MOST_OPTIONS - 1, advance: int = 3) -> Decision:
-    """A tournament where there are more options than a controller takes: groups in one call, their best in a final."""
-    if len(c.options) <= MOST_OPTIONS:
-        return controller.ask(state, {"choice": c})["choice"]
-    keys = list(c.options)
-    part = lambda ks: Choice(c.prompt, {k: c.options[k] for k in ks}, {k: c.priors[k] for k in ks if k in c.priors})
-    rounds = controller.ask(state, {str(i): part(keys[i : i + group]) for i in range(0, len(keys), group)})
-    final = choose_among_many(controller, state, part([k for d in rounds.values() for k, _ in d.ranked()[:advance]]), group, advance)
-    return Decision(final.choice, {k: final.probabilities.get(k, 0.0) for k in keys})
+def choose_among_many(controller: Controller, state: str, c: Choice, group: int = MOST_OPTIONS - 1, advance: int = ADVANCE) -> Decision:
+    """One choice of any number of options. While they are more than a controller takes, they are asked for in groups,
+    all in one call, and the best of each group stay; those that fell out have no chance in the answer."""
+    left = list(c.options)
+
+    def among(keys: list[str]) -> Choice:
+        return Choice(c.prompt, {k: c.options[k] for k in keys}, {k: p for k, p in c.priors.items() if k in set(keys)})
+
+    while len(left) > MOST_OPTIONS:
+        groups = {str(at): among(left[at : at + group]) for at in range(0, len(left), group)}
+        left = [k for d in controller.ask(state, groups).values() for k, _ in d.ranked()[:advance]]
+    last = controller.ask(state, {"choice": among(left)})["choice"]
+    return last if len(left) == len(c.options) else Decision(last.choice, {**dict.fromkeys(c.options, 0.0), **last.probabilities})
 
 
 def request_key(*parts: Any) -> str:

@@ -19,23 +19,19 @@ from ..runtime import materialize
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, doc: str, words: Column) -> DataFrame:
-    """``doc, term, tf, length``: how often each term stands in each document. Documents without terms have none."""
-    flat = docs.select(F.col(doc).alias("doc"), words.alias("w")).select("doc", F.size("w").alias("length"), F.explode("w").alias("term"))
-    return flat.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
-
-
 def bm25_top(docs: DataFrame, doc: str, words: Column, queries: DataFrame, query: str, query_words: Column, k: int) -> DataFrame:
     """``query, doc, score, rank``: the ``k`` best documents of each query with a positive score; ties by document.
 
-    A query's terms count once each. Statistics cover all documents, those without terms too. Postings are cut to the
-    queries' terms before anything is shuffled, and scores are partial sums per (query, document).
+    A query's terms count once each. Statistics cover all documents, those without terms too. Words are written once;
+    they are cut to the queries' terms as they are taken apart, before anything is counted or shuffled, so no posting of
+    another term leaves its task. Scores are partial sums per (query, document).
     """
-    d = docs.select(F.col(doc).alias("doc"), words.alias("w")).where("doc IS NOT NULL")
+    d = materialize(docs.select(F.col(doc).alias("doc"), words.alias("w")).where("doc IS NOT NULL"), "words")
     lengths = d.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.greatest(F.size("w"), F.lit(0))).alias("mean"))
     wanted = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(query_words)).alias("term"))
     terms = wanted.select("term").distinct()
-    hits = postings(d, "doc", F.col("w")).join(terms, "term", "left_semi")
+    flat = d.select("doc", F.size("w").alias("length"), F.explode("w").alias("term")).join(terms, "term", "left_semi")
+    hits = materialize(flat.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length")), "hits")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1))
@@ -106,71 +102,111 @@ def _score(block: list, k: int, mean: float, slack: float, schema: str) -> Calla
     return run
 
 
-def trigram_matches(queries: DataFrame, query: str, names: DataFrame, name: str, least: float = 0.72, k: int = 5, short: int = 50) -> DataFrame:
-    """``query, name, similarity``: each query's ``k`` names most alike by trigrams, at least ``least``; ties by name.
+def trigram_matches(queries: DataFrame, query: str, names: DataFrame, name: str, least: float = 0.72, k: int = 5) -> DataFrame:
+    """``query, name, similarity, rank``: each query's ``k`` names most alike by trigrams, at least ``least``; ties by name.
 
-    As in the engine this follows, only the ``short`` names with most trigrams in common are compared. Names are
-    distinct and normalised; their trigrams are joined, never all pairs.
+    Names are distinct and normalised. Two sets of trigrams as alike as ``least`` share one of the rarest
+    n - ceil(least n) + 1 trigrams of each, so only these are joined, and pairs whose sizes differ too much fall out
+    before they are compared. All names are compared that may be alike enough: there is no short list. A common trigram
+    joins only the names for which it is among the rarest.
     """
-    q = queries.select(F.col(query).alias("query")).where("query IS NOT NULL").distinct().withColumn("qt", trigrams_col(F.col("query")))
+    q = queries.select(F.col(query).alias("query")).where("query IS NOT NULL").distinct().withColumn("text", normalize_col(F.col("query")))
+    texts = q.select("text").where("text <> ''").distinct().withColumn("qt", trigrams_col(F.col("text")))
     n = names.select(normalize_col(F.col(name)).alias("name")).where("name <> ''").distinct().withColumn("nt", trigrams_col(F.col("name")))
-    met = q.select("query", F.explode("qt").alias("t")).join(n.select("name", F.explode("nt").alias("t")), "t").groupBy("query", "name").agg(F.count(F.lit(1)).alias("shared"))
-    few = met.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.col("shared").desc(), "name"))).where(F.col("at") <= short)
-    scored = few.select("query", "name", jaccard_col(trigrams_col(F.col("query")), trigrams_col(F.col("name"))).alias("similarity")).where(F.col("similarity") >= least)
-    w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "name")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n = materialize(n, "names")
+    counts = n.select(F.explode("nt").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+
+    def rare(sets: DataFrame, text: str, grams: str) -> DataFrame:
+        """The rarest trigrams of each set; those in no name come first and meet none."""
+        each = sets.select(text, F.size(grams).alias("size"), F.explode(grams).alias("t")).join(counts, "t", "left")
+        held = each.groupBy(text).agg(F.first("size").alias(f"{grams}_n"), F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "t"))).alias("by"))
+        head = F.col(f"{grams}_n") - F.ceil(F.col(f"{grams}_n") * least - 1e-9).cast("int") + 1
+        return held.select(text, f"{grams}_n", F.explode(F.slice("by", 1, head)).alias("b")).where("b.c > 0").select(text, f"{grams}_n", F.col("b.t").alias("t"))
+
+    near = (F.col("nt_n") >= F.col("qt_n") * least - 1e-9) & (F.col("qt_n") >= F.col("nt_n") * least - 1e-9)
+    met = rare(texts, "text", "qt").join(rare(n, "name", "nt"), "t").where(near).select("text", "name").distinct()
+    scored = met.select("text", "name", jaccard_col(trigrams_col(F.col("text")), trigrams_col(F.col("name"))).alias("similarity")).where(F.col("similarity") >= least)
+    w = Window.partitionBy("text").orderBy(F.col("similarity").desc(), "name")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return q.join(best, "text").select("query", "name", "similarity", "rank")
 
 
-#: Query vectors sent to the tasks at once.
-QUERY_BLOCK = 2048
+#: Vectors in a block: each block of queries is compared with each block of vectors by one product of matrices.
+VECTOR_BLOCK = 2048
 
 
 def nearest_vectors(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, k: int, least: float = -1.0) -> DataFrame:
     """``query, key, cosine, rank``: each query's ``k`` vectors of greatest cosine, at least ``least``; ties by key.
 
-    Exact: every vector is compared with every query. Queries go to the tasks in blocks of QUERY_BLOCK, each block one
-    scan of the vectors; a task keeps, per query and batch, the vectors that may be among the ``k`` best, so what is
-    shuffled doesn't grow with the vectors' size. NULL vectors are left out; vectors without length have cosine 0;
-    vectors of other lengths than the first query's are an error. Queries come to the driver block by block.
+    Exact: every vector is compared with every query. Both are laid out in blocks, one row each, and the rows of blocks
+    are paired; nothing comes to the driver. A task keeps the best of each of its queries over all its pairs, so what is
+    shuffled grows with the number of tasks, not of vectors. NULL vectors are left out; vectors without length have
+    cosine 0; vectors of different lengths are an error.
     """
     rows = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
-    out = f"q {dict(queries.dtypes)[query]}, k {dict(vectors.dtypes)[key]}, cosine double"
-    found: DataFrame | None = None
-    wanted = queries.select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q IS NOT NULL AND v IS NOT NULL")
-    for block in _blocks(wanted.toLocalIterator(), QUERY_BLOCK):
-        part = rows.mapInArrow(_compare(block, k, least, out), out)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], out)
+    wanted = queries.select(F.col(query).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
+    key_type, query_type = dict(vectors.dtypes)[key], dict(queries.dtypes)[query]
+    # The queries' blocks are written, so they are made once; Spark broadcasts them or pairs partitions, by their size.
+    asked = materialize(_blocked(wanted, "q", query_type).withColumn("block", F.monotonically_increasing_id()), "queries")
+    out = StructType.fromDDL(f"q {query_type}, k {key_type}, cosine double")
+    pairs = _blocked(rows, "k", key_type).crossJoin(asked)
+    found = pairs.mapInArrow(_compare(k, least, out), out)
     w = Window.partitionBy("q").orderBy(F.col("cosine").desc(), "k")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("k").alias(key), "cosine", "rank")
 
 
+def _blocked(rows: DataFrame, name: str, key_type: str) -> DataFrame:
+    """Rows of keys and vectors in blocks: the keys, and their vectors of length 1 end to end."""
+    schema = StructType.fromDDL(f"{name}s array<{key_type}>, {name}v binary")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTOR_BLOCK):
+                part = batch.slice(at, VECTOR_BLOCK)
+                m = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], arrow.field(0).type), pa.array([m.tobytes()], pa.binary())], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _blocks(rows: Iterator, size: int) -> Iterator[list]:
     while block := list(itertools.islice(rows, size)):
         yield block
 
 
-def _compare(block: list, k: int, least: float, schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    ids, matrix = [r["q"] for r in block], _unit(np.array([r["v"] for r in block]))
+def _compare(k: int, least: float, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[list, np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            mine = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-            cos = mine @ matrix.T
-            cut = max(0, len(cos) - k)
-            # all that tie with the k-th stay, so that ties are settled by key over all tasks
-            kth = np.partition(cos, cut, axis=0)[cut]
-            at, which = np.nonzero((cos >= kth) & (cos >= least))
-            columns = [pa.array([ids[i] for i in which], arrow.field(0).type), batch.column(0).take(pa.array(at)).cast(arrow.field(1).type), pa.array(cos[at, which])]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for keys, mine, asked, theirs, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = np.frombuffer(mine).reshape(len(keys), -1), np.frombuffer(theirs).reshape(len(asked), -1)
+                cos = a @ b.T
+                cut = max(0, len(cos) - k)
+                # all that tie with the k-th stay, so that ties are settled by key over all tasks
+                at, which = np.nonzero((cos >= np.partition(cos, cut, axis=0)[cut]) & (cos >= least))
+                new = which, np.array(keys, object)[at], cos[at, which]
+                held = best.get(block)
+                best[block] = (asked, *_kept(*(np.concatenate(x) for x in zip(held[1:], new, strict=True)), len(asked), k)) if held else (asked, *new)
+        for asked, which, keys, cos in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in which], arrow.field(0).type), pa.array(keys.tolist(), arrow.field(1).type), pa.array(cos)], schema=arrow)
 
     return run
 
 
+def _kept(which: np.ndarray, keys: np.ndarray, cos: np.ndarray, queries: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the ``k`` greatest and all that tie with the last of them."""
+    order = np.lexsort((-cos, which))
+    which, keys, cos = which[order], keys[order], cos[order]
+    counts = np.bincount(which, minlength=queries)
+    first = np.cumsum(counts) - counts
+    last = np.minimum(first + k, first + counts) - 1
+    keep = cos >= cos[np.maximum(last, 0)][which]
+    return which[keep], keys[keep], cos[keep]
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n > 0, n, 1.0)
