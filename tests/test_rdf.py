@@ -89,3 +89,25 @@ def test_names_and_terms(spark):
     assert rows(df.select(local_name_of(F.col("i")))) == [("b",), ("c",), ("y",)]
     assert rows(p.compact_all(df, "i", "c"), "c") == [("<urn:x:y>",), ("a:b",), ("ab:c",)]
     assert [sparql_term(v) for v in (IRI("http://a"), True, 3, 'x"\n')] == ["<http://a>", "true", "3", '"x\\"\\n"']
+
+
+def test_rejected_lines_and_a_store_moved_aside(spark, tmp_path, monkeypatch):
+    lines = spark.createDataFrame([(x,) for x in ("<a:s> <a:p> <a:o> .", "<a:s> <a:p> no .", "# note", "", None, "<a:s> 'x' .")], "value string")
+    assert rows(q.rejected_lines(lines)) == [("<a:s> 'x' .",), ("<a:s> <a:p> no .",)] and q.parse_lines(lines).count() == 1
+    monkeypatch.setattr(q, "ROWS_A_FILE", 100)
+    many = spark.range(1000).select(F.lit("g").alias("g"), F.concat(F.lit("a:"), F.col("id").cast("string")).alias("s"), F.lit("a:type").alias("p"), F.lit("a:C").alias("o"), F.lit(0).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+    store = str(tmp_path / "store")
+    q.save_quads(many, store)
+    assert len(list((tmp_path / "store/g=g/p=a%3Atype").glob("*.parquet"))) > 1 and q.load_quads(spark, store).count() == 1000
+    (tmp_path / "store").rename(tmp_path / "store__last")
+    assert q.load_quads(spark, store).count() == 1000
+
+
+def test_small_files_on_any_storage(spark, tmp_path):
+    from triplane.runtime import read_text, write_text
+
+    for path in (f"{tmp_path}/a/x.txt", f"file://{tmp_path}/b/x.txt"):
+        assert read_text(path, "none") == "none"
+        write_text(path, "ä\n")
+        write_text(path, "b\n", append=True)
+        assert read_text(path) == "ä\nb\n"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from dataclasses import asdict, dataclass, field
+from itertools import combinations
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import local_name
 from ..functions.text import split_camel
+from ..runtime import read_text, write_text
 from ..sources.store import TYPE
 from ..sources.turtle import RDF, XSD
 from . import statistics as st
@@ -130,12 +132,12 @@ class Catalog:
         self.properties = {p: k for p, k in self.properties.items() if k.uses}
 
     def save(self, path: str | Path) -> None:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps(asdict(self), indent=1, ensure_ascii=False))
+        """Write as JSON, to any storage that Spark reaches or to a local file."""
+        write_text(str(path), json.dumps(asdict(self), indent=1, ensure_ascii=False))
 
     @classmethod
     def load(cls, path: str | Path) -> Catalog:
-        d = json.loads(Path(path).read_text())
+        d = json.loads(read_text(str(path)))
         return cls({k: ClassCard(**v) for k, v in d["classes"].items()}, {k: PropertyCard(**v) for k, v in d["properties"].items()}, d["modules"], [JoinLink(**j) for j in d["joins"]])
 
 
@@ -249,13 +251,14 @@ def _assign_modules(cat: Catalog) -> None:
 
 def _find_joins(cat: Catalog, data: DataFrame) -> None:
     """Properties of different modules that share an identifier scheme or say that they join."""
-    pairs = set()
+    by_scheme: dict[str, list[str]] = defaultdict(list)
     for p in cat.properties.values():
-        for q in cat.properties.values():
-            stated = q.iri in p.joins_with or p.iri in q.joins_with
-            if p.iri < q.iri and (stated or p.scheme and p.scheme == q.scheme) and p.module != q.module and p.uses and q.uses:
-                pairs.add((p.iri, q.iri))
-    for a, b in sorted(pairs):
-        overlap = st.shared_values(data, a, b).first()["shared"]
-        if overlap:
-            cat.joins.append(JoinLink(a, b, overlap))
+        if p.scheme:
+            by_scheme[p.scheme].append(p.iri)
+    stated = {(p.iri, q) for p in cat.properties.values() for q in p.joins_with if q in cat.properties}
+    alike = {pair for iris in by_scheme.values() for pair in combinations(iris, 2)}
+    cards = cat.properties
+    pairs = {(min(x), max(x)) for x in stated | alike if x[0] != x[1] and cards[x[0]].module != cards[x[1]].module and cards[x[0]].uses and cards[x[1]].uses}
+    if pairs:
+        found = st.join_overlaps(data, data.sparkSession.createDataFrame(sorted(pairs), "a string, b string"))
+        cat.joins += [JoinLink(r["a"], r["b"], r["shared"]) for r in found.orderBy("a", "b").collect()]

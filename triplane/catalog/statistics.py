@@ -10,8 +10,8 @@ from ..sources.store import TYPE
 from ..sources.turtle import XSD
 
 #: The least share of a class's instances (or of the top range) that makes it a domain (range); the most
-#: distinct values of a property that are entities of their own; the levels of a class tree.
-LEAST_SHARE, MOST_VALUES, MAX_DEPTH = 0.1, 200, 64
+#: distinct values of a property that are entities of their own.
+LEAST_SHARE, MOST_VALUES = 0.1, 200
 
 
 def _types(quads: DataFrame, type_predicate: str = TYPE) -> DataFrame:
@@ -87,22 +87,21 @@ def labels(quads: DataFrame, predicates: list[str]) -> DataFrame:
     return best.select("iri", F.col("b.o").alias("label"), F.array_sort(F.array_remove(F.col("all"), F.col("b.o"))).alias("labels"), F.col("b.g").alias("g"))
 
 
-def closure(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """``below, above``: every class with itself and all classes above it. Cycles end: known pairs aren't taken again.
 
-    ``edges`` has ``below, above``. Each round writes what it found, so plans stay short and executors may be lost.
+    ``edges`` has ``below, above``. Each round joins what it found with all that is known, so ways of any length take a
+    logarithmic number of rounds; it writes what it found, so plans stay short and executors may be lost.
     """
     e = edges.where("below IS NOT NULL AND above IS NOT NULL").select("below", "above").distinct()
     own = e.select(F.col("below").alias("c")).unionByName(e.select(F.col("above").alias("c"))).distinct().select(F.col("c").alias("below"), F.col("c").alias("above"))
     seen = materialize(own.unionByName(e).distinct(), "closure")
     fresh = e
-    for _ in range(depth):
-        step = fresh.alias("a").join(e.alias("b"), F.col("a.above") == F.col("b.below")).select("a.below", "b.above").distinct()
+    while not fresh.isEmpty():
+        step = fresh.alias("a").join(seen.alias("b"), F.col("a.above") == F.col("b.below")).select("a.below", "b.above").distinct()
         fresh = materialize(step.join(seen, ["below", "above"], "left_anti"), "closure")
-        if fresh.isEmpty():
-            return seen
         seen = seen.unionByName(fresh)
-    raise ValueError(f"a class tree deeper than {depth}")
+    return seen
 
 
 def instance_rollup(quads: DataFrame, edges: DataFrame) -> DataFrame:
@@ -115,8 +114,22 @@ def instance_rollup(quads: DataFrame, edges: DataFrame) -> DataFrame:
 
 def shared_values(quads: DataFrame, a: str, b: str) -> DataFrame:
     """``shared``: different values two predicates have in common."""
-    side = lambda p: quads.where((F.col("p") == p) & (F.col("o_kind") == 1)).select("o").distinct()
-    return side(a).join(side(b), "o", "left_semi").agg(F.count(F.lit(1)).alias("shared"))
+    pair = quads.sparkSession.createDataFrame([(a, b)], "a string, b string")
+    return join_overlaps(quads, pair).agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"))
+
+
+def join_overlaps(quads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, shared``: different values the predicates of each pair have in common; all pairs in one job.
+
+    A value's predicates are gathered once (as many as the schema pairs at most), and each of the pairs among them that
+    are asked for counts one; pairs without a common value have no row.
+    """
+    asked = pairs.select("a", "b").distinct()
+    either = asked.select(F.col("a").alias("p")).unionByName(asked.select(F.col("b").alias("p"))).distinct()
+    values = quads.where(F.col("o_kind") == 1).select("p", "o").join(F.broadcast(either), "p", "left_semi")  # predicates of a schema
+    users = values.groupBy("o").agg(F.collect_set("p").alias("ps")).where(F.size("ps") > 1)
+    met = users.select("o", "ps", F.explode("ps").alias("a")).select("a", F.explode("ps").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return met.join(asked, ["a", "b"], "left_semi")
 
 
 def sample_values(quads: DataFrame, k: int = 3) -> DataFrame:

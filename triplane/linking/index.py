@@ -78,7 +78,14 @@ class EntityIndex:
 
     def exact(self, norms: list[str], most: int = 20) -> DataFrame:
         """``norm, trust, score`` and the record of each node so named, the best ``most`` per name. Popular nodes first."""
-        hits = self.aliases.where(F.col("norm").isin(norms)).join(self.records, "iri")
+        return self._ranked(self.aliases.where(F.col("norm").isin(norms)), most)
+
+    def named(self, norms: DataFrame, most: int = 20) -> DataFrame:
+        """:meth:`exact` for a table of names, its column ``norm``, in one join."""
+        return self._ranked(self.aliases.join(norms.select("norm").distinct(), "norm", "left_semi"), most)
+
+    def _ranked(self, aliases: DataFrame, most: int) -> DataFrame:
+        hits = aliases.join(self.records, "iri")
         scored = hits.withColumn("score", F.col("trust") + 0.04 * F.log10(1 + F.col("popularity")))
         w = Window.partitionBy("norm").orderBy(F.col("score").desc(), "iri")
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

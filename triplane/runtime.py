@@ -91,6 +91,50 @@ def _release_all() -> None:
             pass
 
 
+def _file(path: str):  # noqa: ANN202
+    """A Hadoop path and its file system, or None for a plain local path."""
+    session = SparkSession.getActiveSession()
+    if "://" not in path and not path.startswith(("file:", "hdfs:")) or session is None:
+        return None
+    p = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()), session.sparkContext._jvm
+
+
+def write_text(path: str, text: str, append: bool = False) -> None:
+    """A small text file, on any storage of the session when ``path`` is a URI, else a local file."""
+    at = _file(path)
+    if at is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        with Path(path).open("a" if append else "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    p, fs, _ = at
+    if append:
+        text = (read_text(path) if fs.exists(p) else "") + text
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(path: str, missing: str | None = None) -> str:
+    """What :func:`write_text` wrote; ``missing``, if given, where there is no such file."""
+    at = _file(path)
+    if at is None:
+        if missing is not None and not Path(path).exists():
+            return missing
+        return Path(path).read_text(encoding="utf-8")
+    p, fs, jvm = at
+    if missing is not None and not fs.exists(p):
+        return missing
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
 _shipped: set[str] = set()
 
 

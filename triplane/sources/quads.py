@@ -35,12 +35,17 @@ def _unescaped(text: Column) -> Column:
 def read_nquads(spark: SparkSession, path: str | list[str], graph: str | None = None, strict: bool = False) -> DataFrame:
     """N-Triples or N-Quads files as quads. Files are split and parsed by built-in functions.
 
-    A line's own graph wins over ``graph``. Empty lines and comments are left out; other lines that can't be read are
-    left out too, or fail the job with ``strict``. IRIs are taken as they are.
+    A line's own graph wins over ``graph``. Empty lines and comments are left out; another line that can't be read is
+    left out too, and :func:`rejected_lines` has it, or it fails the job with ``strict``. IRIs are taken as they are.
     """
     return parse_lines(spark.read.text(path), graph, strict)
 
 
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """The lines, in column ``value``, that :func:`parse_lines` leaves out although they say something."""
+    return lines.where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^\s*(#.*)?$") & ~F.col("value").rlike(_LINE))
+
+
 def parse_lines(lines: DataFrame, graph: str | None = None, strict: bool = False) -> DataFrame:
     """Lines of N-Triples or N-Quads, in column ``value``, as quads."""
     lines = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
@@ -110,30 +115,57 @@ def distinct_quads(quads: DataFrame) -> DataFrame:
     return quads.dropDuplicates(["g", "s", "p", "o", "o_kind", "o_dt", "o_lang"])
 
 
+#: Statements of one graph and predicate that one task writes into one file.
+ROWS_A_FILE = 5_000_000
+
+
 def save_quads(quads: DataFrame, path: str, replace: bool = True) -> None:
-    """Write graphs as Parquet by graph and predicate. ``replace`` drops what the written graphs held before."""
-    out = typed(distinct_quads(quads)).repartition("g", "p")
+    """Write graphs as Parquet by graph and predicate. ``replace`` drops what the written graphs held before.
+
+    Statements are counted per graph and predicate first; a predicate with many is spread over as many tasks as it
+    fills files, by a hash of its subjects, so that one in most statements is no task's alone.
+    """
+    out = typed(distinct_quads(quads))
+    files = quads.groupBy("g", "p").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_FILE).cast("int").alias("files"))
+    place = F.pmod(F.xxhash64("s"), F.coalesce("files", F.lit(1))).cast("int")
+    # Graphs and predicates are a schema's, so one row for each is a small table.
+    out = out.join(files, (out["g"].eqNullSafe(files["g"])) & (out["p"] == files["p"]), "left").select(*[out[c] for c in out.columns], place.alias("file")).repartition("g", "p", "file").drop("file")
     spark = quads.sparkSession
+    _recover(spark, path)
     if replace and not store_is_empty(spark, path):
         fresh = [r["g"] for r in quads.select("g").distinct().collect()]  # graphs are modules: few by their nature
         kept = spark.read.parquet(path).where(~F.col("g").isin(fresh))
-        out = out.unionByName(kept)
         staged = path.rstrip("/") + "__next"
-        out.write.mode("overwrite").partitionBy("g", "p").parquet(staged)
+        out.unionByName(kept).write.option("maxRecordsPerFile", ROWS_A_FILE).mode("overwrite").partitionBy("g", "p").parquet(staged)
         _swap(spark, staged, path)
     else:
-        out.write.mode("append").partitionBy("g", "p").parquet(path)
+        out.write.option("maxRecordsPerFile", ROWS_A_FILE).mode("append").partitionBy("g", "p").parquet(path)
 
 
-def _swap(spark: SparkSession, new: str, old: str) -> None:
+def _files(spark: SparkSession, path: str) -> tuple:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(old)
-    fs = a.getFileSystem(conf)
-    fs.delete(b, True)
-    fs.rename(a, b)
+    at = lambda end: jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end)
+    return at(""), at("__next"), at("__last"), at("").getFileSystem(conf)
+
+
+def _swap(spark: SparkSession, new: str, old: str) -> None:  # noqa: ARG001
+    """The new store in place of the old, which is moved aside first: at every moment one of them is whole."""
+    here, fresh, last, fs = _files(spark, old)
+    fs.delete(last, True)
+    fs.rename(here, last)
+    fs.rename(fresh, here)
+    fs.delete(last, True)
+
+
+def _recover(spark: SparkSession, path: str) -> None:
+    """Put back a store that was moved aside when the job that replaced it ended."""
+    here, _, last, fs = _files(spark, path)
+    if not fs.exists(here) and fs.exists(last):
+        fs.rename(last, here)
 
 
 def load_quads(spark: SparkSession, path: str) -> DataFrame:
+    _recover(spark, path)
     return spark.read.parquet(path)
 
 

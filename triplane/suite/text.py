@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..evaluation import metrics
 from ..functions.literals import literals_udf
-from ..functions.text import jaccard_col, normalize_col, softmax_col, stems_col, tokens_col, trigrams_col
+from ..functions.text import SUFFIXES, jaccard_col, normalize_col, softmax_col, stems_col, tokens_col, trigrams_col
+from ..operators.deliveries import one_delivery
 from ..operators.retrieval import bm25_search, bm25_top, nearest_vectors, trigram_matches
 from ..runtime import read_table
 
@@ -17,13 +18,16 @@ SEARCHES = [(1, "brake pedal noise in city traffic"), (2, "battery range on a ca
 
 
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    """The normal forms of all names of every entity."""
     e = read_table(spark, d, "entity")
-    return e.select("iri", normalize_col(F.col("label")).alias("norm")).distinct()
+    names = F.explode(F.concat(F.array("label"), F.coalesce("labels", F.array().cast("array<string>"))))
+    return e.select("iri", names.alias("name")).select("iri", normalize_col(F.col("name")).alias("norm")).distinct()
 
 
 def stem_tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents")
-    return docs.select(F.explode(stems_col(F.col("title"))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    """Stems of titles and whole texts, with how often each stands there."""
+    docs = read_table(spark, d, "documents").select(F.explode(F.array("title", "text")).alias("t"))
+    return docs.select(F.explode(stems_col(F.col("t"))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def literal_extraction(spark: SparkSession, d: str) -> DataFrame:
@@ -58,8 +62,8 @@ def trigram_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trigram_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of each mention's first candidate label and its text."""
-    m = read_table(spark, d, "mention").select("mention_id", "text", F.try_element_at("candidates", F.lit(1))["label"].alias("label")).where("text IS NOT NULL AND label IS NOT NULL").distinct()
+    """Similarity of each mention's text and the label of each of its candidates."""
+    m = read_table(spark, d, "mention").select("mention_id", "text", F.explode("candidates.label").alias("label")).where("text IS NOT NULL AND label IS NOT NULL").distinct()
     return m.select("mention_id", "label", F.round(jaccard_col(trigrams_col(F.col("text")), trigrams_col(F.col("label"))), 6).alias("similarity"))
 
 
@@ -85,8 +89,7 @@ def beam_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    r = read_table(spark, d, "eval_run").select("run_id", "item_id", "arm", "status", "shape", "latency_ms", "stages", "gates", "loaded_at").where("run_id IS NOT NULL")
-    once = r.groupBy("run_id").agg(F.min_by(F.struct("item_id", "arm", "status", "shape", "latency_ms", "stages", "gates"), "loaded_at").alias("r")).select("run_id", "r.*")
+    once = one_delivery(read_table(spark, d, "eval_run").select("run_id", "item_id", "arm", "status", "shape", "latency_ms", "stages", "gates", "loaded_at"), "run_id", ["loaded_at"]).drop("loaded_at")
     items = read_table(spark, d, "benchmark_item").select(F.col("row_id").alias("item_id"), "tags", "expect_unanswered", F.col("gold.shape").alias("gold_shape"))
     return once.join(items, "item_id", "left").withColumn("correct", F.col("shape").eqNullSafe(F.col("gold_shape")))
 
@@ -168,9 +171,30 @@ def _words(c: str) -> str:
     return f"list_filter(string_split({norm}, ' '), lambda w: w <> '' AND w NOT IN ({_stop()}))"
 
 
+#: Suffixes as cases; an answer's compared values: days, numbers to two places, other text trimmed and in lower case.
+_ENDINGS = " ".join(f"WHEN w LIKE '%{end}' AND length(w) >= {least} THEN left(w, length(w) - {len(end)}) || '{put}'" for end, put, least in SUFFIXES)
+_ANSWERS = "list_sort(list_distinct(list_transform({0}, lambda v: CASE WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ].*)?$') THEN left(v, 10) ELSE coalesce(round(TRY_CAST(v AS DOUBLE), 2)::VARCHAR, lower(trim(v))) END)))"
 SQL.update(
     {
-        "normalize_text": f"SELECT DISTINCT iri, {_NORM.format('label')} AS norm FROM entity",
+        "normalize_text": f"SELECT DISTINCT iri, {_NORM.format('name')} AS norm FROM (SELECT iri, unnest(list_prepend(label, coalesce(labels, []))) AS name FROM entity)",
+        "stem_tokens": f"""WITH t AS (SELECT unnest([title, text]) AS t FROM documents), w AS (SELECT unnest({_words('t')}) AS w FROM t),
+          c AS (SELECT w, CASE WHEN length(w) < 4 OR regexp_full_match(w, '[0-9]+') OR w LIKE '%ss' THEN w {_ENDINGS} ELSE w END AS c FROM w),
+          s AS (SELECT CASE WHEN length(w) < 4 OR regexp_full_match(w, '[0-9]+') THEN w WHEN c LIKE '%e' AND length(c) > 3 THEN left(c, length(c) - 1) ELSE c END AS stem FROM c)
+          SELECT stem, count(*) AS n FROM s GROUP BY 1""",
+        "trigram_fuzzy": f"""WITH q AS (SELECT DISTINCT text AS query, {_TRIGRAMS.format(_NORM.format('text'))} AS a FROM mention WHERE mention_id % 20 = 0 AND text IS NOT NULL),
+          n AS (SELECT name, {_TRIGRAMS.format('name')} AS b FROM (SELECT DISTINCT {_NORM.format('label')} AS name FROM entity) WHERE name <> ''),
+          s AS (SELECT query, name, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS similarity FROM q, n),
+          k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, name) AS rank FROM s WHERE similarity >= 0.72)
+          SELECT query, name, round(similarity, 6) AS similarity, rank FROM k WHERE rank <= 5""",
+        "eval_accuracy_f1": f"""WITH m AS (SELECT mention_id, min(list_transform(candidates, lambda c: c.label)) AS got FROM mention WHERE candidates IS NOT NULL GROUP BY 1), g AS (SELECT mention_id, list(DISTINCT label) FILTER (label IS NOT NULL) AS gold FROM candidate GROUP BY 1),
+          b AS (SELECT mention_id, {_ANSWERS.format('got')} AS got, {_ANSWERS.format('gold')} AS gold FROM m JOIN g USING (mention_id)),
+          s AS (SELECT mention_id, CASE WHEN got = ['0'] THEN [] ELSE got END AS got, CASE WHEN gold = ['0'] THEN [] ELSE gold END AS gold FROM b)
+          SELECT mention_id, got = gold AS exact, round(CASE WHEN len(got) + len(gold) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(got, gold)) / (len(got) + len(gold)) END, 6) AS f1 FROM s""",
+        "failure_attribution": f"""WITH {_RUNS}, f AS (SELECT *, coalesce(expect_unanswered, false) AS unanswerable, coalesce(status, '') AS st,
+            {', '.join(f"len(list_filter(coalesce(gates, []), lambda g: g.name = '{g}' AND NOT coalesce(g.passed, true))) = 0 AS {g}" for g in ('entity', 'module', 'class', 'plan'))} FROM runs)
+          SELECT arm, CASE WHEN correct THEN NULL WHEN unanswerable AND st = 'answered' THEN 'silent_answer' WHEN st = 'timeout' THEN 'execution_timeout' WHEN NOT entity THEN 'entity_linking' WHEN NOT module THEN 'routing_module'
+            WHEN NOT class THEN 'routing_class' ELSE 'query_shape' END AS failure, count(*) AS n FROM f GROUP BY 1, 2""",
+
         "literal_quarters": "SELECT date_trunc('quarter', o_orderdate)::DATE AS low, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS high, count(*) AS orders FROM orders GROUP BY 1, 2",
         "bm25_topk": f"""WITH d AS (SELECT doc_id, coalesce({_words('text')}, []) AS w FROM documents),
           s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d), t AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM d),
@@ -186,7 +210,7 @@ SQL.update(
           r AS (SELECT query, p.doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN f USING (term) JOIN q USING (term), s GROUP BY 1, 2),
           k AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM r)
           SELECT query, doc_id, score, rank FROM k WHERE rank <= 10""",
-        "trigram_pairs": f"""WITH m AS (SELECT DISTINCT mention_id, text, candidates[1].label AS label FROM mention WHERE text IS NOT NULL AND candidates[1].label IS NOT NULL),
+        "trigram_pairs": f"""WITH m AS (SELECT DISTINCT mention_id, text, c.label AS label FROM (SELECT mention_id, text, unnest(candidates) AS c FROM mention) WHERE text IS NOT NULL AND c.label IS NOT NULL),
           g AS (SELECT mention_id, label, {_TRIGRAMS.format(_NORM.format('text'))} AS a, {_TRIGRAMS.format(_NORM.format('label'))} AS b FROM m)
           SELECT mention_id, label, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM g""",
         "vector_topk": """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, n.vec_id, list_cosine_similarity(q.e, n.e) AS c FROM n, n q WHERE q.vec_id % 20 = 0),
