@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from triplane.sources.remote import Endpoint, RemoteTimeout, construct_split, fetch, stage
@@ -47,3 +48,26 @@ def test_copy(spark, tmp_path):
     for _ in range(2):
         t = stage(spark, str(tmp_path / "t"), lambda: made.append(1) or keys)
     assert t.count() == 6 and made == [1]
+
+
+def test_an_endpoint_is_a_store(spark):
+    from graphs import PREFIXES, D, quads
+
+    from triplane.plans.algebra import Compiler
+    from triplane.sources.quads import to_lines
+    from triplane.sources.remote import EndpointStore
+    from triplane.sources.store import QuadStore
+
+    inside = Compiler(QuadStore(quads(spark)), {})
+
+    def answer(url, form, accept, timeout):
+        q = form["query"]
+        if q.startswith("CONSTRUCT"):
+            return 200, "\n".join(r[0] for r in to_lines(inside.construct(q).withColumn("g", F.lit(None).cast("string"))).collect())
+        found = [r[0] for r in inside.select(q).collect()]
+        return 200, json.dumps({"head": {"vars": ["g"]}, "results": {"bindings": [{"g": {"type": "uri", "value": x}} for x in found]}})
+
+    store = EndpointStore(spark, Endpoint("http://e", answer))
+    for text in ("SELECT ?b ?t WHERE { ?b o:builtBy ?y . ?y o:town ?t }", "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s a ?c } } GROUP BY ?g", f"SELECT ?l WHERE {{ <{D}gull> o:length ?l FILTER(?l > 1) }}"):
+        assert rows(Compiler(store, PREFIXES).select(text)) == rows(Compiler(QuadStore(quads(spark)), PREFIXES).select(text))
+    assert Compiler(store, PREFIXES).ask("ASK { d:gull a o:Sloop }")

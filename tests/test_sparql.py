@@ -158,3 +158,9 @@ def test_time_limit(ask):
     with pytest.raises(TimeoutError):
         rows_within(slow, 2)
     assert time.time() - began < 60
+
+
+def test_prefixes_of_a_query():
+    assert used_iris(parse("PREFIX a: <http://a#>\nprefix : <http://b#> SELECT ?x WHERE { ?x a:p :o }")) == {"http://a#p", "http://b#o"}
+    with pytest.raises(SparqlError, match="unknown prefix"):
+        parse("PREFIX a: <http://a#> SELECT ?x WHERE { ?x b:p ?y }")

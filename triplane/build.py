@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog.cards import Catalog, build_catalog
 from .config import Config
 from .control.decisions import LexicalController, make
+from .control.models import CachedModel, HttpModel, ModelController, NullModel, RemoteController
 from .control.pipeline import Pipeline
 from .linking.index import EntityIndex, entity_records
 from .sources.quads import load_quads, read_rdf, save_quads, store_is_empty
@@ -45,7 +47,26 @@ def load_or_build(spark: SparkSession, cfg: Config) -> tuple[QuadStore, Catalog,
     return QuadStore(load_quads(spark, cfg.path(cfg.store))), Catalog.load(cfg.path(cfg.catalog)), EntityIndex.load(spark, cfg.path(cfg.index))
 
 
-def pipeline(spark: SparkSession, cfg: Config) -> Pipeline:
+def model_of(cfg: Config) -> Any:
+    """The language model of the settings: ``none``, ``http`` with ``url`` and ``model``, or a plug-in; replies are cached."""
+    if cfg.model == "none":
+        return None
+    if cfg.model == "http":
+        inner: Any = HttpModel(cfg.model_url, cfg.model_name)
+        return CachedModel(inner, cfg.path(cfg.model_cache)) if cfg.model_cache else inner
+    return make(cfg.model, lambda: None)
+
+
+def controller_of(cfg: Config, model: Any) -> Any:
+    """The controller of the settings: ``lexical``, ``model`` (the language model decides), ``remote`` or a plug-in."""
+    if cfg.controller == "model":
+        return ModelController(model or NullModel())
+    if cfg.controller == "remote":
+        return RemoteController(cfg.controller_url)
+    return make(cfg.controller, LexicalController)
+
+
+def pipeline(spark: SparkSession, cfg: Config, arm: str = "C") -> Pipeline:
     store, cat, index = load_or_build(spark, cfg)
-    model = None if cfg.model == "none" else make(cfg.model, lambda: None)
-    return Pipeline(store, cat, index, make(cfg.controller, LexicalController), model, cfg.path(cfg.queue))
+    model = model_of(cfg)
+    return Pipeline(store, cat, index, controller_of(cfg, model), model, cfg.path(cfg.queue), cfg.prefixes, cfg.seconds, arm)

@@ -174,6 +174,7 @@ def build_catalog(data: DataFrame, ontology: DataFrame | None = None, shapes: Da
                     cat.properties[s].joins_with += values
     _apply_shapes(cat, _by_subject(shapes))
     _observe(cat, data, skip)
+    _name(cat, data)
     for card in [*cat.classes.values(), *cat.properties.values()]:
         name = split_camel(local_name(card.iri)).lower()
         if name != card.label.lower() and name not in card.aliases:
@@ -240,6 +241,20 @@ def _observe(cat: Catalog, data: DataFrame, skip: set[str]) -> None:
             cat.properties[r["p"]].samples.append(r["sample"])
 
 
+def _name(cat: Catalog, data: DataFrame) -> None:
+    """Labels that the data have for classes and properties the ontology gives none, in one join."""
+    bare = [c for c in [*cat.classes.values(), *cat.properties.values()] if c.label == split_camel(local_name(c.iri))]
+    if not bare:
+        return
+    asked = data.sparkSession.createDataFrame([(c.iri,) for c in bare], "s string")
+    named = st.labels(data.where(F.col("p").isin(*LABELS)).join(F.broadcast(asked), "s", "left_semi"), LABELS)  # as many as the schema
+    said = {r["iri"]: r for r in named.collect()}
+    for card in bare:
+        if card.iri in said:
+            card.label, more = said[card.iri]["label"], said[card.iri]["labels"]
+            card.aliases += [x for x in more if x not in card.aliases]
+
+
 def _assign_modules(cat: Catalog) -> None:
     """Classes without instances get the module of most of those below, else of the properties that mention them."""
     for c in cat.classes.values():

@@ -135,15 +135,20 @@ class Slicer:
         return list(seen)
 
     def slice(self, seeds: list[str], budget: int = 1500) -> tuple[str, set[str]]:
-        """The text, and the IRIs that may be used with it. The widest neighbourhood in the fullest detail that fits;
-        the seeds in the least detail, cut at the budget, if nothing does."""
+        """The text, and the IRIs that may be used with it. The widest neighbourhood in the fullest detail that fits; else
+        as many whole lines of the seeds in the least detail as fit; what the seeds have may be used all the same."""
         for hops, detail in ((2, 2), (1, 2), (1, 1), (0, 1)):
             classes = self.neighbourhood(seeds, hops)
             text = "\n".join(self.card(c, detail) for c in classes)
             if approx_tokens(text) <= budget:
                 return text, self.allowed(classes)
-        text = "\n".join(self.card(c, 0) for c in self.neighbourhood(seeds, 0))[: 4 * budget]
-        return text, self.allowed(self.neighbourhood(seeds, 0))
+        lines: list[str] = []
+        seeds = self.neighbourhood(seeds, 0)
+        for line in (line for c in seeds for line in self.card(c, 0).split("\n")):
+            if approx_tokens("\n".join([*lines, line])) > budget:
+                break
+            lines.append(line)
+        return "\n".join(lines), self.allowed(seeds)
 
     def allowed(self, classes: list[str]) -> set[str]:
         props = {p.iri for c in classes for p in [*self.cat.properties_of(c), *self.cat.incoming(c)]}

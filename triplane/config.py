@@ -34,7 +34,12 @@ class Config:
     ontology: list[str] = field(default_factory=list)
     shapes: list[str] = field(default_factory=list)
     controller: str = "lexical"
+    controller_url: str = ""
     model: str = "none"
+    model_url: str = ""
+    model_name: str = ""
+    model_cache: str = "work/replies.jsonl"
+    seconds: float | None = None
     prefixes: dict[str, str] = field(default_factory=dict)
 
     def path(self, name: str) -> str:
@@ -45,11 +50,13 @@ def load_config(path: str | Path) -> Config:
     """Settings of a file; paths in it are relative to its folder."""
     path = Path(path)
     d = tomllib.loads(path.read_text())
-    plain = {k: v for k, v in d.items() if k not in ("modules", "store", "schema", "controller", "llm", "prefixes")}
+    plain = {k: v for k, v in d.items() if k not in ("modules", "store", "schema", "controller", "llm", "limits", "prefixes")}
     store, schema = d.get("store", {}), d.get("schema", {})
     given = {
         "store": store.get("path"), "ontology": _list(schema.get("ontology")), "shapes": _list(schema.get("shapes")),
-        "controller": d.get("controller", {}).get("kind"), "model": d.get("llm", {}).get("kind"), "prefixes": d.get("prefixes"),
+        "controller": d.get("controller", {}).get("kind"), "controller_url": d.get("controller", {}).get("url"), "prefixes": d.get("prefixes"),
+        "model": d.get("llm", {}).get("kind"), "model_url": d.get("llm", {}).get("url"), "model_name": d.get("llm", {}).get("model"), "model_cache": d.get("llm", {}).get("cache"),
+        "seconds": d.get("limits", {}).get("query_seconds"),
     }
     names = Config.__dataclass_fields__
     return Config(path.parent, [Module(**{k: v for k, v in m.items() if k in Module.__dataclass_fields__}) for m in d.get("modules", [])], **{k: v for k, v in given.items() if v}, **{k: v for k, v in plain.items() if k in names and k not in given})

@@ -6,6 +6,7 @@ import hashlib
 import importlib
 import json
 import math
+import time
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -23,6 +24,8 @@ ABSTAIN = ("other", "none", "none_of_the_above", "unknown")
 TEMPERATURE, ABSTAIN_SCORE, ABSTAIN_ALONE = 0.6, 0.35, 2.0
 PRIOR_WEIGHT, LEAST_PRIOR, PAIR_WEIGHT, WORD_COST = 2.0, 1e-6, 0.75, 0.05
 MOST_OPTIONS, ADVANCE = 255, 3
+#: Up to this chance of yes, or of no, the answer is unknown.
+UNSURE = 0.6
 
 
 @dataclass
@@ -34,11 +37,42 @@ class Choice:
     priors: dict[str, float] = field(default_factory=dict)
 
 
+@dataclass
+class YesNo:
+    """Whether something holds; ``prior`` is its chance known beforehand. Near a half the answer is unknown."""
+
+    prompt: str
+    prior: float | None = None
+
+
+@dataclass
+class Scale:
+    """One of several levels in order, given by their descriptions."""
+
+    prompt: str
+    levels: list[str]
+    prior: float | None = None
+
+
 @dataclass
 class Decision:
     choice: str
     probabilities: dict[str, float]
 
+    @property
+    def yes(self) -> float:
+        """The chance of yes, for a :class:`YesNo`."""
+        return self.probabilities.get("yes", 0.0)
+
+    @property
+    def score(self) -> float:
+        """The mean level, for a :class:`Scale`."""
+        return sum(int(k) * p for k, p in self.probabilities.items())
+
+    def verdict(self, sure: float = UNSURE) -> str:
+        """``yes``, ``no`` or, where neither is likelier than ``sure``, ``unknown``."""
+        return "yes" if self.yes > sure else "no" if 1 - self.yes > sure else "unknown"
+
     @property
     def confidence(self) -> float:
         return self.probabilities.get(self.choice, 0.0)
@@ -48,7 +82,7 @@ class Decision:
 
 
 class Controller(Protocol):
-    def ask(self, state: str, choices: dict[str, Choice]) -> dict[str, Decision]: ...
+    def ask(self, state: str, choices: dict[str, Choice | YesNo | Scale]) -> dict[str, Decision]: ...
 
 
 def overlap(asked: list[str], options: dict[str, list[str]]) -> dict[str, float]:
@@ -70,7 +104,16 @@ class LexicalController:
 
     def ask(self, state: str, choices: dict[str, Choice]) -> dict[str, Decision]:
         asked = stems(state)
-        return {name: self._decided(c, overlap(asked, {k: stems(v) for k, v in c.options.items()})) for name, c in choices.items()}
+        return {name: self._answered(asked, c) for name, c in choices.items()}
+
+    def _answered(self, asked: list[str], c: Choice | YesNo | Scale) -> Decision:
+        if isinstance(c, YesNo):
+            # Words alone tell no yes from a no: what is known beforehand stands.
+            yes = 0.5 if c.prior is None else min(max(c.prior, 0.0), 1.0)
+            return Decision("yes" if yes >= 0.5 else "no", {"yes": yes, "no": 1 - yes})
+        if isinstance(c, Scale):
+            c = Choice(c.prompt, {str(i): x for i, x in enumerate(c.levels)}, {} if c.prior is None else {str(min(max(round(c.prior), 0), len(c.levels) - 1)): 1.0})
+        return self._decided(c, overlap(asked, {k: stems(v) for k, v in c.options.items()}))
 
     @staticmethod
     def _decided(c: Choice, scores: dict[str, float]) -> Decision:
@@ -100,6 +143,19 @@ def request_key(*parts: Any) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
+class RecordingController:
+    """Hands questions on and keeps what was asked and decided, with the time it took."""
+
+    def __init__(self, inner: Controller) -> None:
+        self.inner, self.records = inner, []
+
+    def ask(self, state: str, choices: dict[str, Any]) -> dict[str, Decision]:
+        began = time.perf_counter()
+        got = self.inner.ask(state, choices)
+        self.records.append({"state": state, "questions": {k: asdict(c) for k, c in choices.items()}, "decisions": {k: asdict(d) for k, d in got.items()}, "seconds": time.perf_counter() - began})
+        return got
+
+
 class CachingController:
     """Answers repeated requests from an append-only log, read again at the start."""
 

@@ -7,6 +7,11 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.algebra import Compiler
+from ..plans.sparql import Query, SparqlError, parse, used_iris
+from ..sources.store import text_of
 
 SCHEMA = "id string, question string, gold_sparql string, gold_answers array<string>, gold struct<module: string, class: string, shape: string, properties: array<string>, entities: array<string>>, tags array<string>, expect_unanswered boolean"
 
@@ -51,3 +56,34 @@ def _lcquad(r: dict) -> dict:
 
 def benchmark_df(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(load_benchmark(path), SCHEMA)
+
+
+def answerable(items: list[dict[str, Any]], store: Any, prefixes: dict[str, str] | None = None) -> list[dict[str, Any]]:
+    """The items a store can be asked: every IRI of the gold query stands in it, and the query has an answer.
+
+    Each kept item is tagged ``match`` where that answer is the stated one as a set, or none is stated; else ``drift``.
+    All IRIs of all items are looked for in one pass over the store.
+    """
+    spark = store.spark
+    parsed: dict[int, Query] = {}
+    for i, item in enumerate(items):
+        try:
+            if item["gold_sparql"]:
+                parsed[i] = parse(item["gold_sparql"], prefixes or {})
+        except SparqlError:
+            continue
+    wanted = sorted({x for q in parsed.values() for x in used_iris(q) if not x.startswith("http://www.w3.org/")})
+    every = store.scan(None, None)
+    asked = spark.createDataFrame([(x,) for x in wanted], "iri string")
+    text = lambda n: text_of(every.info[n], F.col(n))
+    nodes = every.df.select(F.explode(F.array(text("s"), text("p"), text("o"))).alias("iri"))
+    known = {r["iri"] for r in nodes.join(F.broadcast(asked), "iri", "left_semi").distinct().collect()}  # at most the IRIs asked for
+    compiler, out = Compiler(store, prefixes or {}), []
+    for i, q in parsed.items():
+        if not {x for x in used_iris(q) if not x.startswith("http://www.w3.org/")} <= known:
+            continue
+        got = {str(compiler.ask(q)).lower()} if q.form == "ask" else {str(r[0]) for r in compiler.select(q).collect() if r[0] is not None}
+        if got:
+            stated = items[i]["gold_answers"]
+            out.append({**items[i], "tags": [*items[i]["tags"], "match" if stated is None or {str(x) for x in stated} == got else "drift"]})
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..control.pipeline import Pipeline, shown
 from ..plans.algebra import Compiler
+from ..runtime import write_text
 from ..sources.store import QuadStore
 from . import metrics
 
@@ -29,13 +30,19 @@ def gold_answers(store: QuadStore, item: dict[str, Any], prefixes: dict[str, str
     return [str(r[0]) for r in c.select(item["gold_sparql"]).collect()]
 
 
-def evaluate(spark: SparkSession, items: list[dict[str, Any]], arms: dict[str, Pipeline], prefixes: dict[str, str]) -> DataFrame:
-    """One row per item and arm, with ``correct`` and ``f1``. A question that fails ends in an error row."""
+def evaluate(spark: SparkSession, items: list[dict[str, Any]], arms: dict[str, Pipeline], prefixes: dict[str, str], traces: str | None = None) -> DataFrame:
+    """One row per item and arm, with ``correct`` and ``f1``. A question that fails ends in an error row.
+
+    Questions are asked one after another, as a person would; each is a query over all the data. ``traces``: a file for
+    a line of JSON per question with what happened.
+    """
     rows = []
     for arm, p in arms.items():
         for item in items:
             gold = gold_answers(p.store, item, prefixes)
             got = p.ask(item["question"])
+            if traces:
+                write_text(traces, json.dumps({"id": item["id"], "arm": arm, "status": got.status, "trace": json.loads(got.trace.json())}, ensure_ascii=False) + "\n", append=True)
             values = [shown(v) if isinstance(v, bool) else str(v) for v in got.values]
             rows.append((item["id"], arm, got.status, got.plan.shape if got.plan else None, 1000 * sum(got.trace.stages.values()), {k: 1000 * v for k, v in got.trace.stages.items()}, values, gold, item["tags"], item["expect_unanswered"] or gold is None))
     runs = spark.createDataFrame(rows, RUNS)
@@ -57,9 +64,11 @@ def report(runs: DataFrame, out: str | Path) -> str:
 
 
 def compare(paths: list[str]) -> str:
-    """Accuracy of several results side by side."""
+    """Results side by side: runs, accuracy, mean F1, and the share of each status."""
+    statuses = ("answered", "no_data", "fallback", "unanswered", "error")
     rows = []
     for p in paths:
         runs = json.loads((Path(p) / "results.json").read_text())
-        rows.append(f"| {p} | {len(runs)} | {sum(r['correct'] for r in runs) / max(1, len(runs)):.3f} |")
-    return "\n".join(["| results | runs | accuracy |", "|---|---|---|", *rows])
+        mean = lambda f, runs=runs: f"{sum(map(f, runs)) / max(1, len(runs)):.3f}"
+        rows.append(" | ".join([f"| {p}", str(len(runs)), mean(lambda r: bool(r.get("correct"))), mean(lambda r: r.get("f1") or 0.0), *(mean(lambda r, s=s: r["status"] == s) for s in statuses)]) + " |")
+    return "\n".join(["| results | runs | accuracy | f1 | " + " | ".join(statuses) + " |", "|---|---|---|---|" + "---|" * len(statuses), *rows])

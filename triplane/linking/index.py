@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import statistics as st
 from ..functions.terms import local_name_of
 from ..functions.text import jaccard_col, normalize, normalize_col, trigrams_col
-from ..operators.retrieval import trigram_matches
+from ..operators.retrieval import nearest_vectors, trigram_matches
 from ..sources.store import TYPE
 
 # How far a kind of name is trusted, classes of people, and names of a country's people and things.
@@ -64,8 +65,9 @@ def alias_table(records: DataFrame) -> DataFrame:
 class EntityIndex:
     """Records and their names. Lookups are Spark filters on the alias table; nothing of it is held on the driver."""
 
-    def __init__(self, records: DataFrame, aliases: DataFrame | None = None) -> None:
-        self.records = records
+    def __init__(self, records: DataFrame, aliases: DataFrame | None = None, embedder: Embedder | None = None) -> None:
+        """``embedder`` turns names into vectors for :meth:`nearest`; without one that finds nothing."""
+        self.records, self.embedder = records, embedder
         self.aliases = alias_table(records) if aliases is None else aliases
 
     def save(self, path: str) -> None:
@@ -98,6 +100,23 @@ class EntityIndex:
         return alike.join(self.records, "iri").withColumn("score", F.col("similarity") * 0.9).orderBy(F.col("score").desc(), "iri").limit(k)
 
 
+    def nearest(self, text: str, least: float = 0.8, k: int = 5) -> list[dict]:
+        """Records with a trusted name near in meaning, by the cosine of vectors; none without an embedder."""
+        if self.embedder is None:
+            return []
+        embed, floats = self.embedder, "array<double>"
+        names = self.aliases.where(F.col("trust") >= TRUST["stripped"]).select("norm").distinct()
+
+        @F.pandas_udf(floats)
+        def vectors(norm: pd.Series) -> pd.Series:
+            return pd.Series([list(map(float, v)) for v in embed.embed(norm.tolist())])
+
+        asked = names.sparkSession.createDataFrame([(0, list(map(float, embed.embed([normalize(text)])[0])))], f"q int, v {floats}")
+        near = nearest_vectors(names.withColumn("v", vectors("norm")), "norm", "v", asked, "q", k, least)
+        got = near.join(self.aliases, "norm").join(self.records, "iri").withColumn("score", F.col("cosine") * 0.9)
+        return [r.asDict() for r in got.select("iri", "label", "types", "module", "value_of", "score").orderBy(F.desc("score"), "iri").limit(k).collect()]
+
+
 def link_mentions(questions: DataFrame, question_id: str, question: str, index: EntityIndex, longest: int = 8, schema_terms: Sequence[str] = ()) -> DataFrame:
     """Batch linking: ``question_id, start, words, norm, iri, score`` of every name that stands in a question, the best
     node of each, longer names first where they overlap.

@@ -8,6 +8,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quads import parse_lines, typed
+from .store import QuadStore, Rel
 from .turtle import XSD
 
 #: Takes a URL, form fields, an Accept header and a timeout; gives status and body. Replaced in tests.
@@ -72,6 +74,37 @@ class Endpoint:
         return spark.createDataFrame([tuple(r.get(n) for n in names) for r in self.select(query)], schema)
 
 
+class EndpointStore:
+    """An endpoint with the face of a store, so that plans and queries compile over it.
+
+    Each pattern is asked for with its constants in place, and its statements are read as lines; what a pattern matches
+    must fit the driver. Joins, filters and aggregates run in Spark.
+    """
+
+    def __init__(self, spark: SparkSession, endpoint: Endpoint) -> None:
+        self.spark, self.endpoint = spark, endpoint
+
+    def graphs(self) -> list[str]:
+        return sorted(r["g"] for r in self.endpoint.select("SELECT DISTINCT ?g WHERE { GRAPH ?g { ?s ?p ?o } }"))
+
+    def holders(self, graph: str | None, predicate: str | None) -> int:  # noqa: ARG002
+        return 1
+
+    def star(self, graph: str | None, predicates: list[str], types: list[str], template: str | None = None) -> None:  # noqa: ARG002
+        return None
+
+    def scan(self, graph: str | None, predicate: str | None, types: dict[str, str] | None = None, merge: bool = False) -> Rel:
+        pattern = f"?s {f'<{predicate}>' if predicate else '?p'} ?o"
+        names = [graph] if graph is not None else [None] if merge else self.graphs()
+        parts = []
+        for name in names:
+            where = pattern if name is None else f"GRAPH <{name}> {{ {pattern} }}"
+            lines = self.endpoint.construct(f"CONSTRUCT {{ {pattern} }} WHERE {{ {where} }}").splitlines()
+            parts.append(typed(parse_lines(self.spark.createDataFrame([(x,) for x in lines], "value string"), name)))
+        quads = reduce(DataFrame.unionByName, parts) if parts else typed(parse_lines(self.spark.createDataFrame([], "value string")))
+        return QuadStore(quads).scan(graph, predicate, types, merge)
+
+
 def native(binding: dict[str, str]) -> Any:
     """A JSON result term as a value; literals that aren't of their datatype stay text."""
     text, kind = binding["value"], binding.get("datatype", "").removeprefix(XSD)
