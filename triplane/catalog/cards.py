@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import local_name
 from ..functions.text import split_camel
-from ..runtime import read_text, write_text
+from ..runtime import materialize, read_text, write_text
 from ..sources.store import TYPE
 from ..sources.turtle import RDF, XSD
 from . import statistics as st
@@ -213,7 +213,10 @@ def _apply_shapes(cat: Catalog, shapes: dict[str, dict[str, list[str]]]) -> None
 
 
 def _observe(cat: Catalog, data: DataFrame, skip: set[str]) -> None:
-    for r in st.class_counts(data).collect():
+    """What the data show: sizes of classes, uses of predicates, both together, classes of objects, samples. Each is
+    counted once and as large as the schema; domains come from the first and third."""
+    sizes, uses = materialize(st.class_counts(data), "sizes"), materialize(st.class_predicates(data), "uses")
+    for r in sizes.orderBy("class", "g").collect():
         card = cat.classes.setdefault(r["class"], ClassCard(r["class"], split_camel(local_name(r["class"]))))
         card.instances += r["instances"]
         card.module = card.module or r["g"]
@@ -227,7 +230,7 @@ def _observe(cat: Catalog, data: DataFrame, skip: set[str]) -> None:
             card.datatype = card.datatype or r["datatype"]
     for card in cat.properties.values():
         card.module = min(card.usage, key=lambda g: (-card.usage[g], g), default=None)
-    for r in st.observed_domains(data).orderBy(F.desc("share"), "class").collect():
+    for r in st.domains_of(uses, sizes).orderBy(F.desc("share"), "class").collect():
         card = cat.properties.get(r["p"])
         if card and not any(cat.is_a(r["class"], d) for d in card.domains):
             card.domains.append(r["class"])

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..runtime import materialize
 from ..sources.store import TYPE
@@ -43,9 +50,14 @@ def object_classes(quads: DataFrame, type_predicate: str = TYPE) -> DataFrame:
 
 def observed_domains(quads: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """``p, class, share``: classes of which at least that share uses the predicate."""
-    uses = class_predicates(quads).groupBy("p", "class").agg(F.sum("instances").alias("users"))
-    size = class_counts(quads).groupBy("class").agg(F.sum("instances").alias("instances"))
-    return uses.join(size, "class").select("p", "class", (F.col("users") / F.col("instances")).alias("share")).where(F.col("share") >= least)
+    return domains_of(class_predicates(quads), class_counts(quads), least)
+
+
+def domains_of(uses: DataFrame, sizes: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """:func:`observed_domains` from tables of :func:`class_predicates` and :func:`class_counts`."""
+    users = uses.groupBy("p", "class").agg(F.sum("instances").alias("users"))
+    size = sizes.groupBy("class").agg(F.sum("instances").alias("instances"))
+    return users.join(size, "class").select("p", "class", (F.col("users") / F.col("instances")).alias("share")).where(F.col("share") >= least)
 
 
 def observed_ranges(quads: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
@@ -133,16 +145,25 @@ def join_overlaps(quads: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def sample_values(quads: DataFrame, k: int = 3) -> DataFrame:
-    """``p, at, sample``: the least ``k`` different objects of each predicate.
+    """``p, at, sample``: the least ``k`` different objects of each predicate, in one pass.
 
-    The first is a minimum by partial aggregation, and so is each next one above the last, so that a predicate with a
-    third of all rows is never gathered or sorted.
+    A task keeps the least ``k`` of each predicate over all its rows, so at most k rows per task and predicate are
+    shuffled, and a predicate with a third of all rows is never gathered or sorted.
     """
-    rest = quads.where(F.col("p") != TYPE).select("p", "o")
-    found: DataFrame | None = None
-    last: DataFrame | None = None
-    for at in range(k):
-        above = rest if last is None else rest.join(last, "p").where(F.col("o") > F.col("sample")).drop("sample", "at")
-        last = materialize(above.groupBy("p").agg(F.min("o").alias("sample")).withColumn("at", F.lit(at)), "samples")
-        found = last if found is None else found.unionByName(last)
-    return found.select("p", "at", "sample")
+    schema = StructType.fromDDL("p string, o string")
+    arrow = to_arrow_schema(schema)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = arrow.empty_table()
+        for batch in batches:
+            rows = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(arrow)]).group_by(["p", "o"]).aggregate([]).sort_by([("p", "ascending"), ("o", "ascending")])
+            place = np.arange(rows.num_rows)
+            first = pc.run_end_encode(rows["p"].combine_chunks()).run_ends.to_numpy() if rows.num_rows else place
+            start = np.repeat(np.concatenate(([0], first[:-1])), np.diff(first, prepend=0)) if rows.num_rows else place
+            held = rows.filter(pa.array(place - start < k))
+        yield from held.combine_chunks().to_batches()
+
+    rest = quads.where((F.col("p") != TYPE) & F.col("o").isNotNull()).select("p", "o")
+    found = rest.mapInArrow(least, schema).distinct()
+    ranked = found.withColumn("at", F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1)
+    return ranked.where(F.col("at") < k).select("p", "at", F.col("o").alias("sample"))
