@@ -111,9 +111,11 @@ def trigram_matches(queries: DataFrame, query: str, names: DataFrame, name: str,
     joins only the names for which it is among the rarest.
     """
     q = queries.select(F.col(query).alias("query")).where("query IS NOT NULL").distinct().withColumn("text", normalize_col(F.col("query")))
-    texts = q.select("text").where("text <> ''").distinct().withColumn("qt", trigrams_col(F.col("text")))
-    n = names.select(normalize_col(F.col(name)).alias("name")).where("name <> ''").distinct().withColumn("nt", trigrams_col(F.col("name")))
-    n = materialize(n, "names")
+    # Both are written, so that no normal form or set is made twice.
+    q = materialize(q, "queries")
+    texts = materialize(q.select("text").where("text <> ''").distinct().withColumn("qt", trigrams_col(F.col("text"))), "texts")
+    n = names.select(normalize_col(F.col(name)).alias("name")).where("name <> ''").distinct()
+    n = materialize(n.withColumn("nt", trigrams_col(F.col("name"))), "names")
     counts = n.select(F.explode("nt").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
 
     def rare(sets: DataFrame, text: str, grams: str) -> DataFrame:
@@ -125,7 +127,8 @@ def trigram_matches(queries: DataFrame, query: str, names: DataFrame, name: str,
 
     near = (F.col("nt_n") >= F.col("qt_n") * least - 1e-9) & (F.col("qt_n") >= F.col("nt_n") * least - 1e-9)
     met = rare(texts, "text", "qt").join(rare(n, "name", "nt"), "t").where(near).select("text", "name").distinct()
-    scored = met.select("text", "name", jaccard_col(trigrams_col(F.col("text")), trigrams_col(F.col("name"))).alias("similarity")).where(F.col("similarity") >= least)
+    sets = met.join(texts, "text").join(n, "name")
+    scored = sets.select("text", "name", jaccard_col(F.col("qt"), F.col("nt")).alias("similarity")).where(F.col("similarity") >= least)
     w = Window.partitionBy("text").orderBy(F.col("similarity").desc(), "name")
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return q.join(best, "text").select("query", "name", "similarity", "rank")
