@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from triplane.suite import catalog, graph, linking, quality, text
+from triplane.suite import catalog, graph, linking, quality, schema, text
 
 DATA = "/root/testdata/sf0.001"
-SUITE = {k: (f, m.SQL.get(k)) for m in (graph, text, catalog, linking, quality) for k, f in m.QUERIES.items()}
+SUITE = {k: (f, m.SQL.get(k)) for m in (graph, text, catalog, linking, quality, schema) for k, f in m.QUERIES.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 

@@ -145,7 +145,7 @@ def link_mentions(questions: DataFrame, question_id: str, question: str, index:
     covers = exact.groupBy("qid").agg(F.collect_set(F.struct("start", "words")).alias("covers"))
     raw = questions.select(F.col(question_id).alias("qid"), F.filter(F.split(question, r"\s+"), lambda w: w != "").alias("raw")).where("qid IS NOT NULL AND raw IS NOT NULL")
     counts = F.transform("raw", lambda w: F.when(normalize_col(w) == "", 0).otherwise(F.size(F.split(normalize_col(w), " "))))
-    runs = raw.withColumn("counts", counts).join(covers, "qid", "left").select("qid", F.explode(F.udf(_runs, "array<struct<start: int, words: int, text: string>>")("raw", "counts", "covers")).alias("r")).select("qid", "r.*").distinct()
+    runs = raw.withColumn("counts", counts).join(covers, "qid", "left").select("qid", F.explode(F.udf(_runs, "array<struct<start: int, words: int, text: string>>", useArrow=True)("raw", "counts", "covers")).alias("r")).select("qid", "r.*").distinct()
     trusted = index.aliases.where(F.col("trust") >= TRUST["stripped"])
     near = trigram_matches(runs, "text", trusted, "norm", k=50).select(F.col("query").alias("text"), F.col("name").alias("norm"), "similarity").join(trusted.select("norm", "iri"), "norm")
     top = near.groupBy("text").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "iri", "norm")).alias("b"))
