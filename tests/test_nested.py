@@ -44,7 +44,7 @@ def test_nothing_of_a_record_is_lost(spark):
 def test_deep_and_long_records(spark, monkeypatch):
     deep = '{"a":' * 3000 + "{}" + "}" * 3000
     unnamed = '{"":' * 100_000 + '{"x": 1}' + "}" * 100_000
-    lists = '{"v": ' + "[" * 100_000 + "7" + "]" * 100_000 + "}"
+    lists = '{"v":' + "[" * 100_000 + "7" + "]" * 100_000 + "}"
     long = json.dumps({"links": [{"t": "x" * 50}] * 5000})
     monkeypatch.setattr(nested, "ROWS_AT_ONCE", 700)
     got = nodes(spark, [deep, long, unnamed, lists, json.dumps(unnamed)]).groupBy("id").agg(F.max("depth"), F.count("*"), F.max("post"))
