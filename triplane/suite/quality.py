@@ -205,8 +205,8 @@ _SEGMENT = '\\.("[^"]*"|[^.\\[]+)'
 _PLANS = f"""WITH {_ONCE}, {_TYPED},
   j AS (SELECT run_id, CASE WHEN NOT json_valid(r.plan) THEN NULL WHEN json_type(r.plan) = 'VARCHAR' THEN json_extract_string(r.plan, '$') ELSE r.plan END AS p FROM once WHERE r.plan IS NOT NULL),
   o0 AS (SELECT j.run_id, t.id, t.value AS v, t.fullkey AS k FROM (SELECT * FROM j WHERE p IS NOT NULL AND json_valid(p)) j, json_tree(j.p) t WHERE t.type = 'OBJECT'),
-  o1 AS (SELECT *, regexp_replace(k, '{_SEGMENT}(\[[0-9]+\])*$', '') AS up, len(regexp_extract_all(k, '{_SEGMENT}')) + 1 AS depth, regexp_extract(k, '{_SEGMENT}(\[[0-9]+\])*$', 1) AS name,
-    regexp_extract(k, '\[([0-9]+)\]$', 1) AS el, row_number() OVER (PARTITION BY run_id ORDER BY id) + typed.n AS pre FROM o0 JOIN typed USING (run_id)),
+  o1 AS (SELECT *, regexp_replace(k, '{_SEGMENT}(\\[[0-9]+\\])*$', '') AS up, len(regexp_extract_all(k, '{_SEGMENT}')) + 1 AS depth, regexp_extract(k, '{_SEGMENT}(\\[[0-9]+\\])*$', 1) AS name,
+    regexp_extract(k, '\\[([0-9]+)\\]$', 1) AS el, row_number() OVER (PARTITION BY run_id ORDER BY id) + typed.n AS pre FROM o0 JOIN typed USING (run_id)),
   o2 AS (SELECT a.run_id, a.k, a.up, a.depth, a.name, a.el, a.pre, a.v, count(b.k) AS below, string_agg(DISTINCT '"' || b.name || '":null', ',') FILTER (b.up = a.k) AS inner_fields
     FROM o1 a LEFT JOIN o1 b ON a.run_id = b.run_id AND starts_with(b.k, a.k || '.') GROUP BY ALL),
   o AS (SELECT o2.run_id, 'plan' || rtrim(regexp_replace(regexp_replace(substr(o2.k, 2) || '.', {_LONE}), {_LONE}), '.') AS path, o2.pre::INTEGER AS pre, (o2.pre + o2.below - o2.depth)::INTEGER AS post, o2.depth::INTEGER AS depth,
@@ -245,7 +245,7 @@ SQL = {
     **{f"p3_plan_{f}": _plan_sql(f"name = '{f}'", *PLAN_TABLES[f]) for f in PLAN_TABLES},
     "p3_plan_others": _plan_sql(f"name NOT IN {tuple(PLAN_TABLES)}"),
     "p3_steps_in_links": f"""{_P3.replace("SELECT run_id, 'stages[' || k", ", f AS (SELECT run_id, 'stages[' || k", 1)}), 
-      l AS (SELECT run_id, path FROM f WHERE regexp_matches(path, '^plan\.links\[[0-9]+\]$')), st AS (SELECT run_id, path FROM f WHERE regexp_matches(path, '\.steps\[[0-9]+\]$'))
+      l AS (SELECT run_id, path FROM f WHERE regexp_matches(path, '^plan\\.links\\[[0-9]+\\]$')), st AS (SELECT run_id, path FROM f WHERE regexp_matches(path, '\\.steps\\[[0-9]+\\]$'))
       SELECT l.run_id, l.path AS outer_path, st.path AS inner_path FROM l JOIN st ON l.run_id = st.run_id AND starts_with(st.path, l.path || '.')""",
     "p1_found": f"SELECT tab, rec_id, ref, kind, period FROM ({_P1_LINKS}) WHERE kind <> 'live'",
     "p1_report": f"""SELECT tab, period, count(*) AS links, count(*) FILTER (kind = 'missing') AS missing,
