@@ -1,7 +1,14 @@
 """Names in questions that are plural or misspelt."""
 
+import os
+
+import pytest
+
 from conftest import rows
 from triplane.linking.index import EntityIndex, link_mentions
+from triplane.suite.linking import QUERIES
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_plural_and_misspelt_names(spark):
@@ -11,3 +18,10 @@ def test_plural_and_misspelt_names(spark):
     asked = [(1, "Which sales managers know Titanic and Skustonuv Thesbredc?"), (2, "Who owns Skustonuv-Thesbred?"), (3, "Skustonuv Thesbredc is who"), (4, "list danish movies"), (5, None)]
     got = rows(link_mentions(spark.createDataFrame(asked, "id int, q string"), "id", "q", index, schema_terms=("movie",)), "id", "start", "words", "norm", "iri")
     assert got == [(1, 1, 2, "sales manager", "m"), (1, 4, 1, "titanic", "t"), (1, 6, 2, "skustonuv thesbredk", "k"), (2, 2, 2, "skustonuv thesbredk", "k"), (4, 1, 1, "danish", "d")]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_names_are_not_made_again_in_every_step(spark):
+    got = QUERIES["linked_mentions"](spark, DATA)
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 12
+    assert not any("entity.parquet" in f for f in got.inputFiles())

@@ -13,6 +13,7 @@ from ..catalog import statistics as st
 from ..functions.terms import local_name_of
 from ..functions.text import jaccard_col, normalize, normalize_col, trigrams_col
 from ..operators.retrieval import nearest_vectors, trigram_matches
+from ..runtime import materialize
 from ..sources.store import TYPE
 
 # How far a kind of name is trusted, classes of people, and names of a country's people and things.
@@ -125,13 +126,17 @@ def link_mentions(questions: DataFrame, question_id: str, question: str, index:
     words one of ``schema_terms``); overlaps are settled within a question, whose n-grams are few. Then each run of
     capitalised words that no name covers, the question's first word aside, takes the name most alike by trigrams;
     ``norm`` is the name found.
+
+    The names, the spans that have one and the runs without one are each written once: every later step reads files,
+    so no plan holds the making of another.
     """
+    aliases = materialize(index.aliases, "aliases")
     words = F.split(normalize_col(F.col(question)), " ")
     grams = questions.select(F.col(question_id).alias("qid"), words.alias("w")).where("w IS NOT NULL AND w[0] <> ''")
     at = grams.select("qid", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
     spans = at.select("qid", "start", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("n"))
     named = spans.select("qid", "start", F.col("n").alias("words"), F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("norm"))
-    best = index.aliases.join(index.records.select("iri", "popularity"), "iri").withColumn("score", F.col("trust") + 0.04 * F.log10(1 + F.col("popularity"))).groupBy("norm").agg(F.max(F.struct("score", "iri")).alias("b"))
+    best = aliases.join(index.records.select("iri", "popularity"), "iri").withColumn("score", F.col("trust") + 0.04 * F.log10(1 + F.col("popularity"))).groupBy("norm").agg(F.max(F.struct("score", "iri")).alias("b"))
     singular = F.expr("substr(norm, 1, length(norm) - 1)")
     plural = F.col("norm").endswith("s") & (F.length("norm") > 4) & ~((F.col("words") > 1) & F.element_at(F.split(singular, " "), -1).isin(*schema_terms))
     forms = named.select("qid", "start", "words", F.col("norm").alias("as_is"), F.explode(F.when(plural, F.array("norm", singular)).otherwise(F.array("norm"))).alias("norm"))
@@ -141,12 +146,13 @@ def link_mentions(questions: DataFrame, question_id: str, question: str, index:
     per = hits.groupBy("qid").agg(ordered.alias("all"))
     empty = F.slice("all", 1, 0)
     chosen = F.aggregate("all", empty, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    exact = per.select("qid", F.explode(chosen).alias("m")).select("qid", "m.start", "m.words", "m.norm", "m.iri", "m.score")
+    exact = materialize(per.select("qid", F.explode(chosen).alias("m")).select("qid", "m.start", "m.words", "m.norm", "m.iri", "m.score"), "exact")
     covers = exact.groupBy("qid").agg(F.collect_set(F.struct("start", "words")).alias("covers"))
     raw = questions.select(F.col(question_id).alias("qid"), F.filter(F.split(question, r"\s+"), lambda w: w != "").alias("raw")).where("qid IS NOT NULL AND raw IS NOT NULL")
     counts = F.transform("raw", lambda w: F.when(normalize_col(w) == "", 0).otherwise(F.size(F.split(normalize_col(w), " "))))
     runs = raw.withColumn("counts", counts).join(covers, "qid", "left").select("qid", F.explode(F.udf(_runs, "array<struct<start: int, words: int, text: string>>", useArrow=True)("raw", "counts", "covers")).alias("r")).select("qid", "r.*").distinct()
-    trusted = index.aliases.where(F.col("trust") >= TRUST["stripped"])
+    runs = materialize(runs, "runs")
+    trusted = aliases.where(F.col("trust") >= TRUST["stripped"])
     near = trigram_matches(runs, "text", trusted, "norm", k=50).select(F.col("query").alias("text"), F.col("name").alias("norm"), "similarity").join(trusted.select("norm", "iri"), "norm")
     top = near.groupBy("text").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "iri", "norm")).alias("b"))
     fuzzy = runs.join(top, "text").select("qid", "start", "words", "b.norm", "b.iri", (F.col("b.far") * -0.9).alias("score"))
