@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.store import PARTS, TYPE, Info, Rel, constant, key_in, text_of, union, widened
 from ..sources.turtle import XSD, Term
 from .expressions import Scope, aggregate, evaluate, truth
+from .factored import factored
 from .sparql import AGGREGATES, Bgp, Bind, Call, Graph, Group, Minus, Optional, Path, Query, SparqlError, Triple, Union, Values, Var, parse, walk
 
 #: Rounds of a path's closure after which its pairs are written as one table again.
@@ -324,7 +325,8 @@ class Compiler:
             loose = [n for n in shared if side.info[n].maybe_null][:MAX_SPLIT]
             if condition is None and loose and (side is a or how == "inner"):
                 parts = _by_bound(side, loose)
-                return reduce(union, [self._join(x, other, how) if side is a else self._join(other, x) for x in parts])
+                joined = [self._join(x, other, how) if side is a else self._join(other, x) for x in parts]
+                return replace(reduce(union, joined), parts=joined)
         for n in shared:
             a, b = _aligned(a, b, n)
         tag = self._fresh()
@@ -352,7 +354,7 @@ class Compiler:
         for n, i in b.info.items():
             if n not in shared:
                 info[n] = i.unbound if how == "left" else i
-        return Rel(df, info)
+        return Rel(df, info, product=None if on else (a, b, how))
 
     def _left(self, rel: Rel | None, group: Group, graph: Any) -> Rel:
         """OPTIONAL: a left join; the group's filters are part of its condition, so they may see both sides."""
@@ -447,12 +449,13 @@ class Compiler:
                 rel = self._bind(rel, name, expr)
             keys.append(name)
         made: dict[str, tuple[Column, Info | None]] = {}
+        calls: dict[str, Call] = {}
 
         def lifted(e: Any) -> Any:
             """Aggregates inside an expression become variables of the grouped relation."""
             if isinstance(e, Call) and e.name in AGGREGATES:
                 name = f"_a{len(made)}"
-                made[name] = aggregate(e, Scope(rel, self))
+                made[name], calls[name] = aggregate(e, Scope(rel, self)), e
                 return Var(name)
             if isinstance(e, Call):
                 return Call(e.name, [lifted(a) for a in e.args], e.distinct, e.extra)
@@ -463,7 +466,9 @@ class Compiler:
         q.order = [(lifted(e), d) for e, d in q.order]
         columns = [c for k in keys for c in rel.columns(k)]
         aggs = [c.alias(n) for n, (c, _) in made.items()] or [F.count(F.lit(1)).alias("_n")]
-        df = rel.df.groupBy(*columns).agg(*aggs) if columns else rel.df.agg(*aggs)
+        df = factored(rel, keys, calls)
+        if df is None:
+            df = rel.df.groupBy(*columns).agg(*aggs) if columns else rel.df.agg(*aggs)
         out = Rel(df, {**{k: rel.info[k] for k in keys}, **{n: i or Info("lit", maybe_null=True) for n, (_, i) in made.items()}})
         for h in having:
             out = Rel(out.df.where(truth(evaluate(h, Scope(out, self)))), out.info)

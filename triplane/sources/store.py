@@ -35,10 +35,16 @@ class Info:
 
 @dataclass
 class Rel:
-    """Solutions: a DataFrame with a column per variable, NULL where unbound."""
+    """Solutions: a DataFrame with a column per variable, NULL where unbound.
+
+    ``parts``: relations this one is the union of. ``product``: two relations without a common variable that it pairs,
+    all with all, and how (``inner`` or ``left``). Both only until anything else is done with it.
+    """
 
     df: DataFrame
     info: dict[str, Info] = field(default_factory=dict)
+    parts: list[Rel] | None = None
+    product: tuple[Rel, Rel, str] | None = None
 
     def columns(self, name: str) -> list[str]:
         return [name, *(f"{name}__{p}" for p in PARTS)] if self.info[name].kind == "any" else [name]
