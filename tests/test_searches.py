@@ -48,3 +48,28 @@ def test_mentions_are_queries(spark):
         alike = sorted((-s, n) for n in names if (s := trigram_similarity(q, n)) >= 0.72)[:5]
         want += [(q, n, round(-s, 6), i) for i, (s, n) in enumerate(alike, 1)]
     assert want and sorted(map(tuple, QUERIES["trigram_fuzzy"](spark, DATA).select("query", "name", "similarity", "rank").collect())) == sorted(want)
+
+
+def test_search_over_many_blocks_of_documents(spark, monkeypatch):
+    """Common and rare terms, ties over blocks and fewer documents than places."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [rng.choices(words, [100 / (i + 1) for i in range(60)], k=rng.randint(0, 9)) for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), *((i + 300, t) for i, t in enumerate(texts[:50]))], "id int, w array<string>").repartition(3)
+    asked = df.where("id < 40").select(F.col("id").alias("q"), F.col("w").alias("asked"))
+    for size, k in ((7, 4), (64, 4), (64, 400)):
+        monkeypatch.setattr(retrieval, "DOC_BLOCK", size)
+        full = bm25_top(df, "id", F.col("w"), asked, "q", F.col("asked"), 1000).collect()
+        best = {}
+        for r in full:
+            best.setdefault(r["q"], []).append((-round(r["score"], 6), r["id"]))
+        want = sorted((q, i, n) for q, v in best.items() for n, (_, i) in enumerate(sorted(v)[:k], 1))
+        got = bm25_search(df, "id", F.col("w"), asked, "q", F.col("asked"), k)
+        assert sorted(map(tuple, got.select("q", "id", "rank").collect())) == want
+
+
+def test_many_queries_take_one_scan_and_a_task_keeps_its_best(spark):
+    df = spark.range(600, numPartitions=2).select("id", F.split(F.concat_ws(" ", (F.col("id") % 7).cast("string"), (F.col("id") % 11).cast("string")), " ").alias("w"))
+    got = bm25_search(df, "id", F.col("w"), df.select(F.col("id").alias("q"), F.col("w").alias("asked")), "q", F.col("asked"), 3)
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert got.groupBy("q").count().where("count = 3").count() == 600

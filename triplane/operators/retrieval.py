@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,16 +42,17 @@ def bm25_top(docs: DataFrame, doc: str, words: Column, queries: DataFrame, query
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("query").alias(query), F.col("doc").alias(doc), "score", "rank")
 
 
-#: Text queries sent to the tasks at once.
-TEXT_BLOCK = 256
+#: Text queries sent to the tasks at once, documents scored at once, and the weight below which a term is common (in 5 %
+#: of the documents or more): common terms are multiplied as matrices, others added where they stand.
+TEXT_BLOCK, DOC_BLOCK, COMMON = 4096, 1024, 3.0
 
 
 def bm25_search(docs: DataFrame, doc: str, words: Column, queries: DataFrame, query: str, query_words: Column, k: int, digits: int = 6) -> DataFrame:
     """:func:`bm25_top` for many or long queries: scores are rounded to ``digits`` before they are ranked; ties by document.
 
     Words are written once. Queries go to the tasks in blocks of TEXT_BLOCK with the weights of their terms, each block
-    one scan of the words; a task scores whole documents and keeps, per query and batch, those that may be among the
-    ``k`` best, so nothing is shuffled per pair. Queries come to the driver block by block.
+    one scan of the words; a task scores whole documents and keeps, per query, those that may be among the ``k`` best
+    of all it has seen, so nothing is shuffled per pair. Queries come to the driver block by block.
     """
     d = materialize(docs.select(F.col(doc).alias("doc"), words.alias("w")).where("doc IS NOT NULL"), "words")
     totals = d.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.greatest(F.size("w"), F.lit(0))).alias("mean"))
@@ -74,34 +75,76 @@ def bm25_search(docs: DataFrame, doc: str, words: Column, queries: DataFrame, qu
 
 def _score(block: list, k: int, mean: float, slack: float, schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    ids, asked = [r["q"] for r in block], [[t["term"] for t in r["terms"]] for r in block]
-    idf = {t["term"]: t["idf"] for r in block for t in r["terms"]}
+    ids = [r["q"] for r in block]
+    # common terms first
+    idf = dict(sorted(((t["term"], t["idf"]) for r in block for t in r["terms"]), key=lambda x: x[1]))
+    at = {t: i for i, t in enumerate(idf)}
+    pairs = np.array([(at[t["term"]], j) for j, r in enumerate(block) for t in r["terms"]], np.int64).reshape(-1, 2)
+    terms, weight = list(idf), np.array(list(idf.values()))
+    common = int(np.searchsorted(weight, COMMON))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {t: i for i, t in enumerate(idf)}
-        weight, has = np.array(list(idf.values())), np.zeros((len(at), len(ids)))
-        for j, terms in enumerate(asked):
-            has[[at[t] for t in terms], j] = 1
+        words, has = pa.array(terms, pa.string()), np.zeros((common, len(ids)))
+        has[tuple(pairs[pairs[:, 0] < common].T)] = 1
+        by = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        of, first = by[:, 1], np.searchsorted(by[:, 0], np.arange(len(terms) + 1))
+        best, kept = np.full((len(ids), k), -np.inf), []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = np.zeros((batch.num_rows, len(ids)))
-            for row, words in enumerate(batch.column(1).to_pylist()):
-                tf = Counter(words)
-                mine = sorted((at[t], n) for t, n in tf.items() if t in at)
-                if mine:
-                    own, n = [i for i, _ in mine], np.array([n for _, n in mine], float)
-                    scores[row] = (weight[own] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean))) @ has[own]
-            cut = max(0, len(scores) - k)
-            # what may tie with the k-th when rounded stays, so that ties are settled by document over all tasks
-            kth = np.partition(scores, cut, axis=0)[cut]
-            rows, which = np.nonzero((scores >= kth - slack) & (scores > 0))
-            columns = [pa.array([ids[i] for i in which], arrow.field(0).type), batch.column(0).take(pa.array(rows)).cast(arrow.field(1).type), pa.array(scores[rows, which])]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for start in range(0, batch.num_rows, DOC_BLOCK):
+                part = batch.slice(start, DOC_BLOCK)
+                scores = _scores(part.column(1), words, weight, has, of, first, mean)
+                # what may tie with the k-th when rounded stays, so that ties are settled by document over all tasks
+                least = best.min(axis=1)
+                if len(scores) > k and not np.isfinite(least).any():
+                    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+                rows, which = np.nonzero(scores >= np.maximum(least - slack, np.nextafter(0, 1)))
+                if len(rows):
+                    found = scores[rows, which]
+                    kept.append((which, part.column(0).take(pa.array(rows)).cast(arrow.field(1).type), found))
+                    best = _best(best, which, found)
+        if kept:
+            which, found = (np.concatenate([x[i] for x in kept]) for i in (0, 2))
+            stays = np.nonzero(found >= best.min(axis=1)[which] - slack)[0]
+            keys = pa.concat_arrays([x[1] for x in kept]).take(pa.array(stays))
+            asked = pa.array(ids, arrow.field(0).type).take(pa.array(which[stays]))
+            yield pa.RecordBatch.from_arrays([asked, keys, pa.array(found[stays])], schema=arrow)
 
     return run
 
 
+def _scores(lists: pa.ListArray, terms: pa.Array, weight: np.ndarray, has: np.ndarray, of: np.ndarray, first: np.ndarray, mean: float) -> np.ndarray:
+    """The score of each document, a list of words, for each query. ``has``: which query has which of the first, common
+    terms; ``of`` from ``first[t]`` on: the queries that have term ``t``."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    term = pc.fill_null(pc.index_in(coded.dictionary.cast(terms.type), value_set=terms), -1).to_numpy(zero_copy_only=False)
+    places = pc.fill_null(coded.indices, len(term)).to_numpy(zero_copy_only=False)
+    term = np.append(term, -1)[places].astype(np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    cells, n = np.unique((row * len(terms) + term)[term >= 0], return_counts=True)
+    row, term = np.divmod(cells, max(1, len(terms)))
+    part = weight[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[row] / mean))
+    dense, common = np.zeros((len(lengths), len(has))), term < len(has)
+    dense[row[common], term[common]] = part[common]
+    scores = dense @ has
+    row, term, part = row[~common], term[~common], part[~common]
+    many = first[term + 1] - first[term]
+    query = of[np.repeat(first[term] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    np.add.at(scores.reshape(-1), np.repeat(row, many) * scores.shape[1] + query, np.repeat(part, many))
+    return scores
+
+
+def _best(best: np.ndarray, which: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The greatest scores of each query, one row each, with those found put in."""
+    order = np.lexsort((-found, which))
+    which, found = which[order], found[order]
+    rank = np.arange(len(which)) - np.searchsorted(which, which)
+    top = rank < best.shape[1]
+    new = np.full_like(best, -np.inf)
+    new[which[top], rank[top]] = found[top]
+    return np.sort(np.concatenate([best, new], axis=1), axis=1)[:, best.shape[1] :]
+
+
 def trigram_matches(queries: DataFrame, query: str, names: DataFrame, name: str, least: float = 0.72, k: int = 5) -> DataFrame:
     """``query, name, similarity, rank``: each query's ``k`` names most alike by trigrams, at least ``least``; ties by name.
 
