@@ -5,6 +5,7 @@ import os
 import pytest
 
 from conftest import rows
+from triplane.linking import index as linking
 from triplane.linking.index import EntityIndex, link_mentions
 from triplane.suite.linking import QUERIES
 
@@ -25,3 +26,34 @@ def test_names_are_not_made_again_in_every_step(spark):
     got = QUERIES["linked_mentions"](spark, DATA)
     assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 12
     assert not any("entity.parquet" in f for f in got.inputFiles())
+
+
+@pytest.mark.parametrize("names_fit", [True, False])
+def test_nothing_that_grows_with_the_questions_is_broadcast(spark, tmp_path, monkeypatch, names_fit):
+    """N-grams look as small as the file of the questions, below any threshold, and are a hundred times as many."""
+    schema = "iri string, label string, labels array<string>, types array<string>, module string, value_of string, popularity long"
+    spark.createDataFrame([(f"i{i}", f"Brabrofax Zor{i}kin", ["Same"], [], "g", None, i) for i in range(50)], schema).write.parquet(f"{tmp_path}/names")
+    spark.createDataFrame([(i, f"Who sold the Brabrofax Zor{i}kin and Brabrofaxx Zor{i}kin to Same?") for i in range(40)], "id long, q string").write.parquet(f"{tmp_path}/asked")
+    made = []
+    monkeypatch.setattr(linking, "materialize", lambda df, name="t", f=linking.materialize: made.append(df) or f(df, name))
+    monkeypatch.setattr(linking, "BROADCAST_NAMES", (16 << 20) * names_fit)
+    monkeypatch.setattr("triplane.operators.retrieval.materialize", linking.materialize)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        got = link_mentions(spark.read.parquet(f"{tmp_path}/asked"), "id", "q", EntityIndex(spark.read.parquet(f"{tmp_path}/names")))
+        sent = [x for df in [*made, got] for x in _broadcasts(df._jdf.queryExecution().sparkPlan())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows(got.where("id = 7"), "start", "words", "norm", "iri") == [(3, 2, "brabrofax zor7kin", "i7"), (6, 2, "brabrofax zor7kin", "i7"), (9, 1, "same", "i49")]
+    assert got.count() == 120
+    assert not [x for x in sent if any(f"{c}#" in x for c in ("q", "qid", "as_is", "query", "qt"))]
+
+
+def _broadcasts(node):
+    """The sides of a physical plan that its joins broadcast, as text."""
+    parts = [node.children().apply(i) for i in range(node.children().size())]
+    if node.nodeName() == "BroadcastHashJoin":
+        yield parts[0 if node.buildSide().toString() == "BuildLeft" else 1].toString()
+    for p in parts:
+        yield from _broadcasts(p)

@@ -30,6 +30,9 @@ DEMONYMS = {
     "United Kingdom": ["British", "English", "Scottish", "Welsh"], "United States": ["American", "US"], "Venezuela": ["Venezuelan"], "Vietnam": ["Vietnamese"],
 }
 
+#: Bytes up to which a question's best names are broadcast; above, names and n-grams are both shuffled.
+BROADCAST_NAMES = 16 << 20
+
 
 class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
@@ -127,8 +130,10 @@ def link_mentions(questions: DataFrame, question_id: str, question: str, index:
     capitalised words that no name covers, the question's first word aside, takes the name most alike by trigrams;
     ``norm`` is the name found.
 
-    The names, the spans that have one and the runs without one are each written once: every later step reads files,
-    so no plan holds the making of another.
+    The names, the best node of each, the spans that have one and the runs without one are each written once: every
+    later step reads files, so no plan holds the making of another. What grows with the questions is never broadcast:
+    Spark takes a question's n-grams and a file's texts for as small as the file they come from, so their joins say how
+    they are made. Names are broadcast up to BROADCAST_NAMES, measured.
     """
     aliases = materialize(index.aliases, "aliases")
     words = F.split(normalize_col(F.col(question)), " ")
@@ -136,7 +141,10 @@ def link_mentions(questions: DataFrame, question_id: str, question: str, index:
     at = grams.select("qid", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
     spans = at.select("qid", "start", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("n"))
     named = spans.select("qid", "start", F.col("n").alias("words"), F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("norm"))
-    best = aliases.join(index.records.select("iri", "popularity"), "iri").withColumn("score", F.col("trust") + 0.04 * F.log10(1 + F.col("popularity"))).groupBy("norm").agg(F.max(F.struct("score", "iri")).alias("b"))
+    best = aliases.hint("merge").join(index.records.select("iri", "popularity"), "iri").withColumn("score", F.col("trust") + 0.04 * F.log10(1 + F.col("popularity"))).groupBy("norm").agg(F.max(F.struct("score", "iri")).alias("b"))
+    best = materialize(best, "best")
+    held = best.agg(F.sum(F.octet_length("norm") + F.octet_length("b.iri") + 100).alias("n")).first()["n"] or 0
+    best = F.broadcast(best) if held <= BROADCAST_NAMES else best.hint("merge")
     singular = F.expr("substr(norm, 1, length(norm) - 1)")
     plural = F.col("norm").endswith("s") & (F.length("norm") > 4) & ~((F.col("words") > 1) & F.element_at(F.split(singular, " "), -1).isin(*schema_terms))
     forms = named.select("qid", "start", "words", F.col("norm").alias("as_is"), F.explode(F.when(plural, F.array("norm", singular)).otherwise(F.array("norm"))).alias("norm"))
@@ -149,13 +157,13 @@ def link_mentions(questions: DataFrame, question_id: str, question: str, index:
     exact = materialize(per.select("qid", F.explode(chosen).alias("m")).select("qid", "m.start", "m.words", "m.norm", "m.iri", "m.score"), "exact")
     covers = exact.groupBy("qid").agg(F.collect_set(F.struct("start", "words")).alias("covers"))
     raw = questions.select(F.col(question_id).alias("qid"), F.filter(F.split(question, r"\s+"), lambda w: w != "").alias("raw")).where("qid IS NOT NULL AND raw IS NOT NULL")
-    counts = F.transform("raw", lambda w: F.when(normalize_col(w) == "", 0).otherwise(F.size(F.split(normalize_col(w), " "))))
-    runs = raw.withColumn("counts", counts).join(covers, "qid", "left").select("qid", F.explode(F.udf(_runs, "array<struct<start: int, words: int, text: string>>", useArrow=True)("raw", "counts", "covers")).alias("r")).select("qid", "r.*").distinct()
+    counts = F.transform(F.transform("raw", normalize_col), lambda n: F.when(n == "", 0).otherwise(F.size(F.split(n, " "))))
+    runs = raw.withColumn("counts", counts).join(covers.hint("merge"), "qid", "left").select("qid", F.explode(F.udf(_runs, "array<struct<start: int, words: int, text: string>>", useArrow=True)("raw", "counts", "covers")).alias("r")).select("qid", "r.*").distinct()
     runs = materialize(runs, "runs")
     trusted = aliases.where(F.col("trust") >= TRUST["stripped"])
-    near = trigram_matches(runs, "text", trusted, "norm", k=50).select(F.col("query").alias("text"), F.col("name").alias("norm"), "similarity").join(trusted.select("norm", "iri"), "norm")
+    near = trigram_matches(runs, "text", trusted, "norm", k=50).select(F.col("query").alias("text"), F.col("name").alias("norm"), "similarity").join(trusted.groupBy("norm").agg(F.min("iri").alias("iri")), "norm")
     top = near.groupBy("text").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "iri", "norm")).alias("b"))
-    fuzzy = runs.join(top, "text").select("qid", "start", "words", "b.norm", "b.iri", (F.col("b.far") * -0.9).alias("score"))
+    fuzzy = runs.hint("merge").join(top, "text").select("qid", "start", "words", "b.norm", "b.iri", (F.col("b.far") * -0.9).alias("score"))
     return exact.unionByName(fuzzy).withColumnRenamed("qid", question_id)
 
 
@@ -167,8 +175,8 @@ def _runs(raw: list, counts: list, covers: list | None) -> list:
     for word, n in zip(raw, counts, strict=True):
         if not n:
             continue
-        bare = word.strip("".join(c for c in word if not c.isalnum()))
         free = at > 0 and used.isdisjoint(range(at, at + n))
+        bare = word if not free or word.isalnum() else word.strip("".join(c for c in word if not c.isalnum()))
         if free and (bare[:1].isupper() or run and any(c.isdigit() for c in bare)):
             run = run or (at, [])
             run[1].append((n, bare))

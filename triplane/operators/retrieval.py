@@ -151,7 +151,8 @@ def trigram_matches(queries: DataFrame, query: str, names: DataFrame, name: str,
     Names are distinct and normalised. Two sets of trigrams as alike as ``least`` share one of the rarest
     n - ceil(least n) + 1 trigrams of each, so only these are joined, and pairs whose sizes differ too much fall out
     before they are compared. All names are compared that may be alike enough: there is no short list. A common trigram
-    joins only the names for which it is among the rarest.
+    joins only the names for which it is among the rarest. Queries and their sets are never broadcast: their files are far
+    smaller than their rows.
     """
     q = queries.select(F.col(query).alias("query")).where("query IS NOT NULL").distinct().withColumn("text", normalize_col(F.col("query")))
     # Both are written, so that no normal form or set is made twice.
@@ -169,12 +170,12 @@ def trigram_matches(queries: DataFrame, query: str, names: DataFrame, name: str,
         return held.select(text, f"{grams}_n", F.explode(F.slice("by", 1, head)).alias("b")).where("b.c > 0").select(text, f"{grams}_n", F.col("b.t").alias("t"))
 
     near = (F.col("nt_n") >= F.col("qt_n") * least - 1e-9) & (F.col("qt_n") >= F.col("nt_n") * least - 1e-9)
-    met = rare(texts, "text", "qt").join(rare(n, "name", "nt"), "t").where(near).select("text", "name").distinct()
-    sets = met.join(texts, "text").join(n, "name")
+    met = rare(texts, "text", "qt").hint("merge").join(rare(n, "name", "nt"), "t").where(near).select("text", "name").distinct()
+    sets = met.join(texts.hint("merge"), "text").join(n, "name")
     scored = sets.select("text", "name", jaccard_col(F.col("qt"), F.col("nt")).alias("similarity")).where(F.col("similarity") >= least)
     w = Window.partitionBy("text").orderBy(F.col("similarity").desc(), "name")
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return q.join(best, "text").select("query", "name", "similarity", "rank")
+    return q.hint("merge").join(best, "text").select("query", "name", "similarity", "rank")
 
 
 #: Vectors in a block: each block of queries is compared with each block of vectors by one product of matrices.
