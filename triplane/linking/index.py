@@ -30,7 +30,7 @@ DEMONYMS = {
     "United Kingdom": ["British", "English", "Scottish", "Welsh"], "United States": ["American", "US"], "Venezuela": ["Venezuelan"], "Vietnam": ["Vietnamese"],
 }
 
-#: Bytes up to which a question's best names are broadcast; above, names and n-grams are both shuffled.
+#: Bytes up to which names with their best nodes are broadcast; above, names and n-grams are both shuffled.
 BROADCAST_NAMES = 16 << 20
 
 
